@@ -55,13 +55,13 @@ def has_requirement_line(content: Column) -> Column:
     """Some line that is neither blank nor a comment has an equals sign."""
     return F.exists(
         F.split(content, "\n"),
-        lambda line: (~F.startswith(F.ltrim(line), F.lit("#"))) & F.contains(line, F.lit("=")),
+        lambda line: (~F.startswith(F.ltrim(line, F.lit(" \t\r\f\x0b")), F.lit("#"))) & F.contains(line, F.lit("=")),
     )
 
 
-def manifest_packages(content: Column, section: str) -> Column:
-    """Package names of one section of a package manifest; NULL for malformed JSON or sections."""
-    return F.map_keys(F.from_json(F.get_json_object(content, f"$.{section}"), "map<string,string>"))
+def manifest_sections(content: Column) -> Column:
+    """Package maps of a manifest's two dependency sections; malformed JSON and sections give NULL."""
+    return F.from_json(content, "dependencies map<string,string>, devDependencies map<string,string>")
 
 
 def estimated_tokens(text: Column) -> Column:
