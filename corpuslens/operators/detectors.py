@@ -289,17 +289,18 @@ def _positive(entries: list[Column]) -> Column:
 
 def _file_points(row: DataFrame) -> DataFrame:
     """Five points for every file name pattern seen at least once."""
-    seen = F.map_keys(F.col("architecture+file"))
+    seen = F.transform(F.map_keys(F.col("architecture+file")), lambda k: F.substring_index(k, "/", 1))
     totals = [
-        F.struct(
-            F.lit(tech).alias("tech"),
-            (F.size(F.filter(seen, lambda k, t=tech: F.startswith(k, F.lit(t + "/")))) * 5.0).alias("points"),
-        )
+        F.struct(F.lit(tech).alias("tech"), (_occurrences(seen, tech) * 5.0).alias("points"))
         for tech in architecture.FILE_PATTERNS
     ]
     return row.withColumn("architecture", add_all(F.col("architecture"), _positive(totals)))
 
 
+def _occurrences(values: Column, value: str) -> Column:
+    return F.size(F.filter(values, lambda v: v == value))
+
+
 def convention_count(index: int) -> Column:
     signs = architecture.CONVENTIONS[index][3]
     wanted = _text_list([f"convention:{index}:{s}" for s in signs])
