@@ -1,21 +1,23 @@
 """Rule scan: every file against every rule, as one narrow map stage.
 
 The rules travel as one constant array of structs.  For each file the array is first cut down by
-cheap substring gates, and only what passes is evaluated, so no join copies file contents per rule
-and nothing but small hit rows leaves the stage.  Rules are grouped under *roots*, the shortest
-literals that occur inside other rules' literals, so one failed ``contains`` drops a whole group.
+the literals it contains, and only what passes is evaluated, so no join copies file contents per
+rule and nothing but small hit rows leaves the stage.  One search finds all literals of all rules
+(see ``functions.literals``); rules are then looked up under the literals that were found.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths, text
+from corpuslens.functions.literals import literals_found, minimal_literals
 from corpuslens.rules import testing
 from corpuslens.rules.eligibility import MAX_SCANNED_CHARS
 from corpuslens.rules.ruleset import (
@@ -33,23 +35,24 @@ HIT_COLUMNS = [
 ]
 _PATH_RULE = (
     "struct<detector:string,tech:string,kind:string,patterns:array<string>,weights:array<double>,"
-    "step:int,category:int,ordinal:int,gate:array<string>,java:string>"
+    "step:int,category:int,ordinal:int,gate:array<string>,keys:array<string>,java:string>"
 )
 _CONTENT_RULE = (
     "struct<detector:string,tech:string,kind:string,pattern:string,weight:double,cap:int,"
     "scope:string,style:string,label:string,group:int,ignore_case:boolean,step:int,category:int,"
-    "ordinal:int,gate:array<string>,java:string,head:string>"
+    "ordinal:int,gate:array<string>,keys:array<string>,java:string,head:string>"
 )
-_MIN_ROOT = 3
+_MIN_LITERAL = 3
+_BUCKETS = 1024
 
 
 def fold(column: Column) -> Column:
-    """Case-folded text: contains the fold of every literal a case-blind match can contain."""
-    return F.lower(F.upper(column))
+    """Lower case, the form in which literals are searched."""
+    return F.lower(column)
 
 
 def _fold_literal(literal: str) -> str:
-    return literal.upper().lower()
+    return literal.lower()
 
 
 def _capped_head(rule: ContentRule) -> str:
@@ -59,42 +62,61 @@ def _capped_head(rule: ContentRule) -> str:
     return ""
 
 
-def _grouped(rows: list[dict], row_type: str) -> Column:
-    """Constant array<struct<roots, rules>>: rules under the shortest literals that imply them."""
-    literals = sorted({_fold_literal(a) for r in rows for a in r["gate"]}, key=lambda a: (len(a), a))
-    roots: dict[str, str] = {}
-    chosen: list[str] = []
-    for literal in literals:
-        root = next((c for c in chosen if c in literal), None)
-        if root is None:
-            root = literal
-            if len(literal) >= _MIN_ROOT:
-                chosen.append(literal)
-        roots[literal] = root
-    groups: dict[tuple, list[dict]] = {}
+def _index(rows: list[dict], row_type: str) -> tuple[list[str], list[str], Column]:
+    """Searched literals, short literals, and the rules as a constant hash table on literals.
+
+    A rule is filed under every literal that opens its gate ("" when nothing is known).  The table
+    is an array of buckets addressed by the checksum of the literal.
+    """
+    literals = {_fold_literal(a) for r in rows for a in r["gate"]}
+    short = sorted(a for a in literals if a and len(a) < _MIN_LITERAL)
+    searched, representative = minimal_literals(a for a in literals if len(a) >= _MIN_LITERAL)
+    filed: dict[str, list[dict]] = {}
     for row in rows:
-        key = tuple(sorted({roots[_fold_literal(a)] for a in row["gate"]}))
-        groups.setdefault(key, []).append(row)
-    document = json.dumps([{"roots": list(k), "rules": v} for k, v in groups.items()])
-    return F.from_json(F.lit(document), f"array<struct<roots:array<string>,rules:array<{row_type}>>>")
+        keys = sorted({representative.get(a, a) for a in map(_fold_literal, row["gate"])})
+        for key in keys:
+            filed.setdefault(key, []).append({**row, "keys": keys})
+    buckets: list[list[dict]] = [[] for _ in range(_BUCKETS)]
+    for key, rules in filed.items():
+        buckets[zlib.crc32(key.encode()) % _BUCKETS].append({"key": key, "rules": rules})
+    table = F.from_json(
+        F.lit(json.dumps(buckets)), f"array<array<struct<key:string,rules:array<{row_type}>>>>"
+    )
+    return searched, short, table
+
+
+def found_literals(folded: Column, searched: list[str], short: list[str]) -> Column:
+    """Literals present in a folded text, and the empty one that opens gateless rules."""
+    few = [F.when(F.contains(folded, F.lit(a)), F.lit(a)) for a in short]
+    return F.concat(literals_found(folded, searched), F.array_compact(F.array(*few, F.lit(""))))
+
+
+def _candidates(table: Column, found: Column) -> Column:
+    """Rules filed under a literal that was found, each once."""
 
+    def lookup(literal):
+        bucket = F.get(table, F.pmod(F.crc32(literal), F.lit(_BUCKETS)).cast("int"))
+        filed = F.flatten(F.transform(F.filter(bucket, lambda b: b["key"] == literal), lambda b: b["rules"]))
+        first = lambda r: F.get(F.filter(r["keys"], lambda k: F.array_contains(found, k)), F.lit(0))
+        return F.filter(filed, lambda r: (F.size(r["keys"]) == 1) | (first(r) == literal))
 
-def _candidates(groups: Column, folded: Column) -> Column:
-    passed = F.filter(groups, lambda g: F.exists(g["roots"], lambda a: F.contains(folded, a)))
-    return F.flatten(F.transform(passed, lambda g: g["rules"]))
+    return F.flatten(F.transform(found, lookup))
 
 
-def path_rule_column(rules: RuleSet) -> Column:
+def _path_index(rules: RuleSet):
     rows = [{**asdict(r), "gate": path_gate(r), "java": path_regex(r)} for r in rules.path_rules]
-    return _grouped(rows, _PATH_RULE)
+    return _index(rows, _PATH_RULE)
 
 
-def content_rule_column(rules: RuleSet) -> Column:
+def _content_index(rules: RuleSet):
     rows = [
-        {**asdict(r), "gate": content_gate(r), "java": content_regex(r), "head": _capped_head(r)}
+        {
+            **asdict(r), "gate": content_gate(r), "java": content_regex(r), "head": _capped_head(r),
+            "ignore_case": r.ignore_case or r.kind == "present_lower",
+        }
         for r in rules.content_rules
     ]
-    return _grouped(rows, _CONTENT_RULE)
+    return _index(rows, _CONTENT_RULE)
 
 
 def _path_tier(rule: Column, path: Column, name: Column, folders: Column) -> Column:
@@ -161,9 +183,11 @@ def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
         fold(F.concat(F.lit("/"), F.col("path"))).alias("folded"),
         F.concat(F.lit("/"), F.regexp_replace("path", "[^/]*$", "")).alias("folders"),
     )
+    searched, short, table = _path_index(rules)
+    base = base.withColumn("found", found_literals(F.col("folded"), searched, short))
     path, name, folders = F.col("path"), F.col("name"), F.col("folders")
     scored = F.transform(
-        _candidates(path_rule_column(rules), F.col("folded")),
+        _candidates(table, F.col("found")),
         lambda r: F.struct(r.alias("rule"), _path_tier(r, path, name, folders).alias("tier")),
     )
     rows = base.select("repo_id", "path", "name", F.inline(F.filter(scored, lambda s: s["tier"] > 0)))
@@ -264,18 +288,18 @@ def content_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
         files.where("content is not null")
         .select("repo_id", "path", paths.base_name(path).alias("name"), "content")
         .withColumn("folded", fold(content))
-        .withColumn("lowered", F.lower("content"))
     )
-    base = base.withColumn("scopes", _scopes(rules, path, name, content, F.col("lowered")))
-    folded, lowered = F.col("folded"), F.col("lowered")
+    searched, short, table = _content_index(rules)
+    base = base.withColumn("found", found_literals(F.col("folded"), searched, short))
+    base = base.withColumn("scopes", _scopes(rules, path, name, content, F.col("folded")))
+    folded = F.col("folded")
     none = F.array().cast("array<string>")
 
     def passes(rule):
         gated = F.exists(
             rule["gate"], lambda a: F.when(rule["ignore_case"], F.contains(folded, a)).otherwise(F.contains(content, a))
         )
-        lower_only = (rule["kind"] == "present_lower") & F.contains(lowered, rule["pattern"])
-        return F.array_contains(F.col("scopes"), rule["scope"]) & (gated | lower_only)
+        return F.array_contains(F.col("scopes"), rule["scope"]) & gated
 
     def found(rule):
         subject = F.when(rule["head"] != "", F.call_function("regexp_extract", content, rule["head"], F.lit(0))).otherwise(content)
@@ -302,7 +326,7 @@ def content_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
             ).alias("proof"),
         )
 
-    selected = F.filter(_candidates(content_rule_column(rules), folded), passes)
+    selected = F.filter(_candidates(table, F.col("found")), passes)
     matched = F.filter(
         F.transform(selected, lambda r: F.struct(r.alias("rule"), found(r).alias("found"))),
         lambda e: (e["rule"]["kind"] == "literal") | (F.size(e["found"]) > 0),

@@ -144,6 +144,12 @@ SNIPPETS = [
 PROJECT_KINDS = len(SNIPPETS) // SLOTS
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core even when the input is a single small file: moves narrow rows, no text."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def derived_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(repo_id, path, size, content)`` with one row per order."""
     snippets = F.broadcast(
@@ -154,9 +160,11 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     repo_no = F.floor(F.col("o_custkey") / CUSTOMERS_PER_REPOSITORY)
     snippet = (repo_no % PROJECT_KINDS) * SLOTS + F.col("o_orderkey") % SLOTS
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", repo_no.alias("repo_no"), snippet.cast("int").alias("snippet")
+    )
     return (
-        spark.read.parquet(f"{sf_dir}/orders.parquet")
-        .select("o_orderkey", repo_no.alias("repo_no"), snippet.cast("int").alias("snippet"))
+        spread(keys)
         .join(snippets, "snippet")
         .select(
             F.concat(F.lit("repo_"), F.col("repo_no").cast("string")).alias("repo_id"),
