@@ -99,3 +99,40 @@ FRAMEWORK_COMPANIONS = {
     "Spring": ["Spring Boot", "Hibernate", "JUnit"],
     "Express": ["Mongoose", "JWT", "Mocha", "Chai"],
 }
+
+# (text, reason, severity) of the conflict and best-practice rules; their conditions are in
+# ``operators.recommend`` under the same keys.
+CONFLICTS = {
+    "jquery_react": (
+        "Consider migrating from jQuery to use React's built-in DOM manipulation capabilities",
+        "jQuery and React often lead to conflicting approaches to DOM manipulation", "medium"),
+    "sqlite_microservices": (
+        "Consider using a more robust database solution for a microservices architecture",
+        "SQLite is generally not recommended for distributed microservices architectures", "medium"),
+    "django_react": (
+        "Consider adding Webpack or another build system to better integrate React with Django",
+        "React with Django often benefits from a dedicated build pipeline", "medium"),
+    "mongo_express": (
+        "Consider using Mongoose as an ODM for MongoDB with Express",
+        "Mongoose provides a more structured approach to MongoDB in Express applications", "medium"),
+    "flask_sqlalchemy": (
+        "Consider adding SQLAlchemy for database access in your Flask application",
+        "SQLAlchemy is the recommended ORM for Flask applications", "medium"),
+}
+BEST_PRACTICES = {
+    "no_git": (
+        "Consider using Git for version control",
+        "Version control is essential for modern software development", "high"),
+    "no_tests": (
+        "Consider adding a testing framework to your project",
+        "Testing frameworks are crucial for maintaining code quality", "high"),
+    "no_docker": (
+        "Consider containerizing your application with Docker",
+        "Containerization improves deployment consistency", "medium"),
+    "no_docs": (
+        "Consider adding documentation files (README.md)",
+        "Documentation is important for project understanding", "medium"),
+    "no_ci": (
+        "Consider adding a CI/CD pipeline",
+        "Continuous integration and deployment improve development workflow", "medium"),
+}
