@@ -1,0 +1,4 @@
+"""No streaming operators: an analysis is a batch job.
+
+Skipping work that was done before is the result store's anti-join (``corpuslens.sources.store``).
+"""
