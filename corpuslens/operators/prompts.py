@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpuslens.functions.text import estimated_tokens
 
@@ -16,21 +17,15 @@ def token_chunks(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFram
     """Lines of each text with their running token count and chunk number.
 
     ``texts`` has ``text_id`` and ``text``.  A line belongs to the chunk its running total before it
-    falls in.  The totals stay inside the row of the text: no shuffle, whatever the text's size.
+    falls in.
     """
-    lines = F.split("text", "\n")
-    sized = F.transform(lines, lambda l: F.struct(l.alias("line"), estimated_tokens(l).cast("long").alias("tokens")))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("ends"))
-    totals = F.aggregate(
-        F.transform(sized, lambda s: s["tokens"]),
-        start,
-        lambda acc, t: F.struct((acc["total"] + t).alias("total"), F.concat(acc["ends"], F.array(acc["total"] + t)).alias("ends")),
+    lines = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn(
+        "tokens", estimated_tokens(F.col("line"))
     )
-    rows = texts.select("text_id", F.posexplode(F.arrays_zip(sized.alias("sized"), totals["ends"].alias("running"))).alias("line_no", "z"))
-    return rows.select(
-        "text_id", "line_no", F.col("z.sized.line").alias("line"), F.col("z.sized.tokens").alias("tokens"),
-        F.col("z.running").alias("running"),
-        F.floor((F.col("z.running") - F.col("z.sized.tokens")) / chunk_tokens).alias("chunk_no"),
+    so_far = W.partitionBy("text_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = F.sum("tokens").over(so_far)
+    return lines.withColumn("running", running).withColumn(
+        "chunk_no", F.floor((F.col("running") - F.col("tokens")) / chunk_tokens)
     )
 
 

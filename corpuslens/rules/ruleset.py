@@ -53,6 +53,12 @@ class RuleSet:
     content_rules: tuple[ContentRule, ...]
     test_directories: tuple[str, ...] = field(default=tuple(testing.TEST_DIRECTORIES))
 
+    def with_literal_directories(self) -> "RuleSet":
+        """Directory sets compared without their trailing slash rule, so that only prefixes such as
+        ``ms-`` can match: the literal reading of the rule tables."""
+        kept = (r for r in self.path_rules if r.kind != "directory" or not r.patterns[0].endswith("/"))
+        return replace(self, path_rules=tuple(kept))
+
     def for_detectors(self, detectors) -> "RuleSet":
         """Only the rules a set of detectors needs (flags and extras of a detector included)."""
         wanted = set(detectors)
