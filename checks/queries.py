@@ -238,8 +238,8 @@ def evidence_top5(spark, sf_dir):
     return scores.top_evidence(named).select("repo_id", "detector", "tech", F.array_join("evidence", "|").alias("evidence"))
 
 
-@check("normalized_confidence", with_(q.hits_sql(), select="""
-SELECT repo_id, detector, tech, p AS points, round_even(least(100.0, p / best * 100), 2) AS confidence FROM (
+@check("normalized_confidence", with_(q.hits_sql(), select=f"""
+SELECT repo_id, detector, tech, p AS points, {q.exact_round('least(100.0, p / best * 100)', 2)} AS confidence FROM (
   SELECT repo_id, detector, tech, p, max(p) OVER (PARTITION BY repo_id, detector) AS best FROM pts WHERE detector IN ('frontend', 'devops')) WHERE best > 0"""))
 def normalized_confidence(spark, sf_dir):
     wanted = ["frontend", "devops"]
@@ -507,14 +507,14 @@ def sample_architecture(spark, sf_dir):
 @check("sample_quality", with_(q.corpus(), f"""
 quotas AS (SELECT repo_id, {_QUOTA.format(10, 15, 20)} AS quota FROM (SELECT repo_id, count(*) AS n FROM files GROUP BY repo_id)),
 eligible AS (
-  SELECT repo_id, path, lower(ext) AS ext, row_number() OVER (PARTITION BY repo_id, lower(ext) ORDER BY regexp_replace(path, '/?[^/]*$', ''), path) - 1 AS at,
+  SELECT repo_id, path, lower(ext) AS ext, row_number() OVER (PARTITION BY repo_id, lower(ext) ORDER BY regexp_replace(path, '/?[^/]*$', ''), path) - 1 AS pos,
     count(*) OVER (PARTITION BY repo_id, lower(ext)) AS in_ext, count(*) OVER (PARTITION BY repo_id) AS in_repo
   FROM files WHERE content IS NOT NULL AND lower(ext) IN {q.names(sampling_rules.CODE_EXTENSIONS)} AND length(content) < 100000),
 planned AS (
   SELECT e.*, quota, least(greatest(1, quota // exts), in_ext) AS take, greatest(1, in_ext // least(greatest(1, quota // exts), in_ext)) AS step
   FROM eligible e JOIN quotas USING (repo_id) JOIN (SELECT repo_id, count(DISTINCT ext) AS exts FROM eligible GROUP BY repo_id) USING (repo_id))""", select="""
-SELECT repo_id, path FROM planned WHERE in_repo <= quota OR at = 0 OR (take = 2 AND at = in_ext - 1) OR (take > 2 AND at % step = 0)
-QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ext, at) <= quota"""))
+SELECT repo_id, path FROM planned WHERE in_repo <= quota OR pos = 0 OR (take = 2 AND pos = in_ext - 1) OR (take > 2 AND pos % step = 0)
+QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY ext, pos) <= quota"""))
 def sample_quality(spark, sf_dir):
     return sampling.quality_files(corpus(spark, sf_dir)).select("repo_id", "path")
 
@@ -613,8 +613,8 @@ def _merged_sql(kind: str) -> str:
 SELECT m.repo_id, m.name, m.kind AS {kind}, m.confidence, e.evidence FROM (
   SELECT repo_id, name, min_by(kind, path) AS kind, max({_ITEM}) AS confidence FROM ans WHERE NOT broken GROUP BY ALL) m
 JOIN (SELECT repo_id, name, string_agg(proof, '|' ORDER BY path) AS evidence FROM (
-  SELECT repo_id, name, proof, min(path) AS path, row_number() OVER (PARTITION BY repo_id, name ORDER BY min(path)) AS rn
-  FROM ans WHERE NOT broken GROUP BY ALL) WHERE rn <= 5 GROUP BY ALL) e ON e.repo_id = m.repo_id AND e.name = m.name"""
+  SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY path) AS rn FROM (
+    SELECT repo_id, name, proof, min(path) AS path FROM ans WHERE NOT broken GROUP BY ALL)) WHERE rn <= 5 GROUP BY ALL) e ON e.repo_id = m.repo_id AND e.name = m.name"""
 
 
 @check("merge_technologies", with_(_ANSWERS, select=_merged_sql("category")))

@@ -31,6 +31,14 @@ def names(values) -> str:
     return "(" + ", ".join(text(v) for v in values) + ")"
 
 
+def exact_round(value: str, digits: int) -> str:
+    """Round the exact binary value, ties to even."""
+    scaled = f"(CAST({value} * {2.0**46!r} AS HUGEINT) * {10**digits})"
+    whole, rest = f"({scaled} // {2**46})", f"({scaled} % {2**46})"
+    up = f"CASE WHEN {rest} > {2**45} OR ({rest} = {2**45} AND {whole} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CAST({whole} + {up} AS DOUBLE) / {float(10**digits)!r}"
+
+
 NAME = "regexp_extract(path, '[^/]*$')"
 EXT = r"regexp_extract(regexp_extract(path, '[^/]*$'), '^\.*[^.].*(\.[^.]*)$', 1)"
 
@@ -60,8 +68,8 @@ lang_shares AS (
   SELECT *, matches / sum(matches) OVER (PARTITION BY repo_id) * 100 AS share FROM lang_counts
 ),
 langs AS (
-  SELECT repo_id, tech, matches, round_even(share, 2) AS percentage,
-         round_even(least(100.0, share * 2), 2) AS confidence FROM lang_shares
+  SELECT repo_id, tech, matches, {exact_round('share', 2)} AS percentage,
+         {exact_round('least(100.0, share * 2)', 2)} AS confidence FROM lang_shares
 )"""
 
 
@@ -222,7 +230,7 @@ def scored(name: str, source: str, thresholds: dict[str, int], default: int) ->
     special = " ".join(f"WHEN {text(t)} THEN {v}" for t, v in thresholds.items())
     limit = f"CASE tech {special} ELSE {default} END" if special else str(default)
     return f"""{name} AS (
-  SELECT repo_id, tech, p AS matches, round_even(conf, 2) AS confidence, category FROM (
+  SELECT repo_id, tech, p AS matches, {exact_round('conf', 2)} AS confidence, category FROM (
     SELECT *, least(100.0, p / max(p) OVER (PARTITION BY repo_id) * 100) AS conf, max(p) OVER (PARTITION BY repo_id) AS best FROM {source})
   WHERE best > 0 AND conf >= {limit})"""
 

@@ -48,18 +48,14 @@ def fenced_json(answer: Column) -> Column:
 def parse_answers(raw: DataFrame, kind: str) -> DataFrame:
     """Typed columns of raw answers of one kind; ``error`` is set where the JSON is malformed."""
     fields = SCHEMAS[kind] + ", success boolean, error string, _corrupt_record string"
-    parsed = raw.withColumn("parsed", F.from_json(fenced_json(F.col("answer")), fields))
-    broken = F.col("parsed").isNull() | F.col("parsed._corrupt_record").isNotNull()
-    error = F.when(broken, F.lit("Failed to parse AI response as JSON")).otherwise(F.col("parsed.error"))
-    names = [part.split(" ", 1)[0] for part in ("technologies", "patterns", "quality_assessment", "issues", "suggestions") if part + " " in SCHEMAS[kind]]
-    typed = raw.columns
-    rows = parsed.select(
-        *typed,
-        *[F.col(f"parsed.{n}").alias(n) for n in names],
-        (~broken & error.isNull() & F.coalesce("parsed.success", F.lit(True))).alias("success"),
-        error.alias("error"),
+    # Generated columns are computed once; a plain projection would parse anew for every use.
+    parsed = raw.select(*raw.columns, F.inline(F.array(F.from_json(fenced_json(F.col("answer")), fields))))
+    broken = F.col("_corrupt_record").isNotNull() | F.col("answer").isNull()
+    error = F.when(broken, F.lit("Failed to parse AI response as JSON")).otherwise(F.col("error"))
+    judged = parsed.withColumns(
+        {"success": ~broken & error.isNull() & F.coalesce("success", F.lit(True)), "error": error}
     )
-    return validated(rows, kind)
+    return validated(judged.drop("_corrupt_record"), kind)
 
 
 def _defaults(items: Column, **values) -> Column:

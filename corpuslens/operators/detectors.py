@@ -6,11 +6,13 @@ detector.  The order of the steps matters: later ones read the results of earlie
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numbers import exact_round
 from corpuslens.operators.scores import (
     add_all,
     divide_unless,
@@ -39,28 +41,36 @@ def flagged(name: str) -> Column:
 
 
 def _text_list(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def _text_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def corrected(row: DataFrame, detector: str) -> DataFrame:
-    """Replace the raw map of a detector by its corrected one."""
-    for step in STEPS[detector]:
-        row = step(row)
+def corrected(row: DataFrame, detectors: list[str]) -> DataFrame:
+    """Replace the raw maps of detectors by their corrected ones.
+
+    A step names the columns it replaces; steps of different detectors touch different columns, so
+    the nth steps of all detectors share one projection.
+    """
+    for nth in range(max(len(STEPS[d]) for d in detectors)):
+        changes: dict[str, Column] = {}
+        for detector in detectors:
+            if nth < len(STEPS[detector]):
+                changes.update(STEPS[detector][nth]())
+        row = row.withColumns(changes)
     return row
 
 
 def _update(column: str, change):
-    return lambda row: row.withColumn(column, change(F.col(column)))
+    return lambda: {column: change(F.col(column))}
 
 
 # Frameworks.
 
 
-def _foreign_language(row: DataFrame) -> DataFrame:
+def _foreign_language() -> dict[str, Column]:
     needed = _text_map(frameworks.REQUIRED_LANGUAGE)
 
     def change(k, v):
@@ -68,17 +78,17 @@ def _foreign_language(row: DataFrame) -> DataFrame:
         foreign = language.isNotNull() & ~F.array_contains("dominant", language)
         return F.when(foreign, divided(v, 5)).otherwise(v)
 
-    return row.withColumn("frameworks", F.transform_values("frameworks", change))
+    return {"frameworks": F.transform_values("frameworks", change)}
 
 
-def _unproven(row: DataFrame) -> DataFrame:
+def _unproven() -> dict[str, Column]:
     provable = _text_list(frameworks.STRONG_EVIDENCE)
 
     def change(k, v):
         proven = F.array_contains("flags", F.concat(F.lit("strong:"), k))
         return F.when(F.array_contains(provable, k) & ~proven, divided(v, 3)).otherwise(v)
 
-    return row.withColumn("frameworks", F.transform_values("frameworks", change))
+    return {"frameworks": F.transform_values("frameworks", change)}
 
 
 def _sqlalchemy_with_flask(scores: Column) -> Column:
@@ -120,7 +130,7 @@ def _generic_sql(scores: Column) -> Column:
 
 DATABASE_STEPS = [
     _update("databases", _without_connection),
-    lambda row: row.withColumn("databases", add_all(F.col("databases"), F.col("databases+extra"))),
+    lambda: {"databases": add_all(F.col("databases"), F.col("`databases+extra`"))},
     _update("databases", _generic_sql),
 ]
 
@@ -193,7 +203,7 @@ def cross_listed(row: DataFrame) -> DataFrame:
 
     def aligned(own: Column, other: Column) -> Column:
         def change(k, v):
-            rival = F.get(F.map_values(F.map_filter(other, lambda o, _: o == k)), F.lit(0))["confidence"]
+            rival = F.try_element_at(other, k)["confidence"]
             behind = rival - v["confidence"] > 20
             return F.struct(
                 v["matches"].alias("matches"),
@@ -203,10 +213,8 @@ def cross_listed(row: DataFrame) -> DataFrame:
         return F.transform_values(own, change)
 
     build_systems, managers = F.col("build_systems"), F.col("package_managers")
-    return row.select(
-        *[c for c in row.columns if c not in ("build_systems", "package_managers")],
-        aligned(build_systems, managers).alias("build_systems"),
-        aligned(managers, build_systems).alias("package_managers"),
+    return row.withColumns(
+        {"build_systems": aligned(build_systems, managers), "package_managers": aligned(managers, build_systems)}
     )
 
 
@@ -238,17 +246,16 @@ def _implies(tech: str, implied: str):
     return _update("devops", change)
 
 
-def _cdk_is_aws(row: DataFrame) -> DataFrame:
+def _cdk_is_aws() -> dict[str, Column]:
     scores = F.col("devops")
     cdk = score(scores, "AWS CDK")
     lifted = with_score(scores, "AWS", F.greatest(F.coalesce(score(scores, "AWS"), F.lit(0.0)), cdk - 5))
     cloud = F.create_map(F.lit("AWS"), F.lit(100 + devops.SUB_CATEGORIES.index("cloud")))
     categories = F.map_concat(F.map_filter("devops_category", lambda k, _: k != "AWS"), cloud)
-    return row.select(
-        *[c for c in row.columns if c not in ("devops", "devops_category")],
-        F.when(cdk.isNotNull(), lifted).otherwise(scores).alias("devops"),
-        F.when(cdk.isNotNull(), categories).otherwise(F.col("devops_category")).alias("devops_category"),
-    )
+    return {
+        "devops": F.when(cdk.isNotNull(), lifted).otherwise(scores),
+        "devops_category": F.when(cdk.isNotNull(), categories).otherwise(F.col("devops_category")),
+    }
 
 
 DEVOPS_STEPS = [
@@ -268,37 +275,39 @@ DEVOPS_STEPS = [
 # Architecture.
 
 
-def _directory_points(row: DataFrame) -> DataFrame:
+def _directory_points() -> dict[str, Column]:
     """Full directory set 20, at least 70 % of it 10, else 2 per directory found."""
-    present = F.map_keys(F.col("architecture+directory"))
-    totals = []
-    for tech, sets in architecture.DIRECTORY_SETS.items():
-        points = []
-        for members in sets:
-            found = F.size(F.array_intersect(present, _text_list(members)))
-            points.append(
-                F.when(found == len(members), 20).when(found >= len(members) * 0.7, 10).otherwise(found * 2)
-            )
-        totals.append(F.struct(F.lit(tech).alias("tech"), reduce(Column.__add__, points).cast("double").alias("points")))
-    return row.withColumn("architecture", add_all(F.col("architecture"), _positive(totals)))
+    present = F.map_keys(F.col("`architecture+directory`"))
+    table = F.from_json(
+        F.lit(json.dumps([{"tech": t, "sets": [list(s) for s in sets]} for t, sets in architecture.DIRECTORY_SETS.items()])),
+        "array<struct<tech:string,sets:array<array<string>>>>",
+    )
+
+    def points(members):
+        found = F.size(F.array_intersect(present, members))
+        size = F.size(members)
+        return F.when(found == size, 20).when(found >= size * 0.7, 10).otherwise(found * 2)
+
+    def total(entry):
+        summed = F.aggregate(F.transform(entry["sets"], points), F.lit(0), lambda a, p: a + p)
+        return F.struct(entry["tech"].alias("tech"), summed.cast("double").alias("points"))
 
+    return {"architecture": add_all(F.col("architecture"), _positive(F.transform(table, total)))}
 
-def _positive(entries: list[Column]) -> Column:
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["points"] > 0))
 
+def _positive(entries: Column) -> Column:
+    return F.map_from_entries(F.filter(entries, lambda e: e["points"] > 0))
 
-def _file_points(row: DataFrame) -> DataFrame:
+
+def _file_points() -> dict[str, Column]:
     """Five points for every file name pattern seen at least once."""
-    seen = F.transform(F.map_keys(F.col("architecture+file")), lambda k: F.substring_index(k, "/", 1))
-    totals = [
-        F.struct(F.lit(tech).alias("tech"), (_occurrences(seen, tech) * 5.0).alias("points"))
-        for tech in architecture.FILE_PATTERNS
-    ]
-    return row.withColumn("architecture", add_all(F.col("architecture"), _positive(totals)))
+    seen = F.transform(F.map_keys(F.col("`architecture+file`")), lambda k: F.substring_index(k, "/", 1))
 
+    def total(tech):
+        return F.struct(tech.alias("tech"), (F.size(F.filter(seen, lambda s: s == tech)) * 5.0).alias("points"))
 
-def _occurrences(values: Column, value: str) -> Column:
-    return F.size(F.filter(values, lambda v: v == value))
+    totals = F.transform(_text_list(architecture.FILE_PATTERNS), total)
+    return {"architecture": add_all(F.col("architecture"), _positive(totals))}
 
 
 def convention_count(index: int) -> Column:
@@ -307,7 +316,7 @@ def convention_count(index: int) -> Column:
     return F.size(F.array_intersect(F.col("flags"), wanted))
 
 
-def _convention_points(row: DataFrame) -> DataFrame:
+def _convention_points() -> dict[str, Column]:
     scores = F.col("architecture")
     by_tech: dict[str, list[Column]] = {}
     for i, (tech, points, needed, _, _) in enumerate(architecture.CONVENTIONS):
@@ -316,12 +325,11 @@ def _convention_points(row: DataFrame) -> DataFrame:
         F.struct(F.lit(tech).alias("tech"), reduce(Column.__add__, parts).alias("points"))
         for tech, parts in by_tech.items()
     ]
-    return row.withColumn("architecture", add_all(scores, _positive(totals)))
+    return {"architecture": add_all(scores, _positive(F.array(*totals)))}
 
 
-def _module_points(row: DataFrame) -> DataFrame:
-    name = "Feature-based architecture"
-    return row.withColumn("architecture", _plus(F.col("architecture"), name, F.col("modules").isNotNull(), 25))
+def _module_points(scores: Column) -> Column:
+    return _plus(scores, "Feature-based architecture", F.col("modules").isNotNull(), 25)
 
 
 def _several(*components: str) -> Column:
@@ -345,7 +353,7 @@ ARCHITECTURE_STEPS = [
     _directory_points,
     _file_points,
     _convention_points,
-    _module_points,
+    _update("architecture", _module_points),
     _update("architecture", lambda m: divide_unless(m, "MVC", _several("models", "views", "controllers"), 2)),
     _update("architecture", lambda m: divide_unless(m, "MVVM", _several("models", "views", "viewmodels"), 2)),
     _update(
@@ -366,28 +374,28 @@ ARCHITECTURE_STEPS = [
 # Testing.
 
 
-def _zero_unless(tech: str, holds: Column):
-    return _update(
-        "testing",
-        lambda m: F.transform_values(m, lambda k, v: F.when((k == tech) & ~holds, F.lit(0.0)).otherwise(v)),
-    )
+def _zero_unless(tech: str, holds):
+    def change(m):
+        supported = holds()
+        return F.transform_values(m, lambda k, v: F.when((k == tech) & ~supported, F.lit(0.0)).otherwise(v))
+
+    return _update("testing", change)
 
 
-def _coverage(row: DataFrame) -> DataFrame:
+def _coverage() -> dict[str, Column]:
     name = "High Test Coverage"
     covered = F.col("covered_extensions") > 0
     kind = F.create_map(F.lit(name), F.lit(testing.SUB_CATEGORIES.index("coverage")))
-    return row.select(
-        *[c for c in row.columns if c not in ("testing", "testing_category")],
-        _plus(F.col("testing"), name, covered, F.col("covered_extensions") * 10).alias("testing"),
-        F.when(covered, F.map_concat("testing_category", kind)).otherwise(F.col("testing_category")).alias("testing_category"),
-    )
+    return {
+        "testing": _plus(F.col("testing"), name, covered, F.col("covered_extensions") * 10),
+        "testing_category": F.when(covered, F.map_concat("testing_category", kind)).otherwise(F.col("testing_category")),
+    }
 
 
 TESTING_STEPS = [
-    lambda row: _zero_unless("React Testing Library", F.col("javascript_files") & flagged("react_testing_library"))(row),
-    lambda row: _zero_unless("Enzyme", F.col("javascript_files") & flagged("enzyme"))(row),
-    lambda row: _zero_unless("RSpec", F.col("ruby_files") & flagged("rspec"))(row),
+    _zero_unless("React Testing Library", lambda: F.col("javascript_files") & flagged("react_testing_library")),
+    _zero_unless("Enzyme", lambda: F.col("javascript_files") & flagged("enzyme")),
+    _zero_unless("RSpec", lambda: F.col("ruby_files") & flagged("rspec")),
     _coverage,
 ]
 
@@ -405,11 +413,8 @@ STEPS = {
 
 def detected(row: DataFrame, detectors: list[str]) -> DataFrame:
     """Corrected, normalised and thresholded maps: tech -> (matches, confidence)."""
-    for detector in detectors:
-        row = corrected(row, detector)
-    for detector in detectors:
-        special, default = THRESHOLDS[detector]
-        row = row.withColumn(detector, normalised(F.col(detector), special, default))
+    row = corrected(row, detectors)
+    row = row.withColumns({d: normalised(F.col(d), *THRESHOLDS[d]) for d in detectors})
     if "build_systems" in detectors and "package_managers" in detectors:
         row = cross_listed(row)
     return row
@@ -432,6 +437,6 @@ def languages_from_counts(counts: Column) -> Column:
         counts,
         lambda _, v: F.struct(
             v.alias("matches"),
-            F.bround(F.least(F.lit(100.0), v / total * 100 * 2), 2).alias("confidence"),
+            exact_round(F.least(F.lit(100.0), v / total * 100 * 2), 2).alias("confidence"),
         ),
     )

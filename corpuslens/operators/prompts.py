@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpuslens.functions.numbers import one_decimal
 from corpuslens.functions.text import estimated_tokens
 
 CHUNK_TOKENS = 1500
@@ -64,17 +65,12 @@ def review_prompts(files: DataFrame, template: str = REVIEW_TEMPLATE) -> DataFra
     )
 
 
-def percent(value: Column) -> Column:
-    """One decimal, as reports and prompts show it."""
-    return F.format_string("%.1f", value)
-
-
 def findings_text(findings: DataFrame, kind: str, empty: str) -> DataFrame:
     """Findings of a repository as lines, most confident first."""
     entry = F.struct((-F.col("confidence")).alias("o"), "name", F.col(kind).alias("kind"), "confidence")
     line = lambda s: F.concat(
         F.lit("- "), F.coalesce(s["name"], F.lit("Unknown")), F.lit(" ("), F.coalesce(s["kind"], F.lit("Unknown")), F.lit(", "),
-        percent(s["confidence"]), F.lit("% confidence)"),
+        one_decimal(s["confidence"]), F.lit("% confidence)"),
     )
     lines = F.transform(F.array_sort(F.collect_list(entry)), line)
     return findings.groupBy("repo_id").agg(F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(empty).alias("text"))
@@ -86,7 +82,7 @@ def quality_text(quality: DataFrame) -> DataFrame:
 
     no = F.array_position(F.array(*[F.lit(a) for a in ASPECTS]), F.col("aspect"))
     ordered = F.array_sort(F.collect_list(F.struct(no.alias("no"), "aspect", "score", "strengths", "weaknesses")))
-    score = lambda s: F.concat(F.initcap(s["aspect"]), F.lit(": "), percent(s["score"]), F.lit("/100"))
+    score = lambda s: F.concat(F.initcap(s["aspect"]), F.lit(": "), one_decimal(s["score"]), F.lit("/100"))
 
     def points(s, kind):
         lines = F.transform(F.slice(s[kind], 1, 3), lambda p: F.concat(F.lit("- "), p))

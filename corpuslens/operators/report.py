@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.numbers import one_decimal
 from corpuslens.functions.text import title_case
-from corpuslens.operators.prompts import percent
 from corpuslens.operators.validation import CATEGORIES
 
 
@@ -63,7 +63,7 @@ def markdown_report(stack: DataFrame, primary: DataFrame, meta: DataFrame) -> Da
 
     def line(t):
         return F.concat(
-            F.lit("| "), t["tech"], F.lit(" | "), percent(t["confidence"]), F.lit("% | "),
+            F.lit("| "), t["tech"], F.lit(" | "), one_decimal(t["confidence"]), F.lit("% | "),
             F.array_join(F.slice(t["evidence"], 1, 3), "<br>"), F.lit(" |"),
         )
 
@@ -82,7 +82,7 @@ def text_report(stack: DataFrame, primary: DataFrame, meta: DataFrame) -> DataFr
     """The same as plain text, without evidence."""
     stack = stack if "evidence" in stack.columns else stack.withColumn("evidence", _nothing())
     head = lambda title: F.array(F.concat(title, F.lit(":")))
-    line = lambda t: F.concat(F.lit("  - "), t["tech"], F.lit(" ("), percent(t["confidence"]), F.lit("%)"))
+    line = lambda t: F.concat(F.lit("  - "), t["tech"], F.lit(" ("), one_decimal(t["confidence"]), F.lit("%)"))
 
     def build():
         chosen = F.when(
@@ -113,14 +113,14 @@ def review_report(
         return agg.select("repo_id", F.concat(*parts, F.array(F.lit(""))).alias(name))
 
     def finding(kind: str) -> Column:
-        return F.concat(F.lit("  - "), "name", F.lit(" ("), F.col(kind), F.lit(", "), percent(F.col("confidence")), F.lit("% confidence)"))
+        return F.concat(F.lit("  - "), "name", F.lit(" ("), F.col(kind), F.lit(", "), one_decimal(F.col("confidence")), F.lit("% confidence)"))
 
     def marked(text: str) -> Column:
         return F.concat(F.lit("  - ["), F.upper("severity"), F.lit("] "), F.col(text))
 
     confident = F.struct(-F.col("confidence"), "name")
     aspect_no = F.array_position(F.array(F.lit("readability"), F.lit("maintainability"), F.lit("performance")), F.col("aspect"))
-    score = F.concat(F.lit("  - "), F.initcap("aspect"), F.lit(": "), percent(F.col("score")), F.lit("/100"))
+    score = F.concat(F.lit("  - "), F.initcap("aspect"), F.lit(": "), one_decimal(F.col("score")), F.lit("/100"))
     parts = {
         "t": gathered(technologies, "t", confident, finding("category"), 10, "Technologies Detected by AI:"),
         "p": gathered(patterns, "p", confident, finding("type"), 5, "Architecture Patterns Detected by AI:"),

@@ -12,6 +12,7 @@ import json
 import re
 import zlib
 from dataclasses import asdict
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +63,14 @@ def _capped_head(rule: ContentRule) -> str:
     return ""
 
 
-def _index(rows: list[dict], row_type: str) -> tuple[list[str], list[str], Column]:
-    """Searched literals, short literals, and the rules as a constant hash table on literals.
+def _index(rows: list[dict]) -> tuple[tuple[str, ...], tuple[str, ...], str]:
+    """Searched literals, short literals, and the rules as a hash table on literals, in JSON.
 
     A rule is filed under every literal that opens its gate ("" when nothing is known).  The table
     is an array of buckets addressed by the checksum of the literal.
     """
     literals = {_fold_literal(a) for r in rows for a in r["gate"]}
-    short = sorted(a for a in literals if a and len(a) < _MIN_LITERAL)
+    short = tuple(sorted(a for a in literals if a and len(a) < _MIN_LITERAL))
     searched, representative = minimal_literals(a for a in literals if len(a) >= _MIN_LITERAL)
     filed: dict[str, list[dict]] = {}
     for row in rows:
@@ -79,13 +80,15 @@ def _index(rows: list[dict], row_type: str) -> tuple[list[str], list[str], Colum
     buckets: list[list[dict]] = [[] for _ in range(_BUCKETS)]
     for key, rules in filed.items():
         buckets[zlib.crc32(key.encode()) % _BUCKETS].append({"key": key, "rules": rules})
-    table = F.from_json(
-        F.lit(json.dumps(buckets)), f"array<array<struct<key:string,rules:array<{row_type}>>>>"
-    )
-    return searched, short, table
+    return tuple(searched), short, json.dumps(buckets)
+
+
+def _table(document: str, row_type: str) -> Column:
+    """The hash table as a constant that the optimizer folds once."""
+    return F.from_json(F.lit(document), f"array<array<struct<key:string,rules:array<{row_type}>>>>")
 
 
-def found_literals(folded: Column, searched: list[str], short: list[str]) -> Column:
+def found_literals(folded: Column, searched, short) -> Column:
     """Literals present in a folded text, and the empty one that opens gateless rules."""
     few = [F.when(F.contains(folded, F.lit(a)), F.lit(a)) for a in short]
     return F.concat(literals_found(folded, searched), F.array_compact(F.array(*few, F.lit(""))))
@@ -103,20 +106,20 @@ def _candidates(table: Column, found: Column) -> Column:
     return F.flatten(F.transform(found, lookup))
 
 
+@lru_cache(maxsize=64)
 def _path_index(rules: RuleSet):
-    rows = [{**asdict(r), "gate": path_gate(r), "java": path_regex(r)} for r in rules.path_rules]
-    return _index(rows, _PATH_RULE)
+    return _index([{**asdict(r), "gate": path_gate(r), "java": path_regex(r)} for r in rules.path_rules])
 
 
+@lru_cache(maxsize=64)
 def _content_index(rules: RuleSet):
-    rows = [
+    return _index([
         {
             **asdict(r), "gate": content_gate(r), "java": content_regex(r), "head": _capped_head(r),
             "ignore_case": r.ignore_case or r.kind == "present_lower",
         }
         for r in rules.content_rules
-    ]
-    return _index(rows, _CONTENT_RULE)
+    ])
 
 
 def _path_tier(rule: Column, path: Column, name: Column, folders: Column) -> Column:
@@ -187,7 +190,7 @@ def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
     base = base.withColumn("found", found_literals(F.col("folded"), searched, short))
     path, name, folders = F.col("path"), F.col("name"), F.col("folders")
     scored = F.transform(
-        _candidates(table, F.col("found")),
+        _candidates(_table(table, _PATH_RULE), F.col("found")),
         lambda r: F.struct(r.alias("rule"), _path_tier(r, path, name, folders).alias("tier")),
     )
     rows = base.select("repo_id", "path", "name", F.inline(F.filter(scored, lambda s: s["tier"] > 0)))
@@ -326,7 +329,7 @@ def content_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
             ).alias("proof"),
         )
 
-    selected = F.filter(_candidates(table, F.col("found")), passes)
+    selected = F.filter(_candidates(_table(table, _CONTENT_RULE), F.col("found")), passes)
     matched = F.filter(
         F.transform(selected, lambda r: F.struct(r.alias("rule"), found(r).alias("found"))),
         lambda e: (e["rule"]["kind"] == "literal") | (F.size(e["found"]) > 0),

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpuslens.functions.numbers import exact_round
+
 MAX_EVIDENCE = 5
 
 
@@ -61,7 +63,7 @@ def top_evidence(hits: DataFrame, limit: int = MAX_EVIDENCE) -> DataFrame:
 
 def score(scores: Column, tech: str) -> Column:
     """Points of a technology, NULL when it was never scored."""
-    return F.get(F.map_values(F.map_filter(scores, lambda k, _: k == tech)), F.lit(0))
+    return F.try_element_at(scores, F.lit(tech))
 
 
 def scored(scores: Column, tech: str) -> Column:
@@ -105,7 +107,7 @@ def normalised(scores: Column, thresholds: dict[str, float], default: float) ->
     percent = lambda v: F.least(F.lit(100.0), F.try_divide(v, best) * 100)
     kept = F.map_filter(scores, lambda k, v: (best > 0) & (percent(v) >= limit(k)))
     return F.transform_values(
-        kept, lambda _, v: F.struct(v.alias("matches"), F.bround(percent(v), 2).alias("confidence"))
+        kept, lambda _, v: F.struct(v.alias("matches"), exact_round(percent(v), 2).alias("confidence"))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,8 +18,7 @@ MIN_CONFIDENCE = 15
 
 
 def _list_map(table: dict[str, list[str]]) -> Column:
-    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))]
-    return F.create_map(*pairs)
+    return F.from_json(F.lit(json.dumps(table)), "map<string,array<string>>")
 
 
 def _ranked_names(details: Column) -> Column:
@@ -68,8 +69,10 @@ def cross_validated(row: DataFrame, minimum: float = MIN_CONFIDENCE) -> DataFram
     ``leading_framework`` name what the note is about.
     """
     present = [c for c in CATEGORIES if c in row.columns]
-    row = row.withColumn("leading_languages", primary_languages(F.col("languages")))
-    row = row.withColumn("leading_framework", F.get(_ranked_names(F.col("frameworks")), F.lit(0)))
+    row = row.withColumns({
+        "leading_languages": primary_languages(F.col("languages")),
+        "leading_framework": F.get(_ranked_names(F.col("frameworks")), F.lit(0)),
+    })
     fitting = F.coalesce(
         F.try_element_at(_list_map(validation.FRAMEWORK_DATABASES), F.col("leading_framework")),
         F.array().cast("array<string>"),
@@ -79,6 +82,7 @@ def cross_validated(row: DataFrame, minimum: float = MIN_CONFIDENCE) -> DataFram
         "build_systems": validation.LANGUAGE_BUILD_TOOLS,
         "package_managers": validation.LANGUAGE_BUILD_TOOLS,
     }
+    checked = {}
     for category in present:
         details = F.col(category)
         if category in tables:
@@ -96,8 +100,8 @@ def cross_validated(row: DataFrame, minimum: float = MIN_CONFIDENCE) -> DataFram
             )
         else:
             changed = _plain(details)
-        row = row.withColumn(category, F.map_filter(changed, lambda _, v: v["confidence"] >= minimum))
-    return row
+        checked[category] = F.map_filter(changed, lambda _, v: v["confidence"] >= minimum)
+    return row.withColumns(checked)
 
 
 def remark_text(category: str, languages: Column, framework: Column) -> Column:

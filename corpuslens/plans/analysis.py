@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpuslens.functions.numbers import exact_round
 from corpuslens.operators import detectors as d
+from corpuslens.operators import evidence
 from corpuslens.operators import facts, scan, scores, validation
 from corpuslens.rules.eligibility import MAX_SCANNED_CHARS
 from corpuslens.rules.ruleset import RuleSet, default_rules
@@ -135,8 +137,8 @@ def detect_languages(files: DataFrame) -> DataFrame:
         "repo_id",
         "tech",
         F.col("points").alias("matches"),
-        F.bround(share, 2).alias("percentage"),
-        F.bround(F.least(F.lit(100.0), share * 2), 2).alias("confidence"),
+        exact_round(share, 2).alias("percentage"),
+        exact_round(F.least(F.lit(100.0), share * 2), 2).alias("confidence"),
     )
 
 
@@ -186,8 +188,6 @@ class Analysis:
         )
 
     def _evidence_hits(self) -> DataFrame:
-        from corpuslens.operators import evidence
-
         return self.hits.unionByName(evidence.derived(self.files, self.hits, self.rows, self.connection_rules))
 
 
@@ -195,18 +195,17 @@ def analyze(files: DataFrame, rules: RuleSet | None = None, min_confidence: floa
             keep_hits: bool = True) -> Analysis:
     """Analyse a corpus of ``(repo_id, path, size, content)`` rows.
 
-    ``keep_hits`` writes the hits to the shared folder once, so that scores and evidence both read
-    the narrow table instead of scanning file contents twice.
+    The score rows, one per repository, are written to the shared folder once; the stack, the
+    primary technologies and all that follows read this small table and never the corpus again.
+    ``keep_hits`` does the same for the hits, which evidence needs besides the scores.
     """
     rules = rules or default_rules()
     hits = detector_hits(files, rules, DETECTORS)
     if keep_hits:
         hits = materialize(hits, "hits")
-    row = detect(files, DETECTORS, rules, hits)
-    languages = _language_rows(files).withColumn("languages", d.languages_from_counts(F.col("languages")))
-    row = row.join(languages, "repo_id", "left")
-    empty = "map<string,struct<matches:double,confidence:double>>"
-    row = row.withColumn("languages", F.coalesce("languages", F.from_json(F.lit("{}"), empty)))
+    state = score_state(files, hits, DETECTORS).join(_language_rows(files), "repo_id", "left")
+    row = d.detected(_without_nulls(materialize(state, "scores")), DETECTORS)
+    row = row.withColumn("languages", d.languages_from_counts(F.col("languages")))
     connection_rules: dict[str, tuple[int, str]] = {}
     for rule in rules.content_rules:
         if rule.tech.startswith("connection:"):

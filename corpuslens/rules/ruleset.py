@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from corpuslens.functions.regex import anchors, to_java
 from corpuslens.rules import architecture, build, databases, devops, frameworks, frontend, testing
@@ -316,6 +317,7 @@ def _numbered(rules):
     return tuple(replace(rule, ordinal=i) for i, rule in enumerate(dict.fromkeys(rules)))
 
 
+@lru_cache(maxsize=1)
 def default_rules() -> RuleSet:
     """Every shipped rule, numbered in order."""
     return RuleSet(_numbered(_path_rules()), _numbered(_content_rules()))
