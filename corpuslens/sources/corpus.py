@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpuslens.functions import paths, text
 from corpuslens.rules import eligibility as e
@@ -69,57 +71,86 @@ def load_corpus(
     exclude_patterns: list[str] | None = None,
     extensions: list[str] | None = None,
 ) -> DataFrame:
-    """Read every repository under ``root`` from any file system Spark can list.
+    """Read every repository under ``root``, a local or remote file system location.
 
-    A directory holding ``.git`` is a repository, as is a child of ``root`` holding one.
+    A directory holding ``.git`` is a repository (named "." when it is the root itself), as is a
+    child of the root holding one.  Spark's own file sources skip names that start with a dot,
+    which here are evidence, so tasks list the directories themselves: one entry of the listing per
+    child directory, then the files spread over all tasks for reading.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = F.lit(_uri(spark, root).rstrip("/") + "/")
-    raw = listing.select(
-        F.substring("path", F.length(prefix) + 1, F.length("path")).alias("relative"),
-        F.col("length").alias("size"),
-        "content",
-    )
-    located = repository_of(raw)
-    name = paths.base_name(F.col("path"))
-    wanted = readable_name(name, extensions) & (F.col("size") <= max_file_bytes)
-    decoded = located.select(
-        "repo_id", "path", "size", F.when(wanted, text.decode_lossy(F.col("content"))).alias("content")
+    listed = list_repositories(spark, root, excluded)
+    wanted = readable_name(paths.base_name(F.col("path")), extensions) & (F.col("size") <= max_file_bytes)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread_out = listed.withColumn("wanted", wanted).repartition(parts, "repo_id", "path")
+    loaded = spread_out.mapInPandas(_read_texts, "repo_id string, path string, size bigint, content string")
+    return from_table(loaded, excluded, max_file_bytes, exclude_patterns, extensions)
+
+
+def list_repositories(spark: SparkSession, root: str, excluded: list[str] | None = None) -> DataFrame:
+    """(repo_id, path, size, location) of every file, excluded directories pruned while listing."""
+    from pyarrow import fs
+
+    base = root if "://" in root else os.path.abspath(root)
+    files, folder = fs.FileSystem.from_uri(base)
+    whole = files.get_file_info(f"{folder}/.git").type == fs.FileType.Directory
+    skipped = frozenset(excluded or e.EXCLUDED_DIRECTORIES)
+    entries = [
+        (base, folder, info.base_name, info.type == fs.FileType.Directory, whole, info.size or 0)
+        for info in files.get_file_info(fs.FileSelector(folder))
+        if (whole or info.type == fs.FileType.Directory) and not (info.type == fs.FileType.Directory and info.base_name in skipped)
+    ]
+    columns = "base string, folder string, name string, is_folder boolean, whole boolean, size bigint"
+    starts = spark.createDataFrame(entries, columns)
+    tasks = max(1, min(len(entries), 10 * spark.sparkContext.defaultParallelism))
+
+    def walk(batches):
+        for batch in batches:
+            for start in batch.itertuples():
+                rows = list(_walk(start, skipped))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["repo_id", "path", "size", "location", "base"])
+
+    return starts.repartition(tasks).mapInPandas(
+        walk, "repo_id string, path string, size bigint, location string, base string"
     )
-    return from_table(decoded, excluded, max_file_bytes, exclude_patterns, extensions)
-
-
-def _uri(spark: SparkSession, root: str) -> str:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
-    return status.getPath().toString()
 
 
-def repository_of(raw: DataFrame) -> DataFrame:
-    """Split ``relative`` paths into repository and path.
-
-    When the root itself holds ``.git`` everything is one repository named ".".  Otherwise each
-    first-level directory that holds ``.git`` is one, and files outside of those are left out.
-    """
-    relative = F.col("relative")
-    first = paths.first_level_directory(relative)
-    marker = F.when(F.startswith(relative, F.lit(".git/")), F.lit(".")).when(
-        F.startswith(relative, F.concat(first, F.lit("/.git/"))), first
-    )
-    roots = raw.select(marker.alias("root")).where("root is not null").distinct()
-    whole = roots.where("root = '.'")
-    within = raw.withColumn("first", first)
-    single = within.join(F.broadcast(whole.limit(1)), F.lit(True), "left_semi").select(
-        F.lit(".").alias("repo_id"), relative.alias("path"), "size", "content"
-    )
-    several = (
-        within.join(roots.where("root <> '.'").withColumnRenamed("root", "first"), "first", "left_semi")
-        .join(F.broadcast(whole.limit(1)), F.lit(True), "left_anti")
-        .select(
-            F.col("first").alias("repo_id"),
-            F.substring("relative", F.length("first") + 2, F.length("relative")).alias("path"),
-            "size",
-            "content",
-        )
-    )
-    return single.unionByName(several)
+def _walk(start, skipped):
+    from pyarrow import fs
+
+    files, _ = fs.FileSystem.from_uri(start.base)
+    top = f"{start.folder}/{start.name}"
+    if not start.is_folder:
+        yield ".", start.name, start.size, top, start.base
+        return
+    if not start.whole and files.get_file_info(f"{top}/.git").type != fs.FileType.Directory:
+        return
+    repo, cut = (".", len(start.folder) + 1) if start.whole else (start.name, len(top) + 1)
+    pending = [top]
+    while pending:
+        for info in files.get_file_info(fs.FileSelector(pending.pop())):
+            if info.type == fs.FileType.Directory:
+                if info.base_name not in skipped:
+                    pending.append(info.path)
+            else:
+                yield repo, info.path[cut:], info.size, info.path, start.base
+
+
+def _read_texts(batches):
+    """Text of the wanted files: malformed bytes dropped, line ends unified."""
+    from pyarrow import fs
+
+    for batch in batches:
+        texts = []
+        for row in batch.itertuples():
+            if not row.wanted:
+                texts.append(None)
+                continue
+            files, _ = fs.FileSystem.from_uri(row.base)
+            try:
+                with files.open_input_stream(row.location) as stream:
+                    body = stream.read().decode("utf-8", errors="ignore")
+                texts.append(body.replace("\r\n", "\n").replace("\r", "\n"))
+            except OSError:
+                texts.append(None)
+        yield batch[["repo_id", "path", "size"]].assign(content=texts)
