@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks import stack_sql as q
 from corpuslens.functions import paths, text
-from corpuslens.operators import answers, facts, landscape, prompts, recommend, report, sampling, scan, scores, validation
+from corpuslens.operators import answers, content_facts, facts, landscape, prompts, recommend, report, sampling, scan, scores, validation
 from corpuslens.plans import analysis
 from corpuslens.rules import sampling as sampling_rules
 from corpuslens.rules import eligibility, frameworks
@@ -158,12 +158,9 @@ SELECT repo_id, detector, tech, CAST(sum(points) AS DOUBLE) AS points FROM conte
 UNION ALL SELECT DISTINCT repo_id, detector, tech, 0.0 FROM content_hits WHERE detector = 'flag'"""))
 def content_rule_hits(spark, sf_dir):
     files = corpus(spark, sf_dir)
-    hits = (
-        scan.content_hits(files, default_rules())
-        .unionByName(facts.dependency_hits(files, ["frontend", "testing"], eligibility.MAX_SCANNED_CHARS))
-        .unionByName(facts.content_specials(files, eligibility.MAX_SCANNED_CHARS))
-    )
-    return hits.groupBy("repo_id", "detector", "tech").agg(F.sum("points").alias("points"))
+    hits = scan.content_hits(files, default_rules(), content_facts.wanted_facts(analysis.DETECTORS))
+    of_rules = ~F.col("detector").isin("count", "manifest", "source_language") & ~F.startswith("tech", F.lit("fact:"))
+    return hits.where(of_rules).groupBy("repo_id", "detector", "tech").agg(F.sum("points").alias("points"))
 
 
 _PAGE_RULES = default_rules().for_detectors(["frontend", "devops", "testing"])
@@ -336,9 +333,8 @@ def repository_facts(spark, sf_dir):
 _STACK = q.stack_sql()
 
 
-def analysed(spark: SparkSession, sf_dir: str, keep_hits: bool = False) -> analysis.Analysis:
-    """Scores need one pass over the hits, so nothing is written unless evidence is asked for."""
-    return analysis.analyze(corpus(spark, sf_dir), keep_hits=keep_hits)
+def analysed(spark: SparkSession, sf_dir: str) -> analysis.Analysis:
+    return analysis.analyze(corpus(spark, sf_dir))
 
 
 @check("cross_validated_stack", with_(_STACK, select="SELECT repo_id, category, tech, matches, round(confidence, 4) AS confidence FROM stack"))
@@ -348,7 +344,7 @@ def cross_validated_stack(spark, sf_dir):
 
 @check("stack_with_evidence")
 def stack_with_evidence(spark, sf_dir):
-    return analysed(spark, sf_dir, keep_hits=True).stack
+    return analysed(spark, sf_dir).stack
 
 
 @check("primary_technologies", with_(_STACK, select="SELECT * FROM prim"))
@@ -781,7 +777,7 @@ def report_text(spark, sf_dir):
 
 @check("report_markdown")
 def report_markdown(spark, sf_dir):
-    found = analysed(spark, sf_dir, keep_hits=True)
+    found = analysed(spark, sf_dir)
     return report.markdown_report(found.stack, found.primary, found.meta.withColumn("analyzed_at", F.lit("now")))
 
 

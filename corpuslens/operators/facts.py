@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens.functions import paths
-from corpuslens.functions.text import has_requirement_line, manifest_sections
+from corpuslens.functions.text import manifest_sections
 from corpuslens.operators.scan import test_directory
-from corpuslens.rules import architecture, devops, frameworks, frontend, languages, testing
-from corpuslens.rules.ruleset import DEPENDENCY_RANK, FILE_RANK, NAME_RANK, listed
+from corpuslens.rules import architecture, frameworks, languages, testing
 
 
 def lookup_table(df: DataFrame, rows: list[tuple], schema: str, limit: int = 50_000) -> DataFrame:
@@ -169,82 +168,10 @@ def repository_facts(files: DataFrame) -> DataFrame:
     )
 
 
-def manifest_facts(files: DataFrame) -> DataFrame:
-    """Flags from files whose structure, not their words, counts; reads only such files."""
-    path, content, lower = F.col("path"), F.col("content"), F.lower("path")
-    name = paths.base_name(path)
-
-    def has(*words):
-        return reduce(Column.__and__, [F.contains(content, F.lit(w)) for w in words])
-
-    def ends(*suffixes):
-        return reduce(Column.__or__, [F.endswith(path, F.lit(s)) for s in suffixes])
-
-    flags = {
-        "package_json": ends("package.json"),
-        "pip_file": ends("requirements.txt", "setup.py"),
-        "valid_pom": ends("pom.xml") & has("<project", "<artifactId>") & (has("<groupId>") | has("<parent>")),
-        "valid_gradle": ends("build.gradle", "build.gradle.kts") & has("repositories", "dependencies"),
-        "valid_webpack": F.contains(lower, F.lit("webpack")) & ends(".js") & has("module.exports")
-        & (has("entry") | has("output") | has("module")),
-        "django_files": F.contains(path, F.lit("settings.py")) | F.contains(path, F.lit("urls.py")) | F.contains(path, F.lit("manage.py")),
-        "jsx_files": ends(".jsx", ".tsx"),
-        "tailwind_file": F.contains(path, F.lit("tailwind.config.js")),
-        "python_files": ends(".py"),
-        "javascript_files": ends(".js", ".jsx", ".ts", ".tsx"),
-        "ruby_files": ends(".rb"),
-    }
-    listed = ends("requirements.txt") & has_requirement_line(content)
-    declared = ends("setup.py") & has("install_requires", "[", "]")
-    parsed = F.from_json(content, "dependencies string, devDependencies string")
-    declares = parsed["dependencies"].isNotNull() | parsed["devDependencies"].isNotNull()
-    manifest = F.when(ends("package.json"), F.struct(path.alias("path"), F.coalesce(declares, F.lit(False)).alias("declares")))
-    return (
-        files.where("content is not null")
-        .groupBy("repo_id")
-        .agg(
-            *[F.coalesce(F.bool_or(test), F.lit(False)).alias(flag) for flag, test in flags.items()],
-            F.count_if(listed | declared).alias("pip_declarations"),
-            F.coalesce(F.min(manifest)["declares"], F.lit(False)).alias("first_manifest_declares"),
-        )
-    )
-
-
-def content_specials(files: DataFrame, max_chars: int) -> DataFrame:
-    """Container, orchestration and workflow files recognised by several words together."""
-    content = F.col("content")
-    name = paths.base_name(F.col("path"))
-
-    def has(*words):
-        return reduce(Column.__and__, [F.contains(content, F.lit(w)) for w in words])
-
-    entries = [
-        ("Docker", "containerization", "Found Dockerfile-like content in: ",
-         has("FROM ", "RUN ") & (has("WORKDIR ") | has("COPY ") | has("CMD "))),
-        ("Kubernetes", "containerization", "Found Kubernetes manifest in: ",
-         has("apiVersion: ", "kind: ", "metadata:", "spec:")),
-        ("GitHub Actions", "cicd", "Found GitHub Actions workflow in: ",
-         has("name: ", "on: ", "jobs:", "steps:", "uses: ")),
-    ]
-    found = F.array_compact(
-        F.array(*[
-            F.when(test, F.struct(
-                F.lit(tech).alias("tech"),
-                F.lit(FILE_RANK + devops.SUB_CATEGORIES.index(category)).alias("category"),
-                F.concat(F.lit(label), name).alias("evidence"),
-            ))
-            for tech, category, label, test in entries
-        ])
-    )
-    return (
-        files.where("content is not null")
-        .where(F.length("content") <= max_chars)
-        .select("repo_id", "path", F.inline(found))
-        .select(
-            "repo_id", "path", F.lit("devops").alias("detector"), "tech", F.lit(15.0).alias("points"),
-            "category", F.lit(4).alias("step"), F.lit(0).alias("ordinal"), "evidence",
-        )
-    )
+def first_manifests(hits: DataFrame) -> DataFrame:
+    """Whether the first package manifest of a repository, by path, declares dependencies."""
+    first = F.min(F.struct("path", "tech"))
+    return hits.where("detector = 'manifest'").groupBy("repo_id").agg((first["tech"] == "declares").alias("first_manifest_declares"))
 
 
 def manifest_dependencies(files: DataFrame) -> DataFrame:
@@ -259,24 +186,3 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
     return parsed.select("repo_id", "path", "chars", F.inline(F.array(*sections))).select(
         "repo_id", "path", "chars", "section", F.explode("packages").alias("package")
     )
-
-
-def dependency_hits(files: DataFrame, detectors, max_chars: int) -> DataFrame:
-    """Frontend and testing hits of manifest packages."""
-    rows = []
-    for package, (tech, category) in frontend.DEPENDENCIES.items():
-        rows.append(("frontend", package, tech, NAME_RANK + frontend.SUB_CATEGORIES.index(category), 2))
-    for tech, packages in testing.NPM.items():
-        rank = DEPENDENCY_RANK + testing.SUB_CATEGORIES.index(listed(testing.NPM_CATEGORY, tech))
-        rows += [("testing", package, tech, rank, 3) for package in packages]
-    rows = [(*r, i) for i, r in enumerate(rows) if r[0] in detectors]
-    table = lookup_table(files, rows, "detector string, package string, tech string, category int, step int, ordinal int")
-    return (
-        manifest_dependencies(files)
-        .join(table, "package")
-        .where((F.col("detector") != "frontend") | (F.col("chars") <= max_chars))
-        .select(
-            "repo_id", "path", "detector", "tech", F.lit(15.0).alias("points"), "category", "step", "ordinal",
-            F.concat(F.lit("Found in "), "section", F.lit(": "), "package").alias("evidence"),
-        )
-    )

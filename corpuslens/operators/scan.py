@@ -284,8 +284,11 @@ def _scopes(rules: RuleSet, path: Column, name: Column, content: Column, lowered
     return F.array_compact(F.array(*entries)) if entries else F.array().cast("array<string>")
 
 
-def content_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
-    """Hits of the content rules; reads the text of each file once and returns no text."""
+def content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None = None) -> DataFrame:
+    """Hits of the content rules; reads the text of each file once and returns no text.
+
+    ``facts`` are further arrays of hits over ``path``, ``name`` and ``content``, computed alongside.
+    """
     content, path, name = F.col("content"), F.col("path"), F.col("name")
     base = (
         files.where("content is not null")
@@ -334,18 +337,19 @@ def content_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
         F.transform(selected, lambda r: F.struct(r.alias("rule"), found(r).alias("found"))),
         lambda e: (e["rule"]["kind"] == "literal") | (F.size(e["found"]) > 0),
     )
-    rows = base.select("repo_id", "path", "name", F.inline(F.transform(matched, counted)))
-    return _content_rows(rows)
+    hits = F.transform(F.transform(matched, counted), lambda c: _content_hit(c, name))
+    return base.select("repo_id", "path", F.inline(F.concat(hits, *(facts or []))))
 
 
-def _content_rows(rows: DataFrame) -> DataFrame:
-    rule, match, name = F.col("rule"), F.col("match"), F.col("name")
+def _content_hit(counted: Column, name: Column) -> Column:
+    """Points and evidence of one matched rule."""
+    rule, match, imported = counted["rule"], counted["match"], counted["imported"]
     style, tech = rule["style"], rule["tech"]
-    n = F.when(rule["cap"] > 0, F.least("n", rule["cap"])).otherwise(F.col("n"))
+    n = F.when(rule["cap"] > 0, F.least(counted["n"], rule["cap"])).otherwise(counted["n"])
     in_name = F.concat(F.lit(" in "), name)
     evidence = (
         F.when(style == "literal", F.concat(
-            F.when(F.col("imported"), F.lit("Found import: ")).otherwise(F.lit("Found pattern: ")),
+            F.when(imported, F.lit("Found import: ")).otherwise(F.lit("Found pattern: ")),
             rule["pattern"], in_name))
         .when(style == "requirement", F.concat(F.lit("Found pattern: "), rule["pattern"], in_name))
         .when(style == "dependency", F.concat(F.lit("Found dependency: "), rule["label"], in_name))
@@ -362,14 +366,12 @@ def _content_rows(rows: DataFrame) -> DataFrame:
         .when(style == "package", F.concat(F.lit("Found in "), rule["label"]))
         .when(style == "test_import", F.concat(F.lit("Found import"), in_name, F.lit(": "), text.shorten(match)))
         .when(style == "test_code", F.concat(F.lit("Found code pattern"), in_name, F.lit(": "), text.shorten(match)))
-        .otherwise(F.col("proof"))
+        .otherwise(counted["proof"])
     )
-    return rows.select(
-        "repo_id",
-        "path",
+    return F.struct(
         rule["detector"].alias("detector"),
         tech.alias("tech"),
-        (n * rule["weight"] * F.when(F.col("imported"), 2).otherwise(1)).cast("double").alias("points"),
+        (n * rule["weight"] * F.when(imported, 2).otherwise(1)).cast("double").alias("points"),
         rule["category"].alias("category"),
         rule["step"].alias("step"),
         rule["ordinal"].alias("ordinal"),

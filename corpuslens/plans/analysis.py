@@ -12,8 +12,7 @@ from pyspark.sql import Window as W
 from corpuslens.functions.numbers import exact_round
 from corpuslens.operators import detectors as d
 from corpuslens.operators import evidence
-from corpuslens.operators import facts, scan, scores, validation
-from corpuslens.rules.eligibility import MAX_SCANNED_CHARS
+from corpuslens.operators import content_facts, facts, scan, scores, validation
 from corpuslens.rules.ruleset import RuleSet, default_rules
 from corpuslens.session import materialize
 
@@ -28,12 +27,7 @@ def detector_hits(files: DataFrame, rules: RuleSet, wanted: list[str]) -> DataFr
     parts = []
     if rules.path_rules:
         parts.append(scan.path_hits(files, rules))
-    if rules.content_rules:
-        parts.append(scan.content_hits(files, rules))
-    if {"frontend", "testing"} & set(wanted):
-        parts.append(facts.dependency_hits(files, wanted, MAX_SCANNED_CHARS))
-    if "devops" in wanted:
-        parts.append(facts.content_specials(files, MAX_SCANNED_CHARS))
+    parts.append(scan.content_hits(files, rules, content_facts.wanted_facts(wanted)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -46,15 +40,12 @@ def _language_rows(files: DataFrame) -> DataFrame:
 
 def score_state(files: DataFrame, hits: DataFrame, wanted: list[str]) -> DataFrame:
     """One row per repository with raw score maps, flags and everything corrections look at."""
-    columns = [c for w in wanted for c in [w, *_PARTS.get(w, [])]]
+    columns = [c for w in wanted for c in [w, *_PARTS.get(w, [])]] + ["source_language", "count"]
     state = scores.score_rows(scores.tallies(hits), columns)
     base = files.groupBy("repo_id").agg(F.lit(1).alias("known")).drop("known")
     state = base.join(state, "repo_id", "left")
-    if set(wanted) & {"frameworks", "build_systems", "package_managers", "frontend", "testing"}:
-        state = state.join(facts.manifest_facts(files), "repo_id", "left")
-    if "frameworks" in wanted:
-        dominant = facts.dominant_languages(files).groupBy("repo_id").agg(F.collect_list("language").alias("dominant"))
-        state = state.join(dominant, "repo_id", "left")
+    if "package_managers" in wanted:
+        state = state.join(facts.first_manifests(hits), "repo_id", "left")
     if "architecture" in wanted:
         state = (
             state.join(facts.component_counts(files), "repo_id", "left")
@@ -64,7 +55,17 @@ def score_state(files: DataFrame, hits: DataFrame, wanted: list[str]) -> DataFra
     if "testing" in wanted:
         covered = facts.test_source_ratio(files).groupBy("repo_id").agg(F.count("*").alias("covered_extensions"))
         state = state.join(covered, "repo_id", "left")
-    return _without_nulls(state)
+    return _with_shapes(_without_nulls(state))
+
+
+def _with_shapes(state: DataFrame) -> DataFrame:
+    """Columns for the facts that the content pass left in the flags and counts."""
+    languages = F.col("source_language")
+    total = F.aggregate(F.map_values(languages), F.lit(0.0), lambda a, v: a + v)
+    dominant = F.map_keys(F.map_filter(languages, lambda _, v: v > total * 0.1))
+    declared = F.coalesce(scores.score(F.col("count"), "pip_declarations"), F.lit(0.0))
+    shapes = {name: F.array_contains("flags", f"fact:{name}") for name in content_facts.SHAPE_FLAGS}
+    return state.withColumns({"dominant": dominant, "pip_declarations": declared, **shapes}).drop("source_language", "count")
 
 
 def _without_nulls(state: DataFrame) -> DataFrame:
@@ -191,18 +192,15 @@ class Analysis:
         return self.hits.unionByName(evidence.derived(self.files, self.hits, self.rows, self.connection_rules))
 
 
-def analyze(files: DataFrame, rules: RuleSet | None = None, min_confidence: float = validation.MIN_CONFIDENCE,
-            keep_hits: bool = True) -> Analysis:
+def analyze(files: DataFrame, rules: RuleSet | None = None, min_confidence: float = validation.MIN_CONFIDENCE) -> Analysis:
     """Analyse a corpus of ``(repo_id, path, size, content)`` rows.
 
-    The score rows, one per repository, are written to the shared folder once; the stack, the
-    primary technologies and all that follows read this small table and never the corpus again.
-    ``keep_hits`` does the same for the hits, which evidence needs besides the scores.
+    File contents are read once: the hits go to the shared folder as a narrow table.  From them and
+    from the paths come the score rows, one per repository, which are written there too; the stack,
+    the primary technologies and all that follows read these and never the contents again.
     """
     rules = rules or default_rules()
-    hits = detector_hits(files, rules, DETECTORS)
-    if keep_hits:
-        hits = materialize(hits, "hits")
+    hits = materialize(detector_hits(files, rules, DETECTORS), "hits")
     state = score_state(files, hits, DETECTORS).join(_language_rows(files), "repo_id", "left")
     row = d.detected(_without_nulls(materialize(state, "scores")), DETECTORS)
     row = row.withColumn("languages", d.languages_from_counts(F.col("languages")))

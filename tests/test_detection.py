@@ -97,7 +97,7 @@ def test_result_does_not_depend_on_partitioning(spark):
     rows = [("r", p, b) for p, b in REPOSITORIES["node_repo"].items()]
     files = from_table(spark.createDataFrame(rows, "repo_id string, path string, content string"))
     one, many = (
-        sorted(map(str, analyze(files.repartition(n), keep_hits=False).scored.collect())) for n in (1, 7)
+        sorted(map(str, analyze(files.repartition(n)).scored.collect())) for n in (1, 7)
     )
     assert one == many and one
 
