@@ -33,9 +33,9 @@ def names(values) -> str:
 
 def exact_round(value: str, digits: int) -> str:
     """Round the exact binary value, ties to even."""
-    scaled = f"(CAST({value} * {2.0**46!r} AS HUGEINT) * {10**digits})"
-    whole, rest = f"({scaled} // {2**46})", f"({scaled} % {2**46})"
-    up = f"CASE WHEN {rest} > {2**45} OR ({rest} = {2**45} AND {whole} % 2 = 1) THEN 1 ELSE 0 END"
+    scaled = f"(CAST({value} * {2.0**56!r} AS HUGEINT) * {10**digits})"
+    whole, rest = f"({scaled} // {2**56})", f"({scaled} % {2**56})"
+    up = f"CASE WHEN {rest} > {2**55} OR ({rest} = {2**55} AND {whole} % 2 = 1) THEN 1 ELSE 0 END"
     return f"CAST({whole} + {up} AS DOUBLE) / {float(10**digits)!r}"
 
 

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BITS = 46  # a double up to 128 is a whole number of 2**-46 steps; smaller fractions do not matter
+_BITS = 46
 
 
 def _units(value: Column, digits: int) -> Column:
-    """A value between 0 and 128 in whole units of the last kept digit."""
-    scaled = (value * float(1 << _BITS)).cast("bigint") * (10**digits)
+    """A value between 1 and 128 in whole units of the last kept digit.
+
+    The value is cut into a whole number of 2**-46 steps and the fraction of a step that is left;
+    both, and the products below, are exact.
+    """
+    steps = value * float(1 << _BITS)
+    scaled = F.floor(steps).cast("bigint") * (10**digits)
     whole = F.shiftright(scaled, _BITS)
-    rest = scaled - F.shiftleft(whole, _BITS)
-    half = F.lit(1 << (_BITS - 1))
+    rest = (scaled - F.shiftleft(whole, _BITS)).cast("double") + (steps - F.floor(steps)) * float(10**digits)
+    half = float(1 << (_BITS - 1))
     return whole + F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)
 
 

@@ -48,7 +48,7 @@ def test_requirement_lines(spark):
 
 
 def test_rounding_matches_python(spark):
-    values = [1.285, 2.675, 62.25, 66.65, 14.625, 99.995, 33.333333, 100.0, 5.05, 12.35]
+    values = [1.285, 2.675, 62.25, 66.65, 14.625, 99.995, 33.333333, 100.0, 5.05, 12.35, 21.55, 50.85, 19.35, 21.05, 46.35]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     rows = df.select("v", numbers.exact_round(F.col("v"), 2), numbers.one_decimal(F.col("v"))).collect()
     assert [(r[1], r[2]) for r in rows] == [(round(v, 2), f"{v:.1f}") for v in values]
