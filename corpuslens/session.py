@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def build_session(master: str = "local[*]", shuffle_partitions: int | None = Non
 
 
 def shared_directory(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only in a single local process, as in tests."""
     configured = spark.conf.get(CHECKPOINT_SETTING, "") or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(CHECKPOINT_SETTING, configured)
     return configured.rstrip("/")
