@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import fingerprints
+from corpuslens.llm import fingerprints, quality
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(run):
 @query
 def op10_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_rules(spark, sf_dir):
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
