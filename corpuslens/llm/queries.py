@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuslens.llm import fingerprints, quality
+from corpuslens.llm import fingerprints, pii, quality, secrets
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,17 @@ def op10_document_fingerprints(spark, sf_dir):
 @query
 def op5_quality_rules(spark, sf_dir):
     return quality.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_secret_scan(spark, sf_dir):
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    counts = [F.get("counts", F.lit(i)).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op6_personal_data(spark, sf_dir):
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    counts = [F.get("counts", F.lit(i)).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
