@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +16,21 @@ from corpuslens.session import materialize
 
 ROWS_AT_ONCE = 256  # rows whose texts are Python strings at the same time
 
-__all__ = ["add_columns", "documents_of", "held_out", "materialize", "read_table", "text_or_empty"]
+__all__ = ["add_columns", "documents_of", "held_out", "materialize", "once_per_process", "read_table", "text_or_empty"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def once_per_process(key: tuple, make: Callable):
+    """An object that all tasks of a Python worker share; functions sent by value have no other place for it."""
+    held = sys.modules.setdefault("corpuslens_worker_objects", ModuleType("corpuslens_worker_objects")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def text_or_empty(docs: DataFrame) -> Column:
     """The text of a document; a null text is an empty one."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import fingerprints, pii, quality, secrets
+from corpuslens.llm import bpe, fingerprints, pii, quality, secrets
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,8 @@ def op6_personal_data(spark, sf_dir):
     found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
     counts = [F.get("counts", F.lit(i)).alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op2_bpe_round_trip(spark, sf_dir):
+    return bpe.digests(read_table(spark, sf_dir, "documents"))
