@@ -140,7 +140,7 @@ def is_signed_token(token: str) -> bool:
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     spans = [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     begins = list(_BEGIN.finditer(text))
-    for begin, limit in zip(begins, [*(b.start() for b in begins[1:]), len(text)], strict=True):
+    for begin, limit in zip(begins, [*(b.start() for b in begins[1:]), len(text)], strict=False):
         footer = f"-----END {begin[1]}-----"
         end = text.find(footer, begin.end(), limit)
         if end < 0:
