@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 from types import ModuleType
 
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpuslens.session import materialize
+from corpuslens.session import materialize, shared_directory
 
 ROWS_AT_ONCE = 256  # rows whose texts are Python strings at the same time
 
-__all__ = ["add_columns", "documents_of", "held_out", "materialize", "once_per_process", "read_table", "text_or_empty"]
+__all__ = ["add_columns", "documents_of", "held_out", "materialize", "once_per_process", "read_table", "text_or_empty", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +32,13 @@ def once_per_process(key: tuple, make: Callable):
     return held[key]
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """As ``materialize``, packed tighter: for tables that hold texts or many hashes."""
+    target = f"{shared_directory(df.sparkSession)}/corpuslens/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
 def text_or_empty(docs: DataFrame) -> Column:
     """The text of a document; a null text is an empty one."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))

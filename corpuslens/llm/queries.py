@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, fingerprints, pii, quality, secrets
+from corpuslens.llm import bpe, fingerprints, pii, quality, secrets, suffix_dedup
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op6_personal_data(spark, sf_dir):
 @query
 def op2_bpe_round_trip(spark, sf_dir):
     return bpe.digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
