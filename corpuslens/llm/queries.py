@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, fingerprints, pii, quality, secrets, suffix_dedup
+from corpuslens.llm import bpe, fingerprints, pii, quality, secrets, suffix_dedup, toxicity
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op2_bpe_round_trip(spark, sf_dir):
 @query
 def op9_suffix_array_dedup(spark, sf_dir):
     return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
