@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentences are scored, only documents are labelled.
 
 A document is toxic if any of its sentences is: its score is the noisy-or of the sentence scores,
-1 - prod(1 - p).  A sentence's score is a logistic function of the words in it.  Words and weights are
+1 - prod(1 - p).  A sentence's score is a logistic function of the words in it and of their stems (first
+four to seven letters, marked ``~``), so that inflected forms count that no training text holds.  Words and weights are
 learned from document labels alone, on at most ``TRAIN_ROWS`` labelled documents of the learning folds
 (those with the smallest hashes of their ids); the words are those whose presence depends on the label.
 The gradient of the noisy-or gives each sentence its share of the blame, so that sentence scores locate
@@ -11,6 +12,7 @@ what is toxic (``offending_sentences``).
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +26,7 @@ VOCABULARY = 2000
 LEAST_DOCUMENTS = 4
 LEAST_SHARE = 0.002
 LEAST_CHI_SQUARE = 20.0
+STEMS = range(4, 8)  # letters
 STEPS = 400
 SPARSITY = 3e-4
 
@@ -37,7 +40,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """Words and stems."""
+    found = set(_WORD.findall(text.lower()))
+    return found | {w[:k] + "~" for w in found for k in STEMS if len(w) > k}
 
 
 @dataclass(frozen=True)
@@ -45,21 +50,33 @@ class Model:
     weights: dict[str, float]
     bias: float
 
-    def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of every sentence."""
-        quiet = 1 / (1 + np.exp(-self.bias))
-        found = []
-        for start, end in sentences(text):
-            margin = sum(self.weights[w] for w in words(text[start:end]) & self.weights.keys())
-            found.append((start, end, 1 / (1 + np.exp(-self.bias - margin)) if margin else quiet))
-        return found
+    def scorer(self) -> Callable[[str], list[tuple[int, int, float]]]:
+        """A function that gives (start, end, score) of every sentence of a text."""
+        heads: dict[str, list[tuple[str, bool, float]]] = {}
+        for known, weight in self.weights.items():
+            stem = known.endswith("~")
+            heads.setdefault(known.rstrip("~")[: STEMS[0]], []).append((known.rstrip("~"), stem, weight))
+        quiet = float(1 / (1 + np.exp(-self.bias)))
 
-    def score(self, text: str) -> float:
-        """Noisy-or over the sentences."""
-        rest = 1.0
-        for _, _, p in self.sentence_scores(text):
-            rest *= 1 - p
-        return float(1 - rest)
+        def scored(text: str) -> list[tuple[int, int, float]]:
+            found = []
+            for start, end in sentences(text):
+                hits = {}
+                for word in _WORD.findall(text[start:end].lower()):
+                    for known, stem, weight in heads.get(word[: STEMS[0]], ()):
+                        if word == known and not stem or stem and len(word) > len(known) and word.startswith(known):
+                            hits[known, stem] = weight
+                found.append((start, end, float(1 / (1 + np.exp(-self.bias - sum(hits.values())))) if hits else quiet))
+            return found
+
+        return scored
+
+
+def noisy_or(scored: list[tuple[int, int, float]]) -> float:
+    rest = 1.0
+    for _, _, p in scored:
+        rest *= 1 - p
+    return 1 - rest
 
 
 def train(bags: list[list[list[int]]], silent: np.ndarray, labels: np.ndarray, n_words: int) -> tuple[np.ndarray, float]:
@@ -137,7 +154,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def start():
-        return lambda texts: [[model.score(t) for t in texts]]
+        scored = model.scorer()
+        return lambda texts: [[noisy_or(scored(t)) for t in texts]]
 
     rows = add_columns(documents_of(docs), "score double", start, ["doc_id"])
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -147,6 +165,7 @@ def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> Da
     """(doc_id, sentences): start, end and score of the sentences scored ``least`` or more."""
 
     def start():
-        return lambda texts: [[[{"start": s, "end": e, "score": float(p)} for s, e, p in model.sentence_scores(t) if p >= least] for t in texts]]
+        scored = model.scorer()
+        return lambda texts: [[[{"start": s, "end": e, "score": p} for s, e, p in scored(t) if p >= least] for t in texts]]
 
     return add_columns(documents_of(docs), "sentences array<struct<start:int,end:int,score:double>>", start, ["doc_id"])
