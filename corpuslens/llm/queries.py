@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, fingerprints, pii, quality, secrets, suffix_dedup, toxicity
+from corpuslens.llm import bpe, fingerprints, jaccard_join, pii, quality, secret_scan, suffix_dedup, toxicity
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,8 +31,8 @@ def op5_quality_rules(spark, sf_dir):
 
 @query
 def op4_secret_scan(spark, sf_dir):
-    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
-    counts = [F.get("counts", F.lit(i)).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS[:3])]
+    found = secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+    counts = [F.get("counts", F.lit(i)).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
@@ -56,3 +56,8 @@ def op9_suffix_array_dedup(spark, sf_dir):
 @query
 def op3_toxicity(spark, sf_dir):
     return toxicity.scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
