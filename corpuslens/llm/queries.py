@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, fingerprints, jaccard_join, pii, quality, secret_scan, suffix_dedup, toxicity
+from corpuslens.llm import bpe, fingerprints, jaccard_join, packing, pii, quality, secret_scan, suffix_dedup, toxicity
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op3_toxicity(spark, sf_dir):
 @query
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_retrieval_packing(spark, sf_dir):
+    return packing.pack(read_table(spark, sf_dir, "documents"))
