@@ -35,7 +35,7 @@ from corpuslens.llm.common import add_columns, once_per_process, written
 SIZE = 400
 ANCHOR = 128
 BLOCK_BYTES = 1 << 20
-GROUP_LIMIT = 20000
+GROUP_LIMIT = 2000  # contexts that a block holds at most
 SEGMENT = 1 << 20
 _POSITION_BITS = 21
 _BASE = 0x9E3779B97F4A7C15
