@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, fingerprints, jaccard_join, packing, pii, quality, secret_scan, suffix_dedup, toxicity
+from corpuslens.llm import bpe, fingerprints, jaccard_join, packing, pii, quality, secret_scan, suffix_dedup, toxicity, warc
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,15 @@ def op7_jaccard_join(spark, sf_dir):
 @query
 def op8_retrieval_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_warc_derivatives(spark, sf_dir):
+    records = warc.derivatives(warc.responses_of_pages(read_table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_block_digest",
+        "source_payload_digest", F.sha2(warc.record_text(), 256).alias("record_sha256"),
+    )
+
+
+SQL["op1_warc_derivatives"] = warc.DERIVATIVES_SQL
