@@ -17,7 +17,7 @@ from corpuslens.session import materialize, shared_directory
 
 ROWS_AT_ONCE = 256  # rows whose texts are Python strings at the same time
 
-__all__ = ["add_columns", "documents_of", "held_out", "materialize", "once_per_process", "read_table", "text_or_empty", "written"]
+__all__ = ["add_columns", "documents_of", "held_out", "materialize", "once_per_process", "read_table", "smallest_hashes", "text_or_empty", "written"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def smallest_hashes(rows: DataFrame, draw: Column, limit: int, *ties: str) -> DataFrame:
+    """The ``limit`` rows with the smallest draws (64-bit hashes), as a written table.
+
+    Rows far above the expected bound are dropped before the sort, so that what tasks send on does not
+    grow with their number.
+    """
+    n = rows.count()
+    if n > 4 * limit:
+        rows = rows.where(draw < -(1 << 63) + (1 << 64) * 2 * limit // n)
+    return written(rows.orderBy(draw, *ties).limit(limit), "sample")
+
+
 def text_or_empty(docs: DataFrame) -> Column:
     """The text of a document; a null text is an empty one."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))

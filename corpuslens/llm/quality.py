@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import add_columns, documents_of, materialize
+from corpuslens.llm.common import add_columns, documents_of, materialize, smallest_hashes
 
 SAMPLE_ROWS = 8192
 TREES = 100
@@ -208,7 +208,8 @@ def threshold(bins: dict[tuple[int, int], int]) -> int | None:
 def fit(counts: DataFrame, labels: DataFrame) -> Model:
     """Forests and thresholds from written statistics (with doc_id) and ``labels`` (doc_id, quality)."""
     passed = counts.where(~base_failed())
-    drawn = passed.orderBy(F.xxhash64("doc_id", *COUNTS), *COUNTS).limit(SAMPLE_ROWS).select(*COUNTS).toPandas()
+    drawn = smallest_hashes(passed.select("doc_id", *COUNTS), F.xxhash64("doc_id", *COUNTS), SAMPLE_ROWS, "doc_id", *COUNTS)
+    drawn = drawn.select("doc_id", *COUNTS).toPandas().sort_values(["doc_id", *COUNTS])[COUNTS]
     forests = {family: isolation_forest(rows) for family, rows in features(drawn).items()}
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     scored = _with_bins(passed.join(marked, "doc_id"), Model(forests, {}))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import add_columns, documents_of, held_out, written
+from corpuslens.llm.common import add_columns, documents_of, held_out, smallest_hashes, written
 
 TRAIN_ROWS = 10000
 VOCABULARY = 2000
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from ``labels`` (doc_id, toxic); without labels of both kinds its scores are constant."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # bounded, so it may be sent to all tasks
+    drawn = smallest_hashes(marked, F.xxhash64("doc_id"), TRAIN_ROWS, "doc_id")  # bounded, so it may be sent to all tasks
     rows = documents_of(docs).join(F.broadcast(drawn), "doc_id")
     # Copies of a text teach once, with the label that most of them have.
     rows = rows.groupBy("text").agg(F.round(F.avg("toxic")).cast("int").alias("toxic"))
