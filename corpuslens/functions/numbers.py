@@ -5,28 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BITS = 46
+_SPLIT = float((1 << 27) + 1)
+_WHOLE = float(1 << 53)  # from here on doubles have no fraction
 
 
-def _units(value: Column, digits: int) -> Column:
-    """A value between 1 and 128 in whole units of the last kept digit.
+def _units(magnitude: Column, digits: int) -> Column:
+    """A value from 0 in whole units of the last kept digit.
 
-    The value is cut into a whole number of 2**-46 steps and the fraction of a step that is left;
-    both, and the products below, are exact.
+    The shortest decimal that names a double decides unless it is a tie; then the exact value of the
+    double is compared with the tie: value * 2 * 10**digits - odd number, with the value in two halves
+    of 26 bits, so that every product and difference is exact.
     """
-    steps = value * float(1 << _BITS)
-    scaled = F.floor(steps).cast("bigint") * (10**digits)
-    whole = F.shiftright(scaled, _BITS)
-    rest = (scaled - F.shiftleft(whole, _BITS)).cast("double") + (steps - F.floor(steps)) * float(10**digits)
-    half = float(1 << (_BITS - 1))
-    return whole + F.when((rest > half) | ((rest == half) & (whole % 2 == 1)), 1).otherwise(0)
+    power = 10**digits
+    decimal = magnitude.cast("decimal(38,18)")
+    whole = F.floor(decimal * power).cast("bigint")
+    rest = decimal * power - whole
+    high = magnitude * _SPLIT - (magnitude * _SPLIT - magnitude)
+    beyond = (high * float(2 * power) - (2 * whole + 1).cast("double")) + (magnitude - high) * float(2 * power)
+    up = (rest > 0.5) | ((rest == 0.5) & ((beyond > 0) | ((beyond == 0) & (whole % 2 == 1))))
+    return whole + F.when(up, 1).otherwise(0)
+
+
+def _has_fraction(value: Column, digits: int) -> Column:
+    return F.abs(value) * float(10**digits) < _WHOLE
 
 
 def exact_round(value: Column, digits: int) -> Column:
-    return _units(value, digits) / float(10**digits)
+    """``round(value, digits)``; null, infinite, NaN and huge values stay as they are."""
+    value = value.cast("double")
+    rounded = _units(F.abs(value), digits) / float(10**digits)
+    return F.when(_has_fraction(value, digits), F.when(value < 0, -rounded).otherwise(rounded)).otherwise(value)
 
 
 def one_decimal(value: Column) -> Column:
     """Text with one decimal, as reports and prompts show it."""
-    units = _units(value, 1)
-    return F.concat(F.floor(units / 10).cast("string"), F.lit("."), (units % 10).cast("string"))
+    value = value.cast("double")
+    units = _units(F.abs(value), 1)
+    small = F.concat(F.floor(units / 10).cast("string"), F.lit("."), (units % 10).cast("string"))
+    large = F.concat(F.abs(value).cast("decimal(38,0)").cast("string"), F.lit(".0"))
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.concat(sign, F.when(_has_fraction(value, 1), small).otherwise(large))

@@ -45,17 +45,50 @@ def fenced_json(answer: Column) -> Column:
     )
 
 
+def _number(text: Column) -> Column:
+    return text.try_cast("double")
+
+
+def _texts(text: Column) -> Column:
+    """A list of texts, or one text as a list of one."""
+    listed = F.from_json(text, "array<string>")
+    return F.when(F.startswith(text, F.lit("[")), listed).when(text.isNotNull(), F.array(text))
+
+
+def _items(listed: Column, /, **kinds) -> Column:
+    """Items of a JSON list (an object counts as a list of one), every field read leniently."""
+    loose = F.from_json(listed, "array<struct<" + ",".join(f"{name}:string" for name in kinds) + ">>")
+    return F.transform(loose, lambda x: F.struct(*[(read(x[name]) if read else x[name]).alias(name) for name, read in kinds.items()]))
+
+
+def _aspects(text: Column) -> Column:
+    read = {"score": _number, "strengths": _texts, "weaknesses": _texts}
+    loose = F.from_json(text, "map<string,struct<score:string,strengths:string,weaknesses:string>>")
+    return F.transform_values(loose, lambda _, v: F.struct(*[f(v[name]).alias(name) for name, f in read.items()]))
+
+
 def parse_answers(raw: DataFrame, kind: str) -> DataFrame:
-    """Typed columns of raw answers of one kind; ``error`` is set where the JSON is malformed."""
-    fields = SCHEMAS[kind] + ", success boolean, error string, _corrupt_record string"
+    """Typed columns of raw answers of one kind; ``error`` is set where the JSON is malformed.
+
+    Only syntax makes an answer malformed (text after the JSON included); a field of another type than
+    usual is read as far as it goes: numbers in quotes, one text in place of a list.
+    """
+    lists = {
+        "technologies": {"technologies": dict(name=None, category=None, confidence=_number, evidence=_texts)},
+        "architecture": {"patterns": dict(name=None, type=None, confidence=_number, evidence=_texts)},
+        "code_quality": {"quality_assessment": None, "issues": dict(type=None, severity=None, description=None, location=None)},
+    }[kind] | {"suggestions": dict(text=None, severity=None, reason=None)}
+    text = fenced_json(F.col("answer"))
+    fields = ", ".join(f"{name} string" for name in (*lists, "success", "error"))
     # Generated columns are computed once; a plain projection would parse anew for every use.
-    parsed = raw.select(*raw.columns, F.inline(F.array(F.from_json(fenced_json(F.col("answer")), fields))))
-    broken = F.col("_corrupt_record").isNotNull() | F.col("answer").isNull()
-    error = F.when(broken, F.lit("Failed to parse AI response as JSON")).otherwise(F.col("error"))
-    judged = parsed.withColumns(
-        {"success": ~broken & error.isNull() & F.coalesce("success", F.lit(True)), "error": error}
-    )
-    return validated(judged.drop("_corrupt_record"), kind)
+    whole = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    loose = F.struct(F.from_json(text, fields).alias("loose"), F.coalesce(whole, F.lit(False)).alias("whole"))
+    parsed = raw.select(*raw.columns, F.inline(F.array(loose)))
+    read = {name: (_aspects(F.col(f"loose.{name}")) if kinds is None else _items(F.col(f"loose.{name}"), **kinds)) for name, kinds in lists.items()}
+    error = F.when(~F.col("whole"), F.lit("Failed to parse AI response as JSON")).otherwise(F.col("loose.error"))
+    succeeded = F.col("whole") & error.isNull() & F.coalesce(F.col("loose.success").try_cast("boolean"), F.lit(True))
+    judged = parsed.select(*raw.columns, *[value.alias(name) for name, value in read.items()], succeeded.alias("success"), error.alias("error"))
+    return validated(judged, kind)
 
 
 def _defaults(items: Column, **values) -> Column:

@@ -12,7 +12,9 @@ from corpuslens.operators.validation import CATEGORIES
 from corpuslens.rules import recommendations as r
 
 COMPANION_CATEGORIES = ["frameworks", "frontend", "testing", "build_systems", "package_managers"]
-_COLUMNS = ["repo_id", "text", "severity", "reason", "source", "place"]
+_COLUMNS = ["repo_id", "text", "severity", "reason", "source", "part", "section_no", "place"]
+# Parts in which recommendations of one severity follow each other.
+_LED, _COMPANIONS, _CONFLICTS, _PRACTICES, _AI = range(5)
 
 
 def _has(category: str, tech: str) -> Column:
@@ -53,14 +55,14 @@ def _conditions() -> dict[str, Column]:
     }
 
 
-def _rule_rows(flags: DataFrame, rules: dict, source: str, start: int, only=None) -> DataFrame:
+def _rule_rows(flags: DataFrame, rules: dict, source: str, part: int, only=None) -> DataFrame:
     conditions = _conditions()
     entries = [
         F.when(
             conditions[key],
             F.struct(
                 F.lit(text).alias("text"), F.lit(severity).alias("severity"), F.lit(reason).alias("reason"),
-                F.lit(source).alias("source"), F.lit(start + i).alias("place"),
+                F.lit(source).alias("source"), F.lit(part).alias("part"), F.lit(0).alias("section_no"), F.lit(i).cast("bigint").alias("place"),
             ),
         )
         for i, (key, (text, reason, severity)) in enumerate(rules.items())
@@ -88,14 +90,14 @@ def companions(primary: DataFrame, stack: DataFrame) -> DataFrame:
             "severity",
             F.concat("why", F.lit(" for "), "tech").alias("reason"),
             F.lit("stack_analysis").alias("source"),
-            (nth_category * 100 + F.col("nth")).alias("place"),
+            F.lit(_COMPANIONS).alias("part"), nth_category.alias("section_no"), F.col("nth").cast("bigint").alias("place"),
         )
     )
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
     """Most severe first, then in rule order; ``nth`` is the position within the repository."""
-    order = W.partitionBy("repo_id").orderBy(severity_rank(F.col("severity")), "place", "text")
+    order = W.partitionBy("repo_id").orderBy(severity_rank(F.col("severity")), "part", "section_no", "place", "text")
     return rows.select("repo_id", F.row_number().over(order).alias("nth"), "text", "severity", "reason", "source")
 
 
@@ -105,8 +107,8 @@ def recommendations(stack: DataFrame, primary: DataFrame, facts: DataFrame, ai:
     flags = rule_flags(stack, facts)
     rows = (
         companions(primary, stack).select(_COLUMNS)
-        .unionByName(_rule_rows(flags, r.CONFLICTS, "compatibility_analysis", 10_000))
-        .unionByName(_rule_rows(flags, r.BEST_PRACTICES, "best_practices", 20_000))
+        .unionByName(_rule_rows(flags, r.CONFLICTS, "compatibility_analysis", _CONFLICTS))
+        .unionByName(_rule_rows(flags, r.BEST_PRACTICES, "best_practices", _PRACTICES))
     )
     if ai is not None:
         fresh = ai.withColumn("key", F.lower("text")).join(
@@ -116,7 +118,7 @@ def recommendations(stack: DataFrame, primary: DataFrame, facts: DataFrame, ai:
         rows = rows.unionByName(
             first.select(
                 "repo_id", "f.text", "f.severity", "f.reason", F.lit("ai_analysis").alias("source"),
-                (30_000 + F.col("f.ord")).cast("int").alias("place"),
+                F.lit(_AI).alias("part"), F.lit(0).alias("section_no"), F.col("f.ord").cast("bigint").alias("place"),
             )
         )
     return _ordered(rows)
@@ -134,7 +136,7 @@ def review_recommendations(suggestions: DataFrame, stack: DataFrame, primary: Da
     )
     led = first.select(
         "repo_id", "text", "f.severity", F.coalesce("f.reason", F.lit("AI-detected suggestion")).alias("reason"),
-        F.col("f.section").alias("source"), (F.col("f.no") * 1000 + F.col("f.ord") - 10_000).cast("int").alias("place"),
+        F.col("f.section").alias("source"), F.lit(_LED).alias("part"), F.col("f.no").alias("section_no"), F.col("f.ord").cast("bigint").alias("place"),
     )
     rows = [(tech, name, i) for tech, names in r.FRAMEWORK_COMPANIONS.items() for i, name in enumerate(names)]
     table = lookup_table(primary, rows, "tech string, companion string, nth int")
@@ -147,12 +149,12 @@ def review_recommendations(suggestions: DataFrame, stack: DataFrame, primary: Da
             F.lit("medium").alias("severity"),
             F.concat(F.lit("Common companion technology for "), "tech").alias("reason"),
             F.lit("stack_analysis").alias("source"),
-            F.col("nth").alias("place"),
+            F.lit(_COMPANIONS).alias("part"), F.lit(0).alias("section_no"), F.col("nth").cast("bigint").alias("place"),
         )
     )
     flags = rule_flags(stack, facts)
     conflicts = _rule_rows(
-        flags, r.CONFLICTS, "compatibility_analysis", 10_000, ("jquery_react", "sqlite_microservices", "django_react")
+        flags, r.CONFLICTS, "compatibility_analysis", _CONFLICTS, ("jquery_react", "sqlite_microservices", "django_react")
     )
-    practices = _rule_rows(flags, r.BEST_PRACTICES, "best_practices", 20_000, ("no_git", "no_tests"))
+    practices = _rule_rows(flags, r.BEST_PRACTICES, "best_practices", _PRACTICES, ("no_git", "no_tests"))
     return _ordered(led.unionByName(missing).unionByName(conflicts).unionByName(practices))
