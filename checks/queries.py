@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import stack_sql as q
-from corpuslens.functions import paths, text
+from corpuslens.functions import numbers, paths, text
 from corpuslens.operators import answers, content_facts, facts, landscape, prompts, recommend, report, sampling, scan, scores, validation
 from corpuslens.plans import analysis
 from corpuslens.rules import sampling as sampling_rules
@@ -404,10 +404,12 @@ def _advice_sql(conflicts, practices, companions: str) -> str:
         "mongo_express": "mongodb AND express AND NOT mongoose", "flask_sqlalchemy": "flask AND NOT sqlalchemy", "no_git": "NOT has_git",
         "no_tests": "NOT testing", "no_docker": "NOT docker", "no_docs": "NOT has_docs", "no_ci": "NOT has_ci",
     }
-    for rules, only, source in ((advice.CONFLICTS, conflicts, "compatibility_analysis"), (advice.BEST_PRACTICES, practices, "best_practices")):
-        for key, (words, reason, severity) in rules.items():
+    for part, rules, only, source in ((2, advice.CONFLICTS, conflicts, "compatibility_analysis"), (3, advice.BEST_PRACTICES, practices, "best_practices")):
+        for nth, (key, (words, reason, severity)) in enumerate(rules.items()):
             if key in only:
-                rule_rows.append(f"SELECT repo_id, {q.text(words)} AS text, '{severity}' AS severity, {q.text(reason)} AS reason, '{source}' AS source FROM advice WHERE {conditions[key]}")
+                rule_rows.append(
+                    f"SELECT repo_id, {q.text(words)} AS text, '{severity}' AS severity, {q.text(reason)} AS reason, '{source}' AS source, "
+                    f"{part} AS part, 0 AS sec, {nth} AS place FROM advice WHERE {conditions[key]}")
     return f"""repo_facts AS (
   SELECT repo_id, bool_or(contains(path, '.git')) AS has_git, bool_or(regexp_matches(path, '\\.(md|rst)$')) AS has_docs,
     bool_or(contains(path, '.github/workflows') OR regexp_matches(lower(path), 'jenkins|gitlab-ci')) AS has_ci FROM files GROUP BY repo_id),
@@ -423,30 +425,31 @@ advice AS (
 {companions},
 all_advice AS (
   SELECT repo_id, 'Consider adding ' || companion || ' to your project, which is commonly used with ' || tech AS text, severity,
-         why AS reason, 'stack_analysis' AS source FROM companions
+         why AS reason, 'stack_analysis' AS source, 1 AS part, sec, nth AS place FROM companions
   UNION ALL {' UNION ALL '.join(rule_rows)})"""
 
 
-_COMPANIONS = q.table("companion_table", "tech, companion, why, severity", [
-    (t, n, why + " for " + t, s) for t, es in advice.COMPANIONS.items() for n, why, s in es]) + """,
+_NTH_ADVICE = f"""SELECT repo_id, text, severity, reason, source,
+  CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {_SEVERITY}, part, sec, place, text) AS INT) AS nth FROM"""
+_COMPANIONS = q.table("companion_table", "tech, companion, why, severity, nth", [
+    (t, n, why + " for " + t, s, i) for t, es in advice.COMPANIONS.items() for i, (n, why, s) in enumerate(es)]) + f""",
 companions AS (
-  SELECT p.repo_id, c.* FROM prim p JOIN companion_table c ON c.tech = p.tech
+  SELECT p.repo_id, c.*, list_position({list(validation.CATEGORIES)}, p.category) AS sec FROM prim p JOIN companion_table c ON c.tech = p.tech
   WHERE NOT EXISTS (SELECT 1 FROM stack s WHERE s.repo_id = p.repo_id AND s.tech = c.companion
                     AND s.category IN ('frameworks', 'frontend', 'testing', 'build_systems', 'package_managers')))"""
 
 
-@check("recommendations", with_(_STACK, _advice_sql(advice.CONFLICTS, advice.BEST_PRACTICES, _COMPANIONS), select=f"""
-SELECT repo_id, text, severity, reason, source, {_SEVERITY} AS severity_rank FROM all_advice"""))
+@check("recommendations", with_(_STACK, _advice_sql(advice.CONFLICTS, advice.BEST_PRACTICES, _COMPANIONS), select=f"{_NTH_ADVICE} all_advice"))
 def recommendations(spark, sf_dir):
     found = analysed(spark, sf_dir)
     rows = recommend.recommendations(found.scored, found.primary, facts.repository_facts(found.files))
-    return rows.select("repo_id", "text", "severity", "reason", "source", text.severity_rank(F.col("severity")).alias("severity_rank"))
+    return rows.select("repo_id", "text", "severity", "reason", "source", "nth")
 
 
-_REVIEW_COMPANIONS = q.table("companion_table", "tech, companion", [
-    (t, n) for t, ns in advice.FRAMEWORK_COMPANIONS.items() for n in ns]) + """,
+_REVIEW_COMPANIONS = q.table("companion_table", "tech, companion, nth", [
+    (t, n, i) for t, ns in advice.FRAMEWORK_COMPANIONS.items() for i, n in enumerate(ns)]) + """,
 companions AS (
-  SELECT p.repo_id, c.*, 'medium' AS severity, 'Common companion technology for ' || c.tech AS why FROM prim p JOIN companion_table c ON c.tech = p.tech
+  SELECT p.repo_id, c.*, 0 AS sec, 'medium' AS severity, 'Common companion technology for ' || c.tech AS why FROM prim p JOIN companion_table c ON c.tech = p.tech
   WHERE p.category = 'frameworks' AND NOT EXISTS (SELECT 1 FROM stack s WHERE s.repo_id = p.repo_id AND s.tech = c.companion
                     AND s.category IN ('frameworks', 'frontend', 'testing', 'build_systems', 'package_managers')))"""
 
@@ -457,10 +460,11 @@ _REVIEW_SUGGESTIONS = """suggested AS (
 
 
 @check("review_recommendations", with_(_STACK, _advice_sql(("jquery_react", "sqlite_microservices", "django_react"), ("no_git", "no_tests"), _REVIEW_COMPANIONS),
-                                       _REVIEW_SUGGESTIONS, select="""
-SELECT repo_id, text, severity, reason, source FROM all_advice
-UNION ALL SELECT repo_id, text, severity, reason, section FROM suggested
-QUALIFY row_number() OVER (PARTITION BY repo_id, text ORDER BY CASE section WHEN 'technologies' THEN 1 WHEN 'architecture' THEN 2 ELSE 3 END, ord) = 1"""))
+                                       _REVIEW_SUGGESTIONS, select=f"""
+{_NTH_ADVICE} (SELECT repo_id, text, severity, reason, source, part, sec, place FROM all_advice
+UNION ALL SELECT repo_id, text, severity, reason, section, 0, sec, ord FROM (
+  SELECT *, CASE section WHEN 'technologies' THEN 1 WHEN 'architecture' THEN 2 ELSE 3 END AS sec FROM suggested)
+QUALIFY row_number() OVER (PARTITION BY repo_id, text ORDER BY sec, ord) = 1)"""))
 def review_recommendations(spark, sf_dir):
     found = analysed(spark, sf_dir)
     suggested = read(spark, sf_dir, "orders").select(
@@ -471,7 +475,7 @@ def review_recommendations(spark, sf_dir):
         F.concat(F.lit("Seen in "), F.col("o_orderkey").cast("string")).alias("reason"),
     )
     rows = recommend.review_recommendations(suggested, found.scored, found.primary, facts.repository_facts(found.files))
-    return rows.select("repo_id", "text", "severity", "reason", "source")
+    return rows.select("repo_id", "text", "severity", "reason", "source", "nth")
 
 
 # Samples, chunks, prompts.
@@ -604,6 +608,41 @@ def parse_answers(spark, sf_dir):
         first["confidence"].alias("confidence"), F.get("suggestions", F.lit(0))["reason"].alias("reason"))
 
 
+@check("parse_answers_loose", """
+SELECT o_orderkey AS k, o_orderkey % 6 < 4 AS success,
+  CASE WHEN o_orderkey % 6 < 4 THEN 'T' || (o_orderkey % 10) END AS name,
+  CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey % 101 AS DOUBLE) WHEN 1 THEN -5.0 WHEN 2 THEN 20000.0 WHEN 3 THEN 50.0 END AS confidence,
+  CASE o_orderkey % 6 WHEN 0 THEN o_orderpriority WHEN 1 THEN o_orderstatus || '|' || o_orderpriority WHEN 2 THEN '' WHEN 3 THEN o_orderstatus END AS evidence,
+  CASE WHEN o_orderkey % 6 >= 4 THEN 'Failed to parse AI response as JSON' END AS error FROM orders""")
+def parse_answers_loose(spark, sf_dir):
+    """Well-formed answers with odd field types, an object in place of a list, and text after the JSON."""
+    k, quoted = F.col("o_orderkey"), lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    name = F.concat(F.lit('"name": "T'), (k % 10).cast("string"), F.lit('"'))
+    item = (
+        F.when(k % 6 == 0, F.concat(name, F.lit(', "confidence": "'), (k % 101).cast("string"), F.lit('", "evidence": '), quoted(F.col("o_orderpriority"))))
+        .when(k % 6 == 1, F.concat(name, F.lit(', "confidence": -5, "evidence": ['), quoted(F.col("o_orderstatus")), F.lit(","), quoted(F.col("o_orderpriority")), F.lit("]")))
+        .when(k % 6 == 2, F.concat(name, F.lit(', "confidence": 20000.0')))
+        .otherwise(F.concat(name, F.lit(', "confidence": "high", "evidence": '), quoted(F.col("o_orderstatus"))))
+    )
+    listed = F.when(k % 6 == 3, F.concat(F.lit("{"), item, F.lit("}"))).otherwise(F.concat(F.lit("[{"), item, F.lit("}]")))
+    document = F.concat(F.lit('{"technologies": '), listed, F.lit("}"))
+    answer = F.when(k % 6 == 4, F.concat(document, F.lit(" thanks"))).when(k % 6 == 5, F.lit("")).otherwise(document)
+    rows = answers.parse_answers(read(spark, sf_dir, "orders").select(k.alias("k"), answer.alias("answer")), "technologies")
+    first = F.when(F.col("success"), F.get("technologies", F.lit(0)))
+    return rows.select("k", "success", first["name"].alias("name"), first["confidence"].alias("confidence"), F.array_join(first["evidence"], "|").alias("evidence"), "error")
+
+
+@check("rounding", """
+SELECT l_orderkey, l_linenumber, one || '' AS one, two FROM (
+  SELECT l_orderkey, l_linenumber, x, printf('%.1f', x) AS one, CAST(printf('%.2f', x) AS DOUBLE) AS two FROM (
+    SELECT *, (l_extendedprice - 30000.0) * l_discount * CASE l_linenumber % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.001 WHEN 2 THEN 0.125 ELSE 1000.0 END AS x FROM lineitem))""")
+def rounding(spark, sf_dir):
+    n = F.col("l_linenumber") % 4
+    scale = F.when(n == 0, 1.0).when(n == 1, 0.001).when(n == 2, 0.125).otherwise(1000.0)
+    x = (F.col("l_extendedprice") - 30000.0) * F.col("l_discount") * scale
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.one_decimal(x).alias("one"), numbers.exact_round(x, 2).alias("two"))
+
+
 def _merged_sql(kind: str) -> str:
     return f"""
 SELECT m.repo_id, m.name, m.kind AS {kind}, m.confidence, e.evidence FROM (

@@ -30,11 +30,16 @@ def _has_fraction(value: Column, digits: int) -> Column:
     return F.abs(value) * float(10**digits) < _WHOLE
 
 
+def _negative(value: Column) -> Column:
+    """Below zero, or the zero with a minus sign."""
+    return F.startswith(value.cast("string"), F.lit("-"))
+
+
 def exact_round(value: Column, digits: int) -> Column:
     """``round(value, digits)``; null, infinite, NaN and huge values stay as they are."""
     value = value.cast("double")
     rounded = _units(F.abs(value), digits) / float(10**digits)
-    return F.when(_has_fraction(value, digits), F.when(value < 0, -rounded).otherwise(rounded)).otherwise(value)
+    return F.when(_has_fraction(value, digits), F.when(_negative(value), -rounded).otherwise(rounded)).otherwise(value)
 
 
 def one_decimal(value: Column) -> Column:
@@ -43,5 +48,5 @@ def one_decimal(value: Column) -> Column:
     units = _units(F.abs(value), 1)
     small = F.concat(F.floor(units / 10).cast("string"), F.lit("."), (units % 10).cast("string"))
     large = F.concat(F.abs(value).cast("decimal(38,0)").cast("string"), F.lit(".0"))
-    sign = F.when(value < 0, "-").otherwise("")
+    sign = F.when(_negative(value), "-").otherwise("")
     return F.concat(sign, F.when(_has_fraction(value, 1), small).otherwise(large))
