@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,16 +125,14 @@ def eligible_files(spark, sf_dir):
 
 
 @check("binary_sniff", """
-SELECT doc_id, length(regexp_replace(left(t, 1024), '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) * 10 > length(left(t, 1024)) AS is_binary,
-       trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' AS is_blank, length(t) <= 500000 AS scanned
+SELECT doc_id, length(regexp_replace(t, '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')) * 10 > length(t) AS is_binary,
+       trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' AS is_blank
 FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', chr(7)) ELSE text END AS t FROM documents)""")
 def binary_sniff(spark, sf_dir):
     noisy = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("\x07"))).otherwise(F.col("text"))
     rows = read(spark, sf_dir, "documents").select("doc_id", noisy.alias("t"))
     return rows.select(
-        "doc_id", text.is_binary_text(F.col("t")).alias("is_binary"), text.is_blank(F.col("t")).alias("is_blank"),
-        (F.length("t") <= eligibility.MAX_SCANNED_CHARS).alias("scanned"),
-    )
+        "doc_id", text.is_binary_text(F.col("t")).alias("is_binary"), text.is_blank(F.col("t")).alias("is_blank"))
 
 
 @check("files_by_extension", with_(q.corpus(), select="SELECT repo_id, lower(ext) AS ext, count(*) AS n FROM files WHERE ext <> '' GROUP BY ALL"))
@@ -366,6 +366,18 @@ def filter_stack(spark, sf_dir):
     return kept.select("repo_id", "category", "tech", F.round("confidence", 4).alias("confidence"))
 
 
+@check("filter_stack_with_answers", with_(_STACK, select="""
+SELECT repo_id, category, tech, round(confidence, 4) AS confidence FROM stack WHERE confidence >= 60 AND category IN ('languages', 'devops')
+UNION ALL SELECT 'repo_' || o_custkey, 'ai_analysis', o_orderpriority, CAST(o_orderkey % 50 AS DOUBLE) FROM orders"""))
+def filter_stack_with_answers(spark, sf_dir):
+    found = analysed(spark, sf_dir).scored.select("repo_id", "category", "tech", "confidence")
+    answered = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("repo_"), F.col("o_custkey").cast("string")).alias("repo_id"), F.lit("ai_analysis").alias("category"),
+        F.col("o_orderpriority").alias("tech"), (F.col("o_orderkey") % 50).cast("double").alias("confidence"))
+    kept = validation.filter_stack(found.unionByName(answered), 60, ["languages", "devops"], ["ai_analysis"])
+    return kept.select("repo_id", "category", "tech", F.round("confidence", 4).alias("confidence"))
+
+
 _COUNTS = """counts AS (
   SELECT category, tech, count(*) AS n_repos FROM stack WHERE confidence > 50 AND category <> 'architecture' GROUP BY ALL
   UNION ALL SELECT 'primary_' || category, tech, count(*) FROM prim WHERE category IN ('languages', 'frameworks') GROUP BY ALL)"""
@@ -519,12 +531,23 @@ def sample_quality(spark, sf_dir):
     return sampling.quality_files(corpus(spark, sf_dir)).select("repo_id", "path")
 
 
-@check("review_prompts", with_(q.corpus(), q.table("langs_by_ext", "ext, language", sampling_rules.REVIEW_LANGUAGE.items()), select="""
-SELECT repo_id, path, md5('File ' || name || ' (' || l.language || ') follows.' || chr(10) || chr(10) || '```' || chr(10) || content || chr(10) || '```' || chr(10) || chr(10) || 'Answer with JSON only.') AS prompt
-FROM files f JOIN langs_by_ext l ON l.ext = lower(f.ext) WHERE content IS NOT NULL"""))
+def _prompt_sql(kind: str) -> str:
+    """A prompt template with its slots as columns."""
+    columns = {"{filename}": "name", "{language}": "l.language", "{code}": "content"}
+    parts = re.split("(" + "|".join(map(re.escape, columns)) + ")", prompts.TEMPLATES[kind])
+    return " || ".join(columns.get(p) or q.text(p) for p in parts if p)
+
+
+@check("review_prompts", with_(q.corpus(), q.table("langs_by_ext", "ext, language", sampling_rules.REVIEW_LANGUAGE.items()), select=" UNION ALL ".join(f"""
+SELECT repo_id, path, '{kind}' AS kind, md5({_prompt_sql(kind)}) AS prompt
+FROM files f JOIN langs_by_ext l ON l.ext = lower(f.ext) WHERE content IS NOT NULL""" for kind in prompts.TEMPLATES)))
 def review_prompts(spark, sf_dir):
-    rows = prompts.review_prompts(sampling.review_language(corpus(spark, sf_dir)))
-    return rows.select("repo_id", "path", F.md5("prompt").alias("prompt"))
+    files = sampling.review_language(corpus(spark, sf_dir))
+    kinds = [
+        prompts.review_prompts(files, template).select("repo_id", "path", F.lit(kind).alias("kind"), F.md5("prompt").alias("prompt"))
+        for kind, template in prompts.TEMPLATES.items()
+    ]
+    return reduce(DataFrame.unionByName, kinds)
 
 
 @check("token_chunks", """
@@ -649,7 +672,7 @@ SELECT m.repo_id, m.name, m.kind AS {kind}, m.confidence, e.evidence FROM (
   SELECT repo_id, name, min_by(kind, path) AS kind, max({_ITEM}) AS confidence FROM ans WHERE NOT broken GROUP BY ALL) m
 JOIN (SELECT repo_id, name, string_agg(proof, '|' ORDER BY path) AS evidence FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id, name ORDER BY path) AS rn FROM (
-    SELECT repo_id, name, proof, min(path) AS path FROM ans WHERE NOT broken GROUP BY ALL)) WHERE rn <= 5 GROUP BY ALL) e ON e.repo_id = m.repo_id AND e.name = m.name"""
+    SELECT repo_id, name, proof, min(path) AS path FROM ans WHERE NOT broken GROUP BY ALL)) GROUP BY ALL) e ON e.repo_id = m.repo_id AND e.name = m.name"""
 
 
 @check("merge_technologies", with_(_ANSWERS, select=_merged_sql("category")))
@@ -666,7 +689,7 @@ def merge_patterns(spark, sf_dir):
 
 @check("merge_suggestions", with_(_ANSWERS, select=f"""
 SELECT repo_id, text, severity, file, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY {_SEVERITY}, file) AS INT) AS nth FROM (
-  SELECT repo_id, advice AS text, min_by(severity, path) AS severity, min(path) AS file FROM ans WHERE NOT broken GROUP BY ALL) QUALIFY nth <= 10"""))
+  SELECT repo_id, advice AS text, min_by(severity, path) AS severity, min(path) AS file FROM ans WHERE NOT broken GROUP BY ALL)"""))
 def merge_suggestions(spark, sf_dir):
     parsed = answers.parse_answers(raw_answers(spark, sf_dir), "technologies").where("success")
     return answers.merge_suggestions(parsed).select("repo_id", "text", "severity", "file", "nth")
@@ -676,7 +699,7 @@ def merge_suggestions(spark, sf_dir):
 SELECT source AS repo_id, 'readability' AS aspect, round(avg(quality * 100.0), 6) AS score, '' AS weaknesses,
   (SELECT string_agg(s, '|' ORDER BY p) FROM (
      SELECT 'lang ' || d2.lang AS s, min(lpad(CAST(d2.doc_id AS VARCHAR), 9, '0')) AS p FROM documents d2 JOIN labels l2 USING (doc_id)
-     WHERE d2.source = d.source GROUP BY 1 ORDER BY p LIMIT 5)) AS strengths
+     WHERE d2.source = d.source GROUP BY 1 ORDER BY p)) AS strengths
 FROM documents d JOIN labels USING (doc_id) GROUP BY source""")
 def merge_quality(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
@@ -695,7 +718,7 @@ def merge_quality(spark, sf_dir):
 @check("merge_issues", """
 SELECT source AS repo_id, description, severity, file, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, file) AS INT) AS nth
 FROM (SELECT source, lang || ' text' AS description, CASE WHEN toxic = 1 THEN 'high' WHEN quality = 1 THEN 'low' ELSE 'medium' END AS severity,
-             lpad(CAST(doc_id AS VARCHAR), 9, '0') AS file FROM documents JOIN labels USING (doc_id)) QUALIFY nth <= 15""")
+             lpad(CAST(doc_id AS VARCHAR), 9, '0') AS file FROM documents JOIN labels USING (doc_id))""")
 def merge_issues(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
     issue = F.struct(
@@ -752,14 +775,15 @@ def ai_cross_validation(spark, sf_dir):
 
 
 @check("advice_lists", """
-SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE 'Use ' || o_orderpriority END AS text FROM orders""")
+SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 3 THEN NULL ELSE 'Use ' || o_orderpriority END AS text FROM orders""")
 def advice_lists(spark, sf_dir):
     k = F.col("o_orderkey")
     listed = F.array(F.struct(F.concat(F.lit("Use "), "o_orderpriority").alias("text"), F.lit("low").alias("severity")))
     document = (
-        F.when(k % 4 == 0, F.to_json(F.struct(listed.alias("recommendations"))))
-        .when(k % 4 == 1, F.to_json(F.struct(listed.alias("result"))))
-        .when(k % 4 == 2, F.to_json(listed))
+        F.when(k % 5 == 0, F.to_json(F.struct(listed.alias("recommendations"))))
+        .when(k % 5 == 1, F.to_json(F.struct(listed.alias("result"))))
+        .when(k % 5 == 2, F.to_json(listed))
+        .when(k % 5 == 4, F.to_json(F.struct(F.lit("seen").alias("note"), listed.alias("further_advice"))))
         .otherwise(F.lit('{"note": 1}'))
     )
     rows = read(spark, sf_dir, "orders").select(k.alias("k"), answers.suggested_items(document).alias("items"))

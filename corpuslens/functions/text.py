@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CONTROL_SHARE = 0.1
-SNIFFED_CHARS = 1024
 
 
 def decode_lossy(data: Column) -> Column:
@@ -15,10 +14,9 @@ def decode_lossy(data: Column) -> Column:
 
 
 def is_binary_text(content: Column) -> Column:
-    """More than a tenth of the first 1024 characters are control characters."""
-    head = F.left(content, F.lit(SNIFFED_CHARS))
-    controls = F.regexp_replace(head, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return (F.length(head) > 0) & (F.length(controls) / F.length(head) > CONTROL_SHARE)
+    """More than a tenth of all characters are control characters."""
+    controls = F.regexp_replace(content, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return (F.length(content) > 0) & (F.length(controls) / F.length(content) > CONTROL_SHARE)
 
 
 def is_blank(content: Column) -> Column:

@@ -132,15 +132,19 @@ def _item_type(rows: DataFrame, column: str) -> str:
 
 
 def suggested_items(answer_json: Column) -> Column:
-    """First list found under the usual fields of an advice answer, or the answer itself."""
+    """First list found under the usual fields of an advice answer, the answer itself, or any list of items in it."""
     listed = "array<struct<text:string,severity:string,reason:string>>"
     fields = ["recommendations", "response", "suggestions", "result"]
     parsed = F.from_json(answer_json, ", ".join(f"{f} {listed}" for f in fields))
-    return F.coalesce(*[parsed[f] for f in fields], F.from_json(answer_json, listed))
+    others = F.map_values(F.from_json(answer_json, "map<string,string>"))
+    lists = F.transform(F.filter(others, lambda v: F.startswith(v, F.lit("["))), lambda v: F.from_json(v, listed))
+    usable = F.filter(lists, lambda x: F.exists(x, lambda item: item["text"].isNotNull()))
+    whole = F.when(F.startswith(F.ltrim(answer_json), F.lit("[")), F.from_json(answer_json, listed))
+    return F.coalesce(*[parsed[f] for f in fields], whole, F.get(usable, F.lit(0)))
 
 
-def merge_findings(answers: DataFrame, column: str, kind: str, evidence_limit: int = 5) -> DataFrame:
-    """Findings of all files of a repository by name: best confidence, first kind, first evidence."""
+def merge_findings(answers: DataFrame, column: str, kind: str, evidence_limit: int | None = None) -> DataFrame:
+    """Findings of all files of a repository by name: best confidence, first kind, distinct evidence in order."""
     flat = answers.select("repo_id", "path", F.posexplode(column).alias("nth", "item")).select(
         "repo_id", "path", "nth", "item.*"
     )
@@ -155,7 +159,7 @@ def merge_findings(answers: DataFrame, column: str, kind: str, evidence_limit: i
     rank = F.row_number().over(W.partitionBy("repo_id", "name").orderBy("place"))
     proofs = (
         distinct.withColumn("rank", rank)
-        .where(F.col("rank") <= evidence_limit)
+        .where(_up_to("rank", evidence_limit))
         .groupBy("repo_id", "name")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "proof"))), lambda s: s["proof"]).alias("evidence"))
     )
@@ -165,7 +169,11 @@ def merge_findings(answers: DataFrame, column: str, kind: str, evidence_limit: i
     )
 
 
-def merge_suggestions(answers: DataFrame, limit: int = 10) -> DataFrame:
+def _up_to(rank: str, limit: int | None) -> Column:
+    return F.lit(True) if limit is None else F.col(rank) <= limit
+
+
+def merge_suggestions(answers: DataFrame, limit: int | None = None) -> DataFrame:
     """Suggestions by exact text, first file wins, most severe first."""
     first = (
         answers.select("repo_id", "path", F.posexplode("suggestions").alias("nth", "item"))
@@ -177,12 +185,12 @@ def merge_suggestions(answers: DataFrame, limit: int = 10) -> DataFrame:
     return _most_severe(first, limit, "file", "at").drop("at")
 
 
-def _most_severe(rows: DataFrame, limit: int, *then: str) -> DataFrame:
+def _most_severe(rows: DataFrame, limit: int | None, *then: str) -> DataFrame:
     order = W.partitionBy("repo_id").orderBy(severity_rank(F.col("severity")), *then)
-    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
+    return rows.withColumn("nth", F.row_number().over(order)).where(_up_to("nth", limit))
 
 
-def merge_issues(answers: DataFrame, limit: int = 15) -> DataFrame:
+def merge_issues(answers: DataFrame, limit: int | None = None) -> DataFrame:
     """Issues of all files with their file, most severe first."""
     flat = answers.select("repo_id", F.col("path").alias("file"), F.posexplode("issues").alias("at", "item")).select(
         "repo_id", "file", "at", "item.*"
@@ -190,7 +198,7 @@ def merge_issues(answers: DataFrame, limit: int = 15) -> DataFrame:
     return _most_severe(flat, limit, "file", "at").drop("at")
 
 
-def merge_quality(answers: DataFrame, limit: int = 5) -> DataFrame:
+def merge_quality(answers: DataFrame, limit: int | None = None) -> DataFrame:
     """Average score and first distinct strengths and weaknesses per aspect."""
     flat = answers.select("repo_id", "path", F.explode("quality_assessment").alias("aspect", "a")).where(
         F.col("aspect").isin(ASPECTS)
@@ -206,7 +214,7 @@ def merge_quality(answers: DataFrame, limit: int = 5) -> DataFrame:
         .agg(F.min(F.struct("path", "at")).alias("place"))
     )
     rank = F.row_number().over(W.partitionBy("repo_id", "aspect", "kind").orderBy("place"))
-    chosen = distinct.withColumn("rank", rank).where(F.col("rank") <= limit)
+    chosen = distinct.withColumn("rank", rank).where(_up_to("rank", limit))
 
     def listed(kind):
         entries = F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "point")))

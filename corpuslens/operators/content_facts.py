@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from corpuslens.functions import paths
 from corpuslens.functions.text import has_requirement_line, manifest_sections
 from corpuslens.rules import devops, frameworks, frontend, testing
-from corpuslens.rules.eligibility import MAX_SCANNED_CHARS
 from corpuslens.rules.ruleset import DEPENDENCY_RANK, FILE_RANK, NAME_RANK, listed
 
 SHAPE_FLAGS = [
@@ -87,7 +86,7 @@ def specials() -> Column:
         ("GitHub Actions", "cicd", "Found GitHub Actions workflow in: ",
          _has("name: ", "on: ", "jobs:", "steps:", "uses: ")),
     ]
-    scanned = F.length("content") <= MAX_SCANNED_CHARS
+    scanned = F.col("content").isNotNull()
     return F.array_compact(F.array(*[
         F.when(test & scanned, hit(
             "devops", tech, 15.0, FILE_RANK + devops.SUB_CATEGORIES.index(category), 4, 0, F.concat(F.lit(label), "name")))
@@ -115,7 +114,7 @@ def dependencies(detectors) -> Column:
         F.lit(json.dumps(table)),
         "map<string,array<struct<detector:string,tech:string,category:int,step:int,ordinal:int>>>",
     )
-    scanned = F.length("content") <= MAX_SCANNED_CHARS
+    scanned = F.col("content").isNotNull()
     sections = manifest_sections(F.col("content"))
 
     def of_section(section: str) -> Column:

@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from corpuslens.functions.numbers import one_decimal
-from corpuslens.functions.text import estimated_tokens
 
 CHUNK_TOKENS = 1500
 OVERLAP_LINES = 200
-REVIEW_TEMPLATE = "File {filename} ({language}) follows.\n\n```\n{code}\n```\n\nAnswer with JSON only."
+_FILE = "File {filename} ({language}) follows.\n\n```\n{code}\n```\n\n"
+_ADVICE = '"suggestions": [{"text": "...", "severity": "high, medium or low", "reason": "..."}]'
+#: One prompt per kind of answer; each names the fields that ``answers.SCHEMAS`` reads.
+TEMPLATES = {
+    "technologies": _FILE + (
+        "Which frameworks, databases, libraries and tools does it use? Answer with JSON only, of this shape:\n"
+        '{"technologies": [{"name": "...", "category": "framework, database, frontend, build_system, package_manager or library", '
+        '"confidence": 0 to 100, "evidence": ["lines that show it"]}], ' + _ADVICE + "}"
+    ),
+    "architecture": _FILE + (
+        "Which architectural and design patterns does it follow? Answer with JSON only, of this shape:\n"
+        '{"patterns": [{"name": "...", "type": "architecture or design", "confidence": 0 to 100, "evidence": ["what shows it"]}], ' + _ADVICE + "}"
+    ),
+    "code_quality": _FILE + (
+        "How readable, maintainable and fast is it? Answer with JSON only, of this shape:\n"
+        '{"quality_assessment": {"readability": {"score": 0 to 100, "strengths": ["..."], "weaknesses": ["..."]}, '
+        '"maintainability": {...}, "performance": {...}}, '
+        '"issues": [{"type": "...", "severity": "high, medium or low", "description": "...", "location": "..."}], ' + _ADVICE + "}"
+    ),
+}
+REVIEW_TEMPLATE = TEMPLATES["technologies"]
 
 
 def token_chunks(texts: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Lines of each text with their running token count and chunk number.
 
     ``texts`` has ``text_id`` and ``text``.  A line belongs to the chunk its running total before it
-    falls in.
+    falls in.  Totals run within a row, so that no text is shuffled.
     """
-    lines = texts.select("text_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn(
-        "tokens", estimated_tokens(F.col("line"))
-    )
-    so_far = W.partitionBy("text_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    running = F.sum("tokens").over(so_far)
-    return lines.withColumn("running", running).withColumn(
-        "chunk_no", F.floor((F.col("running") - F.col("tokens")) / chunk_tokens)
-    )
+
+
+    @F.pandas_udf("array<struct<line_no:int,line:string,tokens:int,running:bigint>>")
+    def counted(column: pd.Series) -> pd.Series:
+        def rows(text):
+            running, found = 0, []
+            for at, line in enumerate(text.split("\n")):
+                running += len(line) // 4
+                found.append({"line_no": at, "line": line, "tokens": len(line) // 4, "running": running})
+            return found
+
+        return column.map(rows, na_action="ignore")
+
+    lines = texts.select("text_id", F.inline(counted("text")))
+    return lines.withColumn("chunk_no", F.floor((F.col("running") - F.col("tokens")) / chunk_tokens))
 
 
 def chunk_texts(lines: DataFrame, overlap: int = OVERLAP_LINES) -> DataFrame:

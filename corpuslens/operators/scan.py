@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from corpuslens.functions import paths, text
 from corpuslens.functions.literals import literals_found, minimal_literals
 from corpuslens.rules import testing
-from corpuslens.rules.eligibility import MAX_SCANNED_CHARS
 from corpuslens.rules.ruleset import (
     NAME_RANK,
     ContentRule,
@@ -243,7 +242,7 @@ def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
 def _scopes(rules: RuleSet, path: Column, name: Column, content: Column, lowered: Column) -> Column:
     """Names of the rule scopes a file belongs to."""
     lower_path = F.lower(path)
-    scanned = F.length(content) <= MAX_SCANNED_CHARS
+    scanned = content.isNotNull()
 
     def suffix(*ends):
         found = F.endswith(path, F.lit(ends[0]))

@@ -123,7 +123,14 @@ def primary_technologies(stack: DataFrame) -> DataFrame:
     return top_per_category(stack, 1).select("repo_id", "category", "tech")
 
 
-def filter_stack(stack: DataFrame, min_confidence: float, categories: list[str] | None = None) -> DataFrame:
-    """Rows of a finished stack by confidence and category; primary technologies stay as they were."""
-    kept = stack.where(F.col("confidence") >= min_confidence)
-    return kept.where(F.col("category").isin(categories)) if categories else kept
+def filter_stack(
+    stack: DataFrame, min_confidence: float, categories: list[str] | None = None, passed: list[str] | None = None
+) -> DataFrame:
+    """Rows of a finished stack by confidence and category; primary technologies stay as they were.
+
+    Rows of the categories in ``passed``, such as answers of a language model, stay whatever they hold.
+    """
+    kept = F.col("confidence") >= min_confidence
+    if categories:
+        kept = kept & F.col("category").isin(categories)
+    return stack.where(kept | F.col("category").isin(passed)) if passed else stack.where(kept)

@@ -21,5 +21,3 @@ BINARY_EXTENSIONS = [
     ".dylib", ".iso", ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".flv", ".wav", ".ogg", ".woff",
     ".woff2", ".ttf", ".eot", ".svg",
 ]
-MAX_FILE_BYTES = 5 * 1024 * 1024
-MAX_SCANNED_CHARS = 500_000

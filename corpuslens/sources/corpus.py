@@ -19,9 +19,14 @@ def readable_name(name: Column, extensions: list[str] | None = None) -> Column:
     return (ext.isin(extensions) | name.isin(extensions + e.CONTENT_NAMES)) & ~ext.isin(e.BINARY_EXTENSIONS)
 
 
+def _wanted(name: Column, extensions: list[str] | None, max_file_bytes: int | None) -> Column:
+    named = readable_name(name, extensions)
+    return named if max_file_bytes is None else named & (F.col("size") <= max_file_bytes)
+
+
 def eligible_content(
     files: DataFrame,
-    max_file_bytes: int = e.MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
     extensions: list[str] | None = None,
 ) -> DataFrame:
     """Keep every file but null the content of those that are not read.
@@ -29,7 +34,7 @@ def eligible_content(
     Name and size are decided first, so the text checks run only on what is left.
     """
     name = paths.base_name(F.col("path"))
-    wanted = readable_name(name, extensions) & (F.col("size") <= max_file_bytes)
+    wanted = _wanted(name, extensions, max_file_bytes)
     content = F.when(wanted, F.col("content"))
     usable = ~text.is_binary_text(content) & ~text.is_blank(content)
     return files.select("repo_id", "path", "size", F.when(usable, content).alias("content"))
@@ -51,7 +56,7 @@ def exclude_files(files: DataFrame, patterns: list[str]) -> DataFrame:
 def from_table(
     files: DataFrame,
     excluded: list[str] | None = None,
-    max_file_bytes: int = e.MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
     exclude_patterns: list[str] | None = None,
     extensions: list[str] | None = None,
 ) -> DataFrame:
@@ -67,19 +72,19 @@ def load_corpus(
     spark: SparkSession,
     root: str,
     excluded: list[str] | None = None,
-    max_file_bytes: int = e.MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
     exclude_patterns: list[str] | None = None,
     extensions: list[str] | None = None,
 ) -> DataFrame:
     """Read every repository under ``root``, a local or remote file system location.
 
     A directory holding ``.git`` is a repository (named "." when it is the root itself), as is a
-    child of the root holding one.  Spark's own file sources skip names that start with a dot,
+    child of the root holding one.  Without any ``.git`` the root as a whole is one repository.  Spark's own file sources skip names that start with a dot,
     which here are evidence, so tasks list the directories themselves: one entry of the listing per
     child directory, then the files spread over all tasks for reading.
     """
     listed = list_repositories(spark, root, excluded)
-    wanted = readable_name(paths.base_name(F.col("path")), extensions) & (F.col("size") <= max_file_bytes)
+    wanted = _wanted(paths.base_name(F.col("path")), extensions, max_file_bytes)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread_out = listed.withColumn("wanted", wanted).repartition(parts, "repo_id", "path")
     loaded = spread_out.mapInPandas(_read_texts, "repo_id string, path string, size bigint, content string")
@@ -94,9 +99,14 @@ def list_repositories(spark: SparkSession, root: str, excluded: list[str] | None
     files, folder = fs.FileSystem.from_uri(base)
     whole = files.get_file_info(f"{folder}/.git").type == fs.FileType.Directory
     skipped = frozenset(excluded or e.EXCLUDED_DIRECTORIES)
+    listed = files.get_file_info(fs.FileSelector(folder))
+    if not whole:
+        folders = [i.path for i in listed if i.type == fs.FileType.Directory]
+        markers = files.get_file_info([f"{f}/.git" for f in folders]) if folders else []
+        whole = not any(i.type == fs.FileType.Directory for i in markers)
     entries = [
         (base, folder, info.base_name, info.type == fs.FileType.Directory, whole, info.size or 0)
-        for info in files.get_file_info(fs.FileSelector(folder))
+        for info in listed
         if (whole or info.type == fs.FileType.Directory) and not (info.type == fs.FileType.Directory and info.base_name in skipped)
     ]
     columns = "base string, folder string, name string, is_folder boolean, whole boolean, size bigint"
@@ -140,13 +150,15 @@ def _read_texts(batches):
     """Text of the wanted files: malformed bytes dropped, line ends unified."""
     from pyarrow import fs
 
+    clients: dict = {}
     for batch in batches:
         texts = []
         for row in batch.itertuples():
             if not row.wanted:
                 texts.append(None)
                 continue
-            files, _ = fs.FileSystem.from_uri(row.base)
+            files = clients.setdefault(row.base, None) or fs.FileSystem.from_uri(row.base)[0]
+            clients[row.base] = files
             try:
                 with files.open_input_stream(row.location) as stream:
                     body = stream.read().decode("utf-8", errors="ignore")

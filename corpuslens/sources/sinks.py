@@ -12,8 +12,8 @@ def write_documents(documents: DataFrame, target: str) -> str:
 
 
 def write_reports(reports: DataFrame, target: str) -> str:
-    """One text file set per repository."""
-    reports.select("report", "repo_id").write.mode("overwrite").partitionBy("repo_id").text(target)
+    """JSON lines of (repo_id, report), as many files as tasks, however many repositories there are."""
+    reports.select("repo_id", "report").write.mode("overwrite").json(target)
     return target
 
 

@@ -64,7 +64,7 @@ def test_python_repository(result):
     assert "PostgreSQL" in has("databases") and "pip" in has("package_managers")
     assert "Docker" in has("devops") and "PyTest" in has("testing")
     assert has("architecture") & {"REST API", "Layered Architecture"}
-    assert "GraphQL API" not in has("architecture")
+    assert not has("architecture") & {"GraphQL API", "Microservices"}
 
 
 def test_node_repository(result):
@@ -120,6 +120,23 @@ def test_loading_finds_repositories(spark, tmp_path):
     assert {(r.repo_id, r.path) for r in whole} == {(".", ".gitignore"), (".", "src/m.py")}
 
 
+def test_a_directory_without_markers_is_one_repository(spark, tmp_path):
+    (tmp_path / "src" / "deep").mkdir(parents=True)
+    (tmp_path / "src" / "deep" / "m.py").write_text("x = 1")
+    (tmp_path / "README.md").write_text("hello")
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "n.js").write_text("y")
+    got = load_corpus(spark, str(tmp_path)).collect()
+    assert {(r.repo_id, r.path, r.content) for r in got} == {(".", "src/deep/m.py", "x = 1"), (".", "README.md", None)}
+
+
+def test_large_files_are_read_whole(spark):
+    body = "from flask import Flask\n" + "# filler\n" * 700_000
+    files = from_table(spark.createDataFrame([("r", "app.py", body)], "repo_id string, path string, content string"))
+    assert files.first().content == body
+    assert "Flask" in {r.tech for r in analyze(files).scored.where("category = 'frameworks'").collect()}
+
+
 def test_skewed_repository_keeps_every_hit(spark):
     """One repository with most of the files is scored like the sum of its files."""
     from corpuslens.plans.analysis import detector_hits

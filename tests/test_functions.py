@@ -94,3 +94,16 @@ def test_literal_search_finds_what_contains_finds(spark):
     got = column(spark, values, lambda v: literals_found(v, minimal))
     assert [set(g) for g in got] == [{m for m in minimal if m in v} for v in values]
     re.compile(literal_search_pattern(minimal))
+
+
+def test_rounding_equals_python(spark):
+    import random
+
+    from corpuslens.functions.numbers import exact_round, one_decimal
+
+    rnd = random.Random(1)
+    values = [0.005, -5.25, 20000.0, -0.0, -0.04, 2.675, 1e-7, 1e6 + 0.005, float("inf"), 1e17, 1e-300]
+    values += [10 ** rnd.uniform(-6, 6) * rnd.choice([1, -1]) for _ in range(3000)] + [rnd.randint(-10**6, 10**6) / 200 for _ in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", exact_round(F.col("v"), 2).alias("two"), one_decimal(F.col("v")).alias("one"))
+    for r in rows.collect():
+        assert str(r.two) == str(round(r.v, 2)) and (r.v == float("inf") or r.one == f"{r.v:.1f}"), r
