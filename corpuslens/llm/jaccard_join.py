@@ -8,9 +8,11 @@ lower case; a shingle is five words in a row (a text of fewer words is one shing
    two sets at the least similarity meet in some tree with probability ``RECALL`` (``prefix_length``).
 2. Classes under one trie node may be very many (a third of all rows may be near copies), so that a
    node's members are not paired: they are compared with a few *leaders*, by an estimate from their
-   MinHash values.  A member close to a leader adds no leader of its own.  Jaccard distance obeys the
-   triangle inequality, so that two similar members are both linked to a common leader, with slack for
-   the estimate's error.  Large nodes are split at random; their parts' leaders meet once more.
+   MinHash values, and leaders only with members that are not connected to them yet: a node gives fewer
+   edges than it has members.  A large node is split at random; there, leaders go on until every member
+   is close to one, and the parts' leaders meet once more.  Jaccard distance obeys the triangle
+   inequality, so that two similar members have leaders that are linked, with slack for the estimate's
+   error.
 3. Connected members form a candidate group.  Groups are cut into blocks, and every pair of blocks is
    compared exactly, as a product of membership matrices in one task: each pair of a group once, without
    a row per pair.  Results are counts of links and a spanning forest of them.
@@ -39,7 +41,7 @@ TREES = 24
 DEPTH = 8
 ESTIMATE_PER_TREE = 4  # MinHash values of each tree that estimates use
 CLOSE = 0.85  # estimate from which a member needs no leader of its own
-NEAR = 0.35  # estimate from which a member is linked to a leader
+NEAR = 0.35  # estimate from which a member and a leader are connected
 NODE_PART = 20000
 BLOCK = 512
 CACHED_WORDS = 1 << 18
@@ -122,22 +124,39 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[t
         yield last, rows
 
 
+def _connected(keys: list[bytes], sketches: np.ndarray, cover: bool) -> Iterator[tuple[int, int | None]]:
+    """(member, leader) edges that connect the similar members of a trie node, at most one less than members.
+
+    Leaders are compared with the members that are not yet connected to them.  With ``cover``, leaders go
+    on until every member is close to one, and (leader, None) names them.
+    """
+    part, waiting = np.arange(len(keys)), np.ones(len(keys), bool)
+    while waiting.any():
+        leader = int(np.argmax(waiting))
+        others = np.flatnonzero(waiting if cover else part != part[leader])
+        waiting[leader] = False
+        if cover:
+            yield leader, None
+        elif not len(others):
+            return
+        alike = (sketches[others] == sketches[leader]).mean(axis=1)
+        waiting[others[alike >= CLOSE]] = False
+        for member in others[alike >= NEAR]:
+            if part[member] != part[leader]:
+                part[part == part[member]] = part[leader]
+                yield int(member), leader
+
+
 def _leaders(groups: Iterator[tuple[tuple, list[tuple]]]) -> Iterator[tuple]:
-    """(node, key, leader, sketch if it leads) of the members of every trie node."""
+    """(node, key, leader, sketch of a leader whose node has other parts) of the members of every trie node."""
     for (node, _), members in groups:
         keys, sketches = [m[0] for m in members], np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(members), -1)
-        waiting = np.arange(len(members))
-        while len(waiting):
-            leader = waiting[0]
-            alike = (sketches[waiting] == sketches[leader]).mean(axis=1)
-            yield node, keys[leader], keys[leader], members[leader][1]
-            for i in waiting[1:][alike[1:] >= NEAR]:
-                yield node, keys[i], keys[leader], None
-            waiting = waiting[1:][alike[1:] < CLOSE]
+        for member, leader in _connected(keys, sketches, bool(members[0][2])):
+            yield (node, keys[member], keys[member], members[member][1]) if leader is None else (node, keys[member], keys[leader], None)
 
 
 def _edges(members: DataFrame) -> DataFrame:
-    """(node, key, leader, sketch) from (node, part, key, sketch)."""
+    """(node, key, leader, sketch) from (node, part, key, sketch, split)."""
     schema = "node long, key binary, leader binary, sketch binary"
     arrow = pa.schema([("node", pa.int64()), ("key", pa.binary()), ("leader", pa.binary()), ("sketch", pa.binary())])
 
@@ -250,10 +269,9 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int
     met = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
     members = nodes.join(met, "node").join(classes.select("key", "sketch"), "key")
     part = F.pmod(F.xxhash64("key"), F.ceil(F.col("members") / node_part)).cast("int")
-    led = written(_edges(members.select("node", part.alias("part"), "key", "sketch")), "led")
-    split = met.where(F.col("members") > node_part).select("node")
-    again = _edges(led.where("sketch is not null").join(split, "node").select("node", F.lit(0).alias("part"), "key", "sketch"))
-    edges = led.select("key", "leader").unionByName(again.select("key", "leader"))
+    led = written(_edges(members.select("node", part.alias("part"), "key", "sketch", (F.col("members") > node_part).alias("split"))), "led")
+    again = _edges(led.where("sketch is not null").select("node", F.lit(0).alias("part"), "key", "sketch", F.lit(False).alias("split")))
+    edges = led.where("sketch is null").select("key", "leader").unionByName(again.select("key", "leader"))
     groups = written(components(edges.select(F.col("key").alias("a"), F.col("leader").alias("b"))), "groups")
 
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
