@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import paths, text
 from corpuslens.rules import eligibility as e
+from corpuslens.session import materialize
 
 
 def readable_name(name: Column, extensions: list[str] | None = None) -> Column:
@@ -81,13 +82,14 @@ def load_corpus(
     A directory holding ``.git`` is a repository (named "." when it is the root itself), as is a
     child of the root holding one.  Without any ``.git`` the root as a whole is one repository.  Spark's own file sources skip names that start with a dot,
     which here are evidence, so tasks list the directories themselves: one entry of the listing per
-    child directory, then the files spread over all tasks for reading.
+    child directory, then the files spread over all tasks for reading.  What they read is written to the
+    shared folder once, so that no file is opened again however often the result is used.
     """
     listed = list_repositories(spark, root, excluded)
     wanted = _wanted(paths.base_name(F.col("path")), extensions, max_file_bytes)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread_out = listed.withColumn("wanted", wanted).repartition(parts, "repo_id", "path")
-    loaded = spread_out.mapInPandas(_read_texts, "repo_id string, path string, size bigint, content string")
+    loaded = materialize(spread_out.mapInPandas(_read_texts, "repo_id string, path string, size bigint, content string"), "corpus")
     return from_table(loaded, excluded, max_file_bytes, exclude_patterns, extensions)
 
 
