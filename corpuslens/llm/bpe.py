@@ -74,6 +74,9 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self._encoding.encode(text, allowed_special=self._special, disallowed_special=())
 
+    def encode_array(self, text: str) -> np.ndarray:
+        return self._encoding.encode_to_numpy(text, allowed_special=self._special, disallowed_special=())
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
 

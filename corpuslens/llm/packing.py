@@ -1,10 +1,10 @@
 """Lexical retrieval packing: windows of documents that share words, cut without padding.
 
-1. Document frequencies of all tokens and the mean length, over all documents (one row per vocabulary
+1. Texts are encoded once; ids are written to the shared folder with a MinHash of their token pairs.
+   Document frequencies of all tokens and the mean length cover all documents (one row per vocabulary
    entry at most, so they may be sent to all tasks).
-2. Texts are dealt into shards of about ``SHARD_BYTES`` by ranges of a word MinHash and the id: texts with
-   many words in common mostly share the hash and meet in a shard, and a hash that very many share is cut
-   by the id.
+2. Documents are dealt into shards of about ``SHARD_TOKENS`` by ranges of the MinHash and the id: similar
+   texts mostly share the hash and meet in a shard, and a hash that very many share is cut by the id.
 3. Each shard has a BM25 inverted index of its own.  A seed document asks it, with its ``QUERY_TERMS``
    heaviest terms, for unused neighbours, which fill the seed's window in order of their scores; the last
    one is cut, and its rest is the next seed.  Without neighbours the next unused document follows.
@@ -19,45 +19,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.bpe import codec, default_vocabulary
-from corpuslens.llm.common import documents_of
+from corpuslens.llm.common import documents_of, written
 
 WINDOW = 2048
 END = 1  # the id after every document
-SHARD_BYTES = 16 << 20
+SHARD_TOKENS = 6 << 20
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _statistics(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(token, documents, tokens, bytes): per task, the documents with a token; the last two at token -1."""
-    schema = pa.schema([("token", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
+def _width(size: int) -> np.dtype:
+    """The narrowest type that holds every id."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def pair_minhash(ids: np.ndarray) -> int:
+    """The least hash of pairs of neighbouring tokens, likely the same for similar texts."""
+    if len(ids) < 2:
+        return int(ids[0]) if len(ids) else 0
+    pairs = (ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:]) * np.uint64(0x9E3779B97F4A7C15)
+    pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return int((pairs ^ (pairs >> np.uint64(32))).min() >> np.uint64(1))
+
+
+def _encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(summary, doc_id, place, ids): a row per document and, per task, one with the document frequencies."""
+    schema = pa.schema([("summary", pa.bool_()), ("doc_id", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
-        found, total, size, n = np.zeros(len(coder.sizes), np.int64), 0, 0, 0
-        for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                ids = np.array(coder.encode(text), np.int64)
-                found[np.unique(ids)] += 1
-                total, size, n = total + len(ids) + 1, size + len(text.encode()), n + 1
-        some = np.flatnonzero(found)
-        columns = [np.append(some, -1), np.append(found[some], n), np.append(np.zeros(len(some), int), total), np.append(np.zeros(len(some), int), size)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    counted = docs.select("text").mapInArrow(run, "token int, documents long, tokens long, bytes long")
-    return counted.groupBy("token").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+        width, found, total, n = _width(len(coder.sizes)), np.zeros(len(coder.sizes), np.int64), 0, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows: list[tuple[int, bytes]] = []
+                for text in batch.column(1):
+                    ids = coder.encode_array(text.as_py())
+                    found[np.unique(ids)] += 1
+                    total, n = total + len(ids) + 1, n + 1
+                    rows.append((pair_minhash(ids), ids.astype(width).tobytes()))
+                places, packed = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([False] * len(rows), pa.bool_()), batch.column(0), pa.array(places, pa.int64()), pa.array(packed, pa.binary())], schema=schema)
+        counts = np.concatenate([[n, total], found])
+        yield pa.RecordBatch.from_arrays([pa.array([True]), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.astype("<i8").tobytes()])], schema=schema)
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "summary boolean, doc_id long, place long, ids binary"), "packing-ids")
+
+
+def _frequencies(encoded: DataFrame) -> dict[int, int]:
+    """Sums over all tasks by place in the summary: documents, tokens, then documents of each token."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for counts in batch.column(0):
+                counts = np.frombuffer(counts.as_py(), "<i8")
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], names=["at", "n"])
 
-def word_minhash(text: Column) -> Column:
-    """The least hash of a text's words of three letters or more; equal for texts with the same words."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 2)
-    return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
+    summed = encoded.where("summary").select("ids").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return {r["at"]: r["n"] for r in summed.collect()}  # the vocabulary and two, at most
 
 
 class Index:
@@ -88,15 +113,14 @@ class Index:
         scores = np.bincount(np.concatenate([self.owners[x] for x in lists]), np.concatenate([self.weights[x] for x in lists]), self.n)
         scores[~unused] = 0
         size = 16
-        given = 0
         while True:
             positive = np.flatnonzero(scores > 0)
             best = positive if len(positive) <= size else positive[np.argpartition(-scores[positive], size)[:size]]
-            best = best[np.lexsort([best, -scores[best]])]
-            yield from (int(d) for d in best[given:])
+            yield from (int(d) for d in best[np.lexsort([best, -scores[best]])])
             if len(positive) <= size:
                 return
-            given, size = len(best), size * 4
+            scores[best] = 0  # the next round is about the others, whichever of equal scores came first
+            size *= 4
 
 
 def order_by_retrieval(documents: list[np.ndarray], index: Index, window: int = WINDOW) -> list[int]:
@@ -147,37 +171,33 @@ def pieces(lengths: list[int], window: int = WINDOW) -> Iterator[tuple[int, int,
                 sequence, offset = sequence + 1, 0
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` tokens.
 
     A null or empty text is its end mark alone; repeated rows are documents of their own.  Sequence ids are
     unique and grow within a shard.
     """
     vocabulary = vocabulary or default_vocabulary()
-    rows = documents_of(docs)
-    counted = {r["token"]: r for r in _statistics(rows, vocabulary).collect()}  # at most the vocabulary and one
-    whole = counted.pop(-1, None)
-    n_documents, n_tokens, n_bytes = (whole["documents"], whole["tokens"], whole["bytes"]) if whole else (0, 0, 0)
-    found = {t: r["documents"] for t, r in counted.items()}
-    shards = max(1, -(-n_bytes // shard_bytes))
-    keyed = rows.withColumn("place", word_minhash(F.col("text")))
-    dealt = keyed.repartitionByRange(shards, "place", "doc_id", F.xxhash64("text")).sortWithinPartitions("place", "doc_id", "text")
-    sent = dealt.select("doc_id", "text", F.spark_partition_id().alias("shard"))
+    encoded = _encoded(documents_of(docs), vocabulary)
+    found = _frequencies(encoded)
+    n_documents, n_tokens = found.pop(0, 0), found.pop(1, 0)
+    shards = max(1, -(-n_tokens // shard_tokens))
+    rows = encoded.where("not summary").select("doc_id", "ids", "place").withColumn("draw", F.xxhash64("ids"))
+    dealt = rows.repartitionByRange(shards, "place", "doc_id", "draw").sortWithinPartitions("place", "doc_id", "draw")
+    sent = dealt.select("doc_id", "ids", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(vocabulary)
+        size = len(codec(vocabulary).sizes)
         ids, tokens, shard = [], [], 0
         for batch in batches:
             ids += batch.column(0).to_pylist()
             shard = batch.column(2)[0].as_py() if batch.num_rows else shard
-            for text in batch.column(1):
-                tokens.append(np.array([*coder.encode(text.as_py()), END], np.uint32))
+            tokens += [np.append(np.frombuffer(x.as_py(), _width(size)), END).astype(np.uint32) for x in batch.column(1)]
         if not tokens:
             return
-        frequency = np.zeros(len(coder.sizes))
-        frequency[list(found)] = list(found.values())
-        index = Index(tokens, frequency, n_documents, n_tokens / n_documents)
-        order = order_by_retrieval(tokens, index, window)
+        frequency = np.zeros(size)
+        frequency[[at - 2 for at in found]] = list(found.values())
+        order = order_by_retrieval(tokens, Index(tokens, frequency, n_documents, n_tokens / n_documents), window)
         out: list[tuple] = []
         for place, start, length, sequence, offset in pieces([len(tokens[d]) for d in order], window):
             d = order[place]

@@ -28,7 +28,7 @@ def check(docs, rows, **settings):
 
 def test_documents_in_many_shards(sf001):
     rows = [(r["doc_id"], r["text"]) for r in sf001.collect()]
-    pieces = check(sf001, rows, shard_bytes=100_000)
+    pieces = check(sf001, rows, shard_tokens=40_000)
     coder, texts = bpe.codec(bpe.default_vocabulary()), dict(rows)
     for p in pieces:
         ids = np.array([*coder.encode(texts[p["doc_id"]]), packing.END], "<u4")[p["start"] : p["start"] + p["length"]]
@@ -64,5 +64,14 @@ def test_index_returns_the_best_unused_neighbours():
     assert np.all(np.diff(scores[found]) <= 1e-9)
 
 
+def test_equal_scores_are_given_once():
+    documents = [np.array([5, 6]) for _ in range(500)]
+    index = packing.Index(documents, np.bincount([5, 6], minlength=10) * 500.0, 500, 2.0)
+    found = list(index.neighbours(0, np.ones(500, bool)))
+    assert sorted(found) == list(range(500))
+    order = packing.order_by_retrieval(documents, packing.Index(documents, np.bincount([5, 6], minlength=10) * 500.0, 5000, 2.0))
+    assert sorted(order) == list(range(500))
+
+
 def test_lengths_need_no_padding():
     assert packing.sequence_lengths(2048 * 2 + 1300) == [2048, 2048, 1024, 256, 16, 4] and packing.sequence_lengths(0) == []
