@@ -44,7 +44,7 @@ CLOSE = 0.85  # estimate from which a member needs no leader of its own
 NEAR = 0.35  # estimate from which a member and a leader are connected
 NODE_PART = 20000
 BLOCK = 512
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 16
 
 
 def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -113,8 +113,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _sorted_groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of rows sorted by their first columns."""
     last, rows = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    parts = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))  # few texts as Python strings
+    for part in parts:
+        for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if row[:n_keys] != last:
                 if rows:
                     yield last, rows
