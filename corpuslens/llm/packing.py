@@ -38,6 +38,15 @@ def _width(size: int) -> np.dtype:
     return np.dtype("<u2" if size <= 1 << 16 else "<u4")
 
 
+def _distinct(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The distinct ids, without sorting; afterwards ``slots`` maps each to its place among them."""
+    places = np.arange(len(ids))
+    slots[ids] = places  # the last of equal ids stays
+    found = ids[slots[ids] == places]
+    slots[found] = np.arange(len(found))
+    return found
+
+
 def pair_minhash(ids: np.ndarray) -> int:
     """The least hash of pairs of neighbouring tokens, likely the same for similar texts."""
     if len(ids) < 2:
@@ -54,13 +63,14 @@ def _encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
         width, found, total, n = _width(len(coder.sizes)), np.zeros(len(coder.sizes), np.int64), 0, 0
+        slots = np.zeros(len(coder.sizes), np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows: list[tuple[int, bytes]] = []
                 for text in batch.column(1):
                     ids = coder.encode_array(text.as_py())
-                    found[np.unique(ids)] += 1
+                    found[_distinct(ids, slots)] += 1
                     total, n = total + len(ids) + 1, n + 1
                     rows.append((pair_minhash(ids), ids.astype(width).tobytes()))
                 places, packed = zip(*rows, strict=True) if rows else ((), ())
@@ -91,9 +101,10 @@ class Index:
     def __init__(self, documents: list[np.ndarray], frequency: np.ndarray, n_documents: int, mean: float) -> None:
         terms, owners, weights = [], [], []
         idf = np.log1p((n_documents - frequency + 0.5) / (frequency + 0.5))
-        self.queries = []
+        self.queries, slots = [], np.zeros(len(frequency), np.int64)
         for d, ids in enumerate(documents):
-            term, count = np.unique(ids, return_counts=True)
+            term = _distinct(ids, slots)
+            count = np.bincount(slots[ids], minlength=len(term))
             weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * len(ids) / mean))
             terms.append(term)
             owners.append(np.full(len(term), d))
@@ -197,6 +208,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, s
             return
         frequency = np.zeros(size)
         frequency[[at - 2 for at in found]] = list(found.values())
+        frequency[END] = n_documents  # every document ends with it, so it says nothing
         order = order_by_retrieval(tokens, Index(tokens, frequency, n_documents, n_tokens / n_documents), window)
         out: list[tuple] = []
         for place, start, length, sequence, offset in pieces([len(tokens[d]) for d in order], window):
