@@ -28,7 +28,9 @@ DECIMAL, HEXADECIMAL = "&#([0-9]{2,7});", "&#[xX]([0-9A-Fa-f]{2,6});"
 
 def _decoded(text: Column, pattern: str, base: int) -> Column:
     """Numeric character references replaced; those of no character stay."""
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+    def numbers(whole: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)))
 
     def replaced(acc: Column, reference: Column) -> Column:
         digits = F.regexp_replace(reference, "[^0-9A-Fa-f]", "")
@@ -37,7 +39,8 @@ def _decoded(text: Column, pattern: str, base: int) -> Column:
         char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
         return F.when(known, F.replace(acc, reference, char)).otherwise(acc)
 
-    return F.aggregate(numbers, text, replaced)
+    # Bound by a function, the text before is computed once, not once per use.
+    return F.get(F.transform(F.array(text), lambda whole: F.aggregate(numbers(whole), whole, replaced)), F.lit(0))
 
 
 def plain_text(html: Column) -> Column:
