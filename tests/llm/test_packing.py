@@ -75,3 +75,31 @@ def test_equal_scores_are_given_once():
 
 def test_lengths_need_no_padding():
     assert packing.sequence_lengths(2048 * 2 + 1300) == [2048, 2048, 1024, 256, 16, 4] and packing.sequence_lengths(0) == []
+
+
+def together(docs, **settings):
+    """Share of documents in one shard with their best neighbour of the whole table."""
+    coder = bpe.codec(bpe.default_vocabulary())
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    tokens = [np.append(coder.encode_array(t), packing.END).astype(np.uint32) for _, t in rows]
+    frequency = np.zeros(len(coder.sizes))
+    for t in tokens:
+        frequency[np.unique(t)] += 1
+    index = packing.Index(tokens, frequency, len(tokens), np.mean([len(t) for t in tokens]))
+    shards = defaultdict(set)
+    for p in packing.pack(docs, **settings).collect():
+        shards[p["doc_id"]].add(p["sequence_id"] >> 40)
+    best = [index.best(d)[0] for d in range(len(tokens))]
+    return np.mean([bool(shards[rows[d][0]] & shards[rows[b][0]]) for d, b in enumerate(best)]), len(set().union(*shards.values()))
+
+
+def test_best_neighbours_meet_in_a_shard(sf001):
+    found, shards = together(sf001, shard_tokens=15_000)
+    assert shards > 10 and found > 0.4  # one dealing alone: 0.315, measured
+
+
+def test_a_seed_asks_with_all_its_terms():
+    documents = [np.arange(100), np.append(np.arange(99, 100), np.arange(200, 230)), np.arange(300, 320)]
+    frequency = np.bincount(np.concatenate(documents), minlength=400).astype(float)
+    index = packing.Index(documents, frequency, 3, 50.0)
+    assert list(index.neighbours(0, np.array([False, True, True]))) == [1]
