@@ -178,6 +178,23 @@ def page_rule_hits(spark, sf_dir):
     return hits.groupBy(F.col("repo_id").cast("bigint").alias("page_id"), "detector", "tech").agg(F.sum("points").alias("points"))
 
 
+_PAGES_AS_FILES = r"""files AS (
+  SELECT CAST(page_id AS VARCHAR) AS repo_id, url AS path, regexp_extract(url, '[^/]*$') AS name,
+         regexp_extract(regexp_extract(url, '[^/]*$'), '^\.*[^.].*(\.[^.]*)$', 1) AS ext, html AS content FROM pages)"""
+
+
+@check("page_content_rule_hits", with_(_PAGES_AS_FILES, q.content_tables(), select="""
+SELECT CAST(repo_id AS BIGINT) AS page_id, detector, tech, CAST(sum(points) AS DOUBLE) AS points FROM content_hits WHERE detector <> 'flag' GROUP BY ALL
+UNION ALL SELECT DISTINCT CAST(repo_id AS BIGINT), detector, tech, 0.0 FROM content_hits WHERE detector = 'flag'"""))
+def page_content_rule_hits(spark, sf_dir):
+    """Every content rule, flags and dependencies included, over pages as files."""
+    pages = spread(read(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("repo_id"), F.col("url").alias("path"), F.col("html").alias("content")))
+    hits = scan.content_hits(pages, default_rules(), content_facts.wanted_facts(analysis.DETECTORS))
+    of_rules = ~F.col("detector").isin("count", "manifest", "source_language") & ~F.startswith("tech", F.lit("fact:"))
+    return hits.where(of_rules).groupBy(F.col("repo_id").cast("bigint").alias("page_id"), "detector", "tech").agg(F.sum("points").alias("points"))
+
+
 _LITERALS = [("tion", "t"), ("ment ", "m"), ("import ", "i"), (". ", "s"), ("aux", "a")]
 
 
