@@ -9,38 +9,49 @@ arithmetic in one pass; nothing is shuffled.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAPTURE_DATE = "1970-01-01T00:00:00Z"  # of pages that come without one
 CRLF = "\r\n"
-#: Character references by name, fixed values; &amp; comes last, so that nothing is decoded twice.
-REFERENCES = {
+#: The references and links that the SQL knows; &amp; comes last there, so that nothing is decoded twice.
+SQL_REFERENCES = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "middot": "·", "copy": "©", "reg": "®", "hellip": "…",
     "ndash": "–", "mdash": "—", "laquo": "«", "raquo": "»", "euro": "€",
 }
+#: Every named character reference of HTML as it stands in a page; a space that does not break is a plain one.
+REFERENCES = {f"&{name}": char for name, char in html5.items()} | {"&nbsp;": " ", "&nbsp": " "}
+_WITHOUT_END = "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n)))
+PARTS = "[^&]+|&(?:[A-Za-z][A-Za-z0-9]*;|#[0-9]{2,7};|#[xX][0-9A-Fa-f]{2,6};|" + _WITHOUT_END + ")|&"
 UNSEEN = [r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script[^>]*>", r"(?is)<style\b.*?</style[^>]*>", r"(?is)<template\b.*?</template[^>]*>"]
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
-LINK = r"""(?i)<a[ \t\n\r\f][^>]*?href[ \t\n\r\f]*=[ \t\n\r\f]*["']([^"'>]*)["']"""
+LINK = r"""(?i)<a[ \t\n\r\f][^>]*?href[ \t\n\r\f]*=[ \t\n\r\f]*(["'][^"'>]*["']|[^ \t\n\r\f"'>]+)"""
+SQL_LINK = r"""(?i)<a[ \t\n\r\f][^>]*?href[ \t\n\r\f]*=[ \t\n\r\f]*["']([^"'>]*)["']"""
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 DECIMAL, HEXADECIMAL = "&#([0-9]{2,7});", "&#[xX]([0-9A-Fa-f]{2,6});"
 
 
-def _decoded(text: Column, pattern: str, base: int) -> Column:
-    """Numeric character references replaced; those of no character stay."""
-
-    def numbers(whole: Column) -> Column:
-        return F.array_distinct(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)))
+def _decoded(text: Column) -> Column:
+    """Character references replaced, each once; those of no character stay."""
+    table = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")  # a constant, folded once
 
-    def replaced(acc: Column, reference: Column) -> Column:
-        digits = F.regexp_replace(reference, "[^0-9A-Fa-f]", "")
-        point = F.conv(digits, base, 10).cast("int")
+    def number(part: Column) -> Column:
+        hexadecimal = F.lower(F.substring(part, 3, 1)) == "x"
+        digits = F.regexp_replace(part, "[^0-9A-Fa-f]", "")
+        point = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
         known = point.between(32, 0xD7FF) | point.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        return F.when(known, F.replace(acc, reference, char)).otherwise(acc)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(part)
+
+    def decoded(part: Column) -> Column:
+        return (
+            F.when(~F.startswith(part, F.lit("&")) | (part == "&"), part).when(part == "&amp;", "&").when(part == "&nbsp;", " ")
+            .when(F.startswith(part, F.lit("&#")), number(part)).otherwise(F.coalesce(F.try_element_at(table, part), part))
+        )
 
-    # Bound by a function, the text before is computed once, not once per use.
-    return F.get(F.transform(F.array(text), lambda whole: F.aggregate(numbers(whole), whole, replaced)), F.lit(0))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(PARTS), F.lit(0)), decoded), "")
 
 
 def plain_text(html: Column) -> Column:
@@ -49,11 +60,7 @@ def plain_text(html: Column) -> Column:
     for pattern in UNSEEN:
         text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), "<[^>]*>", "")
-    for name, char in REFERENCES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = _decoded(text, HEXADECIMAL, 16)
-    text = _decoded(text, DECIMAL, 10)
-    text = F.replace(text, F.lit("&amp;"), F.lit("&"))
+    text = _decoded(text)
     text = F.regexp_replace(F.regexp_replace(text, "[ \\t\\r\\f\\x0B]+", " "), " ?\\n[ \\n]*", "\n")
     return F.regexp_replace(text, "^[ \\n]+|[ \\n]+$", "")
 
@@ -100,7 +107,7 @@ def derivatives(responses: DataFrame) -> DataFrame:
         *passed, source, "own_target_uri", "own_date", "own_http_headers",
         _digest(F.concat("own_http_headers", F.lit(CRLF), "own_payload")).alias("whole"), _digest(F.col("own_payload")).alias("body"),
         plain_text(F.col("own_payload")).alias("text"), _line(F.regexp_extract("own_payload", TITLE, 1)).alias("title"),
-        F.transform(F.regexp_extract_all("own_payload", F.lit(LINK), F.lit(1)), _line).alias("links"),
+        F.transform(F.regexp_extract_all("own_payload", F.lit(LINK), F.lit(1)), lambda u: _line(F.regexp_replace(u, "^[\"']|[\"']$", ""))).alias("links"),
         record_id(F.lit("metadata"), source).alias("metadata_id"), record_id(F.lit("conversion"), source).alias("conversion_id"),
     )
     statuses = F.filter(F.split("own_http_headers", "\r?\n"), lambda h: h != "")
@@ -138,7 +145,7 @@ def _sql() -> str:
     for pattern in UNSEEN:
         text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{BREAKS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
-    for name, char in REFERENCES.items():
+    for name, char in SQL_REFERENCES.items():
         quoted = char.replace("'", "''")
         text = f"replace({text}, '&{name};', '{quoted}')"
     for pattern, point in ((HEXADECIMAL, "CAST('0x' || {d} AS INT)"), (DECIMAL, "CAST({d} AS INT)")):
@@ -151,7 +158,7 @@ def _sql() -> str:
     text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
     line = "trim(regexp_replace({}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g'))"
     uuid = lambda d: f"'urn:uuid:' || concat_ws('-', {d}[1:8], {d}[9:12], {d}[13:16], {d}[17:20], {d}[21:32])"
-    link = LINK.replace("'", "''")
+    link = SQL_LINK.replace("'", "''")
     title = line.format(f"regexp_extract(html, '{TITLE}', 1)")
     nl = "(chr(13) || chr(10))"
     return f"""

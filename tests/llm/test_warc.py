@@ -36,3 +36,16 @@ def test_records_are_linked(spark):
 
 def test_empty_table(spark):
     assert warc.derivatives(warc.responses_of_pages(spark.createDataFrame(PAGES, "page_id long, url string, html string").limit(0))).count() == 0
+
+
+def test_all_references_and_unquoted_links(spark):
+    bodies = [
+        "it&rsquo;s &ldquo;caf&eacute;&rdquo; f&uuml;r &bull; &copy 2020 &nosuch; R&D & &AMP;lt; &amp;eacute; &#38;amp; &NotEqualTilde; &#8364;&#x27;",
+        "<a href=/one>1</a> <A class=x HREF = two.html id=y>2</a> <a href='three four'>3</a> <a href=\"\">4</a> <a name=z>5</a>",
+        "".join(f"[{name} &{name} ]" for name in warc.html5 if name.endswith(";") and name not in ("nbsp;", "Tab;", "NewLine;")),
+    ]
+    pages = spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    records = {(r["page_id"], r["warc_type"]): r["block"] for r in warc.derivatives(warc.responses_of_pages(pages)).collect()}
+    assert records[0, "conversion"] == "it’s “café” für • © 2020 &nosuch; R&D & &lt; &eacute; &amp; ≂̸ €'"
+    assert [x for x in records[1, "metadata"].split("\r\n") if x.startswith("outlink")] == [f"outlink: {u} L a/@href" for u in ("/one", "two.html", "three four", "")]
+    assert records[2, "conversion"] == "".join(f"[{name} {char} ]" for name, char in warc.html5.items() if name.endswith(";") and name not in ("nbsp;", "Tab;", "NewLine;"))
