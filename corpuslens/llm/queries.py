@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, fingerprints, jaccard_join, packing, pii, quality, secret_scan, suffix_dedup, toxicity, warc
+from corpuslens.llm import bpe, fingerprints, jaccard_join, packing, pii, quality, secret_scan, suffix_dedup, token_files, toxicity, warc
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,4 +77,9 @@ def op1_warc_derivatives(spark, sf_dir):
     )
 
 
+@query
+def op13_token_files(spark, sf_dir):
+    return token_files.token_file_digests(read_table(spark, sf_dir, "documents"))
+
+
 SQL["op1_warc_derivatives"] = warc.DERIVATIVES_SQL
