@@ -47,9 +47,7 @@ SEGMENTS_PER_FILE = 32
 END_ID = 1
 CACHED_WORDS = 300_000
 MAGIC = b"PFR1"
-HEADER = struct.Struct("<4sIIQIIQQQ")
-STREAM = struct.Struct("<QI")
-BLOCK_HEAD = struct.Struct("<qBBH")
+HEADER, STREAM, BLOCK_HEAD = "<4sIIQIIQQQ", "<QI", "<qBBH"  # little-endian, without padding
 POWERS = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
 
 
@@ -143,7 +141,7 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -
     values = np.asarray(values, np.int64)
     n, n_blocks = len(values), -(-len(values) // block)
     if not n:
-        return STREAM.pack(0, 0)
+        return struct.pack(STREAM, 0, 0)
     table = np.concatenate([values, np.full(n_blocks * block - n, values[(n_blocks - 1) * block :].min(), np.int64)]).reshape(n_blocks, block)
     least = table.min(axis=1)
     above = (table.astype(np.uint64) - least.astype(np.uint64)[:, None])
@@ -165,38 +163,38 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -
     for i in range(n_blocks):
         places = places_of[1][borders[i] : borders[i + 1]]
         patches = places.astype("<u2").tobytes() + rest[i, places].astype(f"<u{sizes[i]}").tobytes()
-        data = BLOCK_HEAD.pack(int(least[i]), int(widths[i]), int(sizes[i]), len(places)) + packed[i] + patches
+        data = struct.pack(BLOCK_HEAD, int(least[i]), int(widths[i]), int(sizes[i]), len(places)) + packed[i] + patches
         starts[i] = at
         at += len(data)
         out.append(data)
-    return STREAM.pack(n, n_blocks) + starts.tobytes() + b"".join(out)
+    return struct.pack(STREAM, n, n_blocks) + starts.tobytes() + b"".join(out)
 
 
 def unpack(stream: bytes | memoryview, first: int = 0, last: int | None = None, block: int = BLOCK) -> np.ndarray:
     """Values ``first`` to ``last`` (exclusive) of a stream, from the blocks that hold them."""
     stream = memoryview(stream)
-    n, n_blocks = STREAM.unpack_from(stream)
+    n, n_blocks = struct.unpack_from(STREAM, stream)
     last = n if last is None else min(last, n)
     if first >= last:
         return np.zeros(0, np.int64)
     low, high = first // block, -(-last // block)
-    starts = np.frombuffer(stream, "<u4", n_blocks, STREAM.size)
-    body = STREAM.size + 4 * n_blocks
-    heads = [(body + int(s), *BLOCK_HEAD.unpack_from(stream, body + int(s))) for s in starts[low:high]]
+    starts = np.frombuffer(stream, "<u4", n_blocks, struct.calcsize(STREAM))
+    body = struct.calcsize(STREAM) + 4 * n_blocks
+    heads = [(body + int(s), *struct.unpack_from(BLOCK_HEAD, stream, body + int(s))) for s in starts[low:high]]
     widths = np.array([h[2] for h in heads])
     out = np.zeros((high - low, block), np.uint64)
     for width in np.unique(widths).tolist():
         rows, size = np.flatnonzero(widths == width), block * width // 8 + bool(block * width % 8)
         for at in range(0, len(rows) if width else 0, 64):
             part = rows[at : at + 64]
-            data = np.stack([np.frombuffer(stream, np.uint8, size, heads[r][0] + BLOCK_HEAD.size) for r in part.tolist()])
+            data = np.stack([np.frombuffer(stream, np.uint8, size, heads[r][0] + struct.calcsize(BLOCK_HEAD)) for r in part.tolist()])
             bits = np.unpackbits(data, axis=1, count=block * width, bitorder="little").reshape(-1, width)
             bytes_of = np.zeros((len(bits), 8), np.uint8)
             bytes_of[:, : -(-width // 8)] = np.packbits(bits, axis=1, bitorder="little")
             out[part] = bytes_of.view("<u8").reshape(len(part), block)
     for i, (at, _, width, size, count) in enumerate(heads):
         if count:
-            at += BLOCK_HEAD.size + block * width // 8 + bool(block * width % 8)
+            at += struct.calcsize(BLOCK_HEAD) + block * width // 8 + bool(block * width % 8)
             places = np.frombuffer(stream, "<u2", count, at)
             out[i, places] |= np.frombuffer(stream, f"<u{size}", count, at + 2 * count).astype(np.uint64) << np.uint64(width)
     out += np.array([h[1] for h in heads], np.int64).astype(np.uint64)[:, None]
@@ -207,19 +205,19 @@ def segment(shard: int, number: int, start: int, doc_ids: list[int | None], leng
     """The bytes of a segment; documents without an id come first."""
     n_null = sum(d is None for d in doc_ids)
     streams = [pack(np.array(doc_ids[n_null:], np.int64)), pack(np.array(lengths, np.int64)), pack(np.frombuffer(ids, "<u4"))]
-    return HEADER.pack(MAGIC, shard, number, start, len(doc_ids), n_null, *map(len, streams)) + b"".join(streams)
+    return struct.pack(HEADER, MAGIC, shard, number, start, len(doc_ids), n_null, *map(len, streams)) + b"".join(streams)
 
 
 def segments_of(content: bytes | memoryview) -> Iterator[tuple[int, tuple, memoryview]]:
     """(byte offset, header, streams) of the segments of a file."""
     content, at = memoryview(content), 0
     while at < len(content):
-        header = HEADER.unpack_from(content, at)
+        header = struct.unpack_from(HEADER, content, at)
         if header[0] != MAGIC:
             raise ValueError(f"no segment at byte {at}")
         size = sum(header[6:9])
-        yield at, header, content[at + HEADER.size : at + HEADER.size + size]
-        at += HEADER.size + size + 1
+        yield at, header, content[at + struct.calcsize(HEADER) : at + struct.calcsize(HEADER) + size]
+        at += struct.calcsize(HEADER) + size + 1
 
 
 def write_tokens(docs: DataFrame, target: str, vocabulary: str | None = None, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
@@ -277,7 +275,7 @@ def write_index(spark: SparkSession, target: str) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 rows = []
                 for at, head, streams in segments_of(content.as_buffer()):
-                    n_ids = STREAM.unpack_from(streams, head[6] + head[7])[0]
+                    n_ids = struct.unpack_from(STREAM, streams, head[6] + head[7])[0]
                     rows.append({"path": path.as_py(), "offset": at, "shard": head[1], "number": head[2], "start": head[3], "n_ids": n_ids, "n_docs": head[4]})
                 if rows:
                     types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
