@@ -32,8 +32,8 @@ def shared_directory(spark: SparkSession) -> str:
     if not configured:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
-        configured = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_SETTING, configured)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 
