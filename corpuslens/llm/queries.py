@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, fingerprints, jaccard_join, packing, pii, prefix_trie, quality, secret_scan, suffix_dedup, token_files, toxicity, warc
+from corpuslens.llm import bpe, conversation_repair, fingerprints, jaccard_join, packing, pii, prefix_trie, quality, secret_scan, suffix_dedup, token_files, toxicity, warc
 from corpuslens.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op1_warc_derivatives(spark, sf_dir):
     )
 
 
+@query
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.damage_and_repair(read_table(spark, sf_dir, "conversations"))
+
+
 @query
 def op12_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(read_table(spark, sf_dir, "conversations"), rebuild=True)
