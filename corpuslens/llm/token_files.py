@@ -45,7 +45,7 @@ PERCENTILE = 90
 SEGMENT_IDS = 1 << 20
 SEGMENTS_PER_FILE = 32
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 MAGIC = b"PFR1"
 HEADER, STREAM, BLOCK_HEAD = "<4sIIQIIQQQ", "<QI", "<qBBH"  # little-endian, without padding
 POWERS = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
@@ -60,7 +60,7 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Ids of whole texts from a ``tokenizers`` file whose pattern never matches across white space.
 
-    The library encodes every different word once (all new words of a text in one call) and the words'
+    The library encodes every different word once (all new words of some texts in one call) and the words'
     ids are put together.  This holds where a word is simple to find: characters of ASCII and the letters
     of Latin-1, which no normal form changes and which have one lower case.  Whatever else stands between
     white space is given to the library as it is.  A file of another kind is used through the library alone.
@@ -74,7 +74,7 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -87,6 +87,12 @@ class WordEncoder:
             pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
             and described["model"].get("end_of_word_suffix") == "</w>"
         )
+        # Simple words are normal already and stand between spaces: no pattern has to find them.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.no_padding()
+        self.of_words.no_truncation()
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
@@ -98,42 +104,48 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in one call; a word ends where a token does that ends words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(words):
             self.known.update((w, self._by_library(w)) for w in words)
             return
         parts, at = ids.tobytes(), 0
-        for word, end in zip(words, last.tolist(), strict=True):
-            self.known[word] = parts[4 * at : 4 * end]
+        for word, end in zip(words, (4 * last).tolist(), strict=True):
+            self.known[word] = parts[at:end]
             at = end
 
-    def _of_words(self, text: str) -> bytes:
-        words = self.WORDS.findall(text.lower())
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._by_library(text)
+    def _parts(self, text: str) -> Iterator[list[str] | str]:
+        """Lists of simple words, and what else stands between white space."""
         marked = any(m in text for m in self.marks)
         if not marked and self.PLAIN.fullmatch(text):
-            return self._of_words(text)
-        out, plain = [], []
+            yield self.WORDS.findall(text.lower())
+            return
+        plain: list[str] = []
         for chunk in self.SPACE.split(text):
             if self.PLAIN.fullmatch(chunk) and not (marked and any(m in chunk for m in self.marks)):
                 plain.append(chunk)
                 continue
             if plain:
-                out.append(self._of_words(" ".join(plain)))
+                yield self.WORDS.findall(" ".join(plain).lower())
                 plain = []
-            out.append(self._by_library(chunk))
-        return b"".join([*out, self._of_words(" ".join(plain))])
+            yield chunk
+        yield self.WORDS.findall(" ".join(plain).lower())
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_word:
+            return [self._by_library(t) for t in texts]
+        split = [list(self._parts(t)) for t in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        new = set().union(*(p for parts in split for p in parts if isinstance(p, list))).difference(self.known)
+        if new:
+            self._learn(sorted(new))
+        ids = self.known.__getitem__
+        return [b"".join([b"".join(map(ids, p)) if isinstance(p, list) else self._by_library(p) for p in parts]) for parts in split]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
 
 
 def pack(values: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -242,8 +254,8 @@ def write_tokens(docs: DataFrame, target: str, vocabulary: str | None = None, en
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # few texts as Python strings
                 rows = batch.slice(at, 64)
-                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    ids = coder.encode(text) + end
+                for doc_id, own in zip(rows.column(0).to_pylist(), coder.encode_all(rows.column(1).to_pylist()), strict=True):
+                    ids = own + end
                     doc_ids.append(doc_id)
                     lengths.append(len(ids) // 4)
                     parts.append(ids)
