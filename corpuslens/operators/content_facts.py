@@ -1,6 +1,8 @@
 """Facts that need a file's text but no rule: computed in the same pass as the rules.
 
-Each function returns an array column of hit structs over ``path``, ``name`` and ``content``.
+Each function returns an array column of hit structs over ``path``, ``name``, ``content`` and ``shown``, the name
+that evidence mentions.  What they ask of a path is listed in ``path_traits``: files of equal content and traits
+have equal facts.
 """
 
 from __future__ import annotations
@@ -43,36 +45,62 @@ def _in_path(*words: str) -> Column:
     return reduce(Column.__or__, [F.contains("path", F.lit(w)) for w in words])
 
 
+# What the facts ask of a path alone.
+_PATH_TESTS = {
+    "package.json": lambda: _ends("package.json"),
+    "pip file": lambda: _ends("requirements.txt", "setup.py"),
+    "setup.py": lambda: _ends("setup.py"),
+    "pom.xml": lambda: _ends("pom.xml"),
+    "gradle": lambda: _ends("build.gradle", "build.gradle.kts"),
+    "webpack": lambda: F.contains(F.lower("path"), F.lit("webpack")) & _ends(".js"),
+    "django": lambda: _in_path("settings.py", "urls.py", "manage.py"),
+    "jsx": lambda: _ends(".jsx", ".tsx"),
+    "tailwind": lambda: _in_path("tailwind.config.js"),
+    "javascript": lambda: _ends(".js", ".jsx", ".ts", ".tsx"),
+    "ruby": lambda: _ends(".rb"),
+    "manifest": lambda: F.col("name") == "package.json",
+}
+
+
+def _language() -> Column:
+    known = F.from_json(F.lit(json.dumps(frameworks.SOURCE_LANGUAGE)), "map<string,string>")
+    return F.try_element_at(known, paths.loose_extension(F.col("path")))
+
+
+def path_traits() -> Column:
+    """Names of the tests that a path passes, and its source language."""
+    return F.array_compact(F.array(*[F.when(test(), F.lit(trait)) for trait, test in _PATH_TESTS.items()], F.concat(F.lit("language "), _language())))
+
+
 def shapes() -> Column:
     """Flags from file kinds and file structure, declared Python packages, manifests."""
+    is_ = lambda trait: _PATH_TESTS[trait]()
     tests = {
-        "package_json": _ends("package.json"),
-        "pip_file": _ends("requirements.txt", "setup.py"),
-        "valid_pom": _ends("pom.xml") & _has("<project", "<artifactId>") & (_has("<groupId>") | _has("<parent>")),
-        "valid_gradle": _ends("build.gradle", "build.gradle.kts") & _has("repositories", "dependencies"),
-        "valid_webpack": F.contains(F.lower("path"), F.lit("webpack")) & _ends(".js") & _has("module.exports")
-        & (_has("entry") | _has("output") | _has("module")),
-        "django_files": _in_path("settings.py", "urls.py", "manage.py"),
-        "jsx_files": _ends(".jsx", ".tsx"),
-        "tailwind_file": _in_path("tailwind.config.js"),
-        "javascript_files": _ends(".js", ".jsx", ".ts", ".tsx"),
-        "ruby_files": _ends(".rb"),
+        "package_json": is_("package.json"),
+        "pip_file": is_("pip file"),
+        "valid_pom": is_("pom.xml") & _has("<project", "<artifactId>") & (_has("<groupId>") | _has("<parent>")),
+        "valid_gradle": is_("gradle") & _has("repositories", "dependencies"),
+        "valid_webpack": is_("webpack") & _has("module.exports") & (_has("entry") | _has("output") | _has("module")),
+        "django_files": is_("django"),
+        "jsx_files": is_("jsx"),
+        "tailwind_file": is_("tailwind"),
+        "javascript_files": is_("javascript"),
+        "ruby_files": is_("ruby"),
     }
     entries = [F.when(tests[name], hit("flag", f"fact:{name}")) for name in SHAPE_FLAGS]
-    declared = (_ends("requirements.txt") & has_requirement_line(F.col("content"))) | (
-        _ends("setup.py") & _has("install_requires", "[", "]")
+    declared = (is_("pip file") & ~is_("setup.py") & has_requirement_line(F.col("content"))) | (
+        is_("setup.py") & _has("install_requires", "[", "]")
     )
     entries.append(F.when(declared, hit("count", "pip_declarations", 1.0)))
     parsed = F.from_json("content", "dependencies string, devDependencies string")
     declares = F.coalesce(parsed["dependencies"].isNotNull() | parsed["devDependencies"].isNotNull(), F.lit(False))
-    entries.append(F.when(_ends("package.json"), hit("manifest", F.when(declares, "declares").otherwise("plain"))))
+    entries.append(F.when(is_("package.json"), hit("manifest", F.when(declares, "declares").otherwise("plain"))))
     return F.array_compact(F.array(*entries))
 
 
 def source_languages() -> Column:
     """The language of a readable source file."""
-    known = F.from_json(F.lit(json.dumps(frameworks.SOURCE_LANGUAGE)), "map<string,string>")
-    language = F.try_element_at(known, paths.loose_extension(F.col("path")))
+    language = _language()
     return F.array_compact(F.array(F.when(language.isNotNull(), hit("source_language", language, 1.0))))
 
 
@@ -89,7 +117,7 @@ def specials() -> Column:
     scanned = F.col("content").isNotNull()
     return F.array_compact(F.array(*[
         F.when(test & scanned, hit(
-            "devops", tech, 15.0, FILE_RANK + devops.SUB_CATEGORIES.index(category), 4, 0, F.concat(F.lit(label), "name")))
+            "devops", tech, 15.0, FILE_RANK + devops.SUB_CATEGORIES.index(category), 4, 0, F.concat(F.lit(label), "shown")))
         for tech, category, label, test in entries
     ]))
 
@@ -130,7 +158,7 @@ def dependencies(detectors) -> Column:
 
     empty = F.filter(F.array(hit("", "")), lambda _: F.lit(False))
     found = [F.coalesce(of_section(s), empty) for s in ("dependencies", "devDependencies")]
-    return F.when(F.col("name") == "package.json", F.concat(*found)).otherwise(empty)
+    return F.when(_PATH_TESTS["manifest"](), F.concat(*found)).otherwise(empty)
 
 
 def wanted_facts(detectors) -> list[Column]:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import paths, text
 from corpuslens.functions.literals import literals_found, minimal_literals
+from corpuslens.operators import content_facts
 from corpuslens.rules import testing
 from corpuslens.rules.ruleset import (
     NAME_RANK,
@@ -29,6 +30,7 @@ from corpuslens.rules.ruleset import (
     path_gate,
     path_regex,
 )
+from corpuslens.session import materialize
 
 HIT_COLUMNS = [
     "repo_id", "path", "detector", "tech", "points", "category", "step", "ordinal", "evidence",
@@ -283,17 +285,78 @@ def _scopes(rules: RuleSet, path: Column, name: Column, content: Column, lowered
     return F.array_compact(F.array(*entries)) if entries else F.array().cast("array<string>")
 
 
-def content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None = None) -> DataFrame:
-    """Hits of the content rules; reads the text of each file once and returns no text.
+# Stands for a file's name in the evidence of a content that several files share.
+_SHOWN_NAME = "\x00\x01name\x01\x00"
 
-    ``facts`` are further arrays of hits over ``path``, ``name`` and ``content``, computed alongside.
+
+def content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None = None, copies: bool | None = None) -> DataFrame:
+    """Hits of the content rules; returns no text.
+
+    ``facts`` are further arrays of hits over ``path``, ``name``, ``content`` and ``shown``, computed alongside.
+    Corpora hold many copies of the same files.  With ``copies`` every different content is scanned once and
+    its hits are sent to all its paths (``distinct_content_hits``); without, every file is scanned where it is
+    read, and no text is shuffled.  By default the share of different contents decides; results are the same.
+    """
+    if copies is None:
+        copies = _has_copies(files)
+    if copies:
+        return distinct_content_hits(files, rules, facts)
+    base = files.where("content is not null").select("repo_id", "path", paths.base_name(F.col("path")).alias("name"), "content")
+    return _scanned(base.withColumn("shown", F.col("name")), ["repo_id", "path"], rules, facts)
+
+
+def _has_copies(files: DataFrame, share: float = 0.7) -> bool:
+    """Whether clearly fewer contents than files are different, by a sketch of all of them."""
+    row = files.where("content is not null").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("content")).alias("different")).first()
+    return row["different"] < share * row["n"]
+
+
+def _traits(rules: RuleSet) -> Column:
+    """Everything that rules and facts ask of a path, as names: scopes, name rules, file kinds."""
+    path, name = F.col("path"), F.col("name")
+    scopes = _scopes(rules, path, name, F.lit(""), F.lit(""))
+    named = [
+        F.when(F.rlike(name, F.lit(content_regex(r))), F.lit(f"rule {r.detector} {r.ordinal} {r.pattern}")) for r in rules.content_rules if r.kind == "name"
+    ]
+    parts = [scopes, content_facts.path_traits(), *([F.array_compact(F.array(*named))] if named else [])]
+    return F.array_join(F.concat(*parts), "\x00")
+
+
+def keyed_contents(files: DataFrame, rules: RuleSet) -> DataFrame:
+    """(repo_id, path, name, content, shown, key): equal keys have equal hits, but for the name in the evidence.
+
+    The key digests content and traits of the path; a content that holds the name's stand-in is its own.
     """
+    rows = files.where("content is not null").select("repo_id", "path", paths.base_name(F.col("path")).alias("name"), "content")
+    own = F.contains("content", F.lit(_SHOWN_NAME))
+    key = F.md5(F.concat_ws("\x01", F.md5("content"), _traits(rules), F.when(own, F.concat_ws("\x01", "repo_id", "path"))))
+    return rows.withColumn("shown", F.when(own, F.col("name")).otherwise(F.lit(_SHOWN_NAME))).withColumn("key", F.unhex(key))
+
+
+def distinct_contents(files: DataFrame, rules: RuleSet) -> DataFrame:
+    """One row per key of ``keyed_contents``; tasks drop the copies they hold before the shuffle."""
+    return keyed_contents(files, rules).select("key", "path", "name", "content", "shown").dropDuplicates(["key"])
+
+
+def distinct_content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None = None) -> DataFrame:
+    """As ``content_hits``, scanning one copy of each content.
+
+    The hits of the different contents are narrow and written once; then they meet the narrow (path, key) rows.
+    A content that very many files share makes that side of the join skewed, which Spark splits: neither side
+    holds a text.
+    """
+    places = keyed_contents(files, rules).select("repo_id", "path", F.when(F.col("shown") == _SHOWN_NAME, F.col("name")).alias("own_name"), "key")
+    hits = materialize(_scanned(distinct_contents(files, rules), ["key"], rules, facts), "content-hits")
+    joined = places.join(hits, "key")
+    # Where no text can hold the stand-in, every one in the evidence is a name's place.
+    evidence = F.coalesce(F.replace("evidence", F.lit(_SHOWN_NAME), "own_name"), "evidence").alias("evidence")
+    return joined.select(*[evidence if c == "evidence" else c for c in HIT_COLUMNS])
+
+
+def _scanned(base: DataFrame, carried: list[str], rules: RuleSet, facts: list[Column] | None) -> DataFrame:
+    """The hits of each row's content beside the ``carried`` columns."""
     content, path, name = F.col("content"), F.col("path"), F.col("name")
-    base = (
-        files.where("content is not null")
-        .select("repo_id", "path", paths.base_name(path).alias("name"), "content")
-        .withColumn("folded", fold(content))
-    )
+    base = base.withColumn("folded", fold(content))
     searched, short, table = _content_index(rules)
     base = base.withColumn("found", found_literals(F.col("folded"), searched, short))
     base = base.withColumn("scopes", _scopes(rules, path, name, content, F.col("folded")))
@@ -336,8 +399,8 @@ def content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None =
         F.transform(selected, lambda r: F.struct(r.alias("rule"), found(r).alias("found"))),
         lambda e: (e["rule"]["kind"] == "literal") | (F.size(e["found"]) > 0),
     )
-    hits = F.transform(F.transform(matched, counted), lambda c: _content_hit(c, name))
-    return base.select("repo_id", "path", F.inline(F.concat(hits, *(facts or []))))
+    hits = F.transform(F.transform(matched, counted), lambda c: _content_hit(c, F.col("shown")))
+    return base.select(*carried, F.inline(F.concat(hits, *(facts or []))))
 
 
 def _content_hit(counted: Column, name: Column) -> Column:
