@@ -297,17 +297,24 @@ def content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None =
     its hits are sent to all its paths (``distinct_content_hits``); without, every file is scanned where it is
     read, and no text is shuffled.  By default the share of different contents decides; results are the same.
     """
+    places = None
     if copies is None:
-        copies = _has_copies(files)
+        places = materialize(_places(files, rules), "places")
+        copies = _has_copies(places)
     if copies:
-        return distinct_content_hits(files, rules, facts)
+        return distinct_content_hits(files, rules, facts, places)
     base = files.where("content is not null").select("repo_id", "path", paths.base_name(F.col("path")).alias("name"), "content")
     return _scanned(base.withColumn("shown", F.col("name")), ["repo_id", "path"], rules, facts)
 
 
-def _has_copies(files: DataFrame, share: float = 0.7) -> bool:
+def _places(files: DataFrame, rules: RuleSet) -> DataFrame:
+    """(repo_id, path, own_name, key) of every file that has a text, without it."""
+    return keyed_contents(files, rules).select("repo_id", "path", F.when(F.col("shown") == _SHOWN_NAME, F.col("name")).alias("own_name"), "key")
+
+
+def _has_copies(places: DataFrame, share: float = 0.7) -> bool:
     """Whether clearly fewer contents than files are different, by a sketch of all of them."""
-    row = files.where("content is not null").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("content")).alias("different")).first()
+    row = places.agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("different")).first()
     return row["different"] < share * row["n"]
 
 
@@ -338,14 +345,14 @@ def distinct_contents(files: DataFrame, rules: RuleSet) -> DataFrame:
     return keyed_contents(files, rules).select("key", "path", "name", "content", "shown").dropDuplicates(["key"])
 
 
-def distinct_content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None = None) -> DataFrame:
+def distinct_content_hits(files: DataFrame, rules: RuleSet, facts: list[Column] | None = None, places: DataFrame | None = None) -> DataFrame:
     """As ``content_hits``, scanning one copy of each content.
 
     The hits of the different contents are narrow and written once; then they meet the narrow (path, key) rows.
     A content that very many files share makes that side of the join skewed, which Spark splits: neither side
     holds a text.
     """
-    places = keyed_contents(files, rules).select("repo_id", "path", F.when(F.col("shown") == _SHOWN_NAME, F.col("name")).alias("own_name"), "key")
+    places = _places(files, rules) if places is None else places
     hits = materialize(_scanned(distinct_contents(files, rules), ["key"], rules, facts), "content-hits")
     joined = places.join(hits, "key")
     # Where no text can hold the stand-in, every one in the evidence is a name's place.

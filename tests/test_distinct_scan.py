@@ -22,7 +22,7 @@ def test_every_path_gets_the_hits_of_its_content(spark):
     plain, shared = both(files, default_rules())
     assert plain == shared and len(plain) > 1000
     n, scanned = files.where("content is not null").count(), scan.distinct_contents(files, default_rules()).count()
-    assert scanned < n / 5 and scan._has_copies(files)
+    assert scanned < n / 5 and scan._has_copies(scan._places(files, default_rules()))
 
 
 @pytest.mark.parametrize("name", ["package.json", "x.py", "Dockerfile", "webpack.config.js", "requirements.txt", "setup.py", "a.b.go"])
@@ -41,5 +41,5 @@ def test_names_decide_what_a_content_means(spark, name):
 
 def test_different_contents_are_scanned_in_place(spark):
     files = spark.range(300).select(F.lit("r").alias("repo_id"), F.concat(F.lit("f"), "id", F.lit(".py")).alias("path"), F.concat(F.lit("import flask # "), "id").alias("content"))
-    assert not scan._has_copies(files)
+    assert not scan._has_copies(scan._places(files, default_rules()))
     assert "Exchange" not in scan.content_hits(files, default_rules(), facts())._jdf.queryExecution().executedPlan().toString()
