@@ -38,8 +38,8 @@ def _accumulated(values: np.ndarray, starts: np.ndarray, run: np.ndarray, carrie
     values = values.astype(np.int64).view(np.uint64)
     total = np.bitwise_xor.accumulate(values) if exclusive_or else np.cumsum(values, dtype=np.uint64)
     before = total[starts] ^ values[starts] if exclusive_or else total[starts] - values[starts]
-    start = np.array([carried], np.int64).view(np.uint64)[0]
-    before[0] = before[0] ^ start if exclusive_or else before[0] - start
+    start = np.array([carried], np.int64).view(np.uint64)
+    before[:1] = before[:1] ^ start if exclusive_or else before[:1] - start
     return (total ^ before[run] if exclusive_or else total - before[run]).view(np.int64)
 
 

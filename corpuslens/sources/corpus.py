@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import paths, text
 from corpuslens.rules import eligibility as e
-from corpuslens.session import materialize
+from corpuslens.session import materialize, shared_directory
+from corpuslens.sources import repositories
+
+ALL = ["*"]
 
 
 def readable_name(name: Column, extensions: list[str] | None = None) -> Column:
-    """File types whose content is loaded, by lower-cased extension or exact name."""
-    extensions = extensions or e.CONTENT_EXTENSIONS
+    """File types whose content is loaded, by lower-cased extension or exact name.
+
+    ``extensions`` replaces the list in ``rules.eligibility``; ``ALL`` loads every name without a binary extension,
+    an empty list only the names that are loaded always.
+    """
     ext = F.lower(paths.extension(name))
-    return (ext.isin(extensions) | name.isin(extensions + e.CONTENT_NAMES)) & ~ext.isin(e.BINARY_EXTENSIONS)
+    binary = ext.isin(e.BINARY_EXTENSIONS)
+    if extensions is not None and "*" in extensions:
+        return ~binary
+    extensions = e.CONTENT_EXTENSIONS if extensions is None else extensions
+    return (ext.isin(extensions) | name.isin(extensions + e.CONTENT_NAMES)) & ~binary
 
 
 def _wanted(name: Column, extensions: list[str] | None, max_file_bytes: int | None) -> Column:
@@ -76,95 +85,25 @@ def load_corpus(
     max_file_bytes: int | None = None,
     exclude_patterns: list[str] | None = None,
     extensions: list[str] | None = None,
+    errors: bool = False,
 ) -> DataFrame:
     """Read every repository under ``root``, a local or remote file system location.
 
-    A directory holding ``.git`` is a repository (named "." when it is the root itself), as is a
-    child of the root holding one.  Without any ``.git`` the root as a whole is one repository.  Spark's own file sources skip names that start with a dot,
-    which here are evidence, so tasks list the directories themselves: one entry of the listing per
-    child directory, then the files spread over all tasks for reading.  What they read is written to the
-    shared folder once, so that no file is opened again however often the result is used.
+    The tree is listed by rounds of tasks (``repositories.list_tree``); then two scans are joined by a union: files
+    whose name and size ask for their text are read through the data source, where that filter is applied before
+    a file is opened, and all others come from the listing alone.  The result is written to the shared folder
+    once, so that no file is opened again however often it is used.  With ``errors`` it has a further column
+    ``error``: why a file or folder could not be read.
     """
-    listed = list_repositories(spark, root, excluded)
-    wanted = _wanted(paths.base_name(F.col("path")), extensions, max_file_bytes)
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread_out = listed.withColumn("wanted", wanted).repartition(parts, "repo_id", "path")
-    loaded = materialize(spread_out.mapInPandas(_read_texts, "repo_id string, path string, size bigint, content string"), "corpus")
-    return from_table(loaded, excluded, max_file_bytes, exclude_patterns, extensions)
-
-
-def list_repositories(spark: SparkSession, root: str, excluded: list[str] | None = None) -> DataFrame:
-    """(repo_id, path, size, location) of every file, excluded directories pruned while listing."""
-    from pyarrow import fs
-
-    base = root if "://" in root else os.path.abspath(root)
-    files, folder = fs.FileSystem.from_uri(base)
-    whole = files.get_file_info(f"{folder}/.git").type == fs.FileType.Directory
-    skipped = frozenset(excluded or e.EXCLUDED_DIRECTORIES)
-    listed = files.get_file_info(fs.FileSelector(folder))
-    if not whole:
-        folders = [i.path for i in listed if i.type == fs.FileType.Directory]
-        markers = files.get_file_info([f"{f}/.git" for f in folders]) if folders else []
-        whole = not any(i.type == fs.FileType.Directory for i in markers)
-    entries = [
-        (base, folder, info.base_name, info.type == fs.FileType.Directory, whole, info.size or 0)
-        for info in listed
-        if (whole or info.type == fs.FileType.Directory) and not (info.type == fs.FileType.Directory and info.base_name in skipped)
-    ]
-    columns = "base string, folder string, name string, is_folder boolean, whole boolean, size bigint"
-    starts = spark.createDataFrame(entries, columns)
-    tasks = max(1, min(len(entries), 10 * spark.sparkContext.defaultParallelism))
-
-    def walk(batches):
-        for batch in batches:
-            for start in batch.itertuples():
-                rows = list(_walk(start, skipped))
-                if rows:
-                    yield pd.DataFrame(rows, columns=["repo_id", "path", "size", "location", "base"])
-
-    return starts.repartition(tasks).mapInPandas(
-        walk, "repo_id string, path string, size bigint, location string, base string"
-    )
-
-
-def _walk(start, skipped):
-    from pyarrow import fs
-
-    files, _ = fs.FileSystem.from_uri(start.base)
-    top = f"{start.folder}/{start.name}"
-    if not start.is_folder:
-        yield ".", start.name, start.size, top, start.base
-        return
-    if not start.whole and files.get_file_info(f"{top}/.git").type != fs.FileType.Directory:
-        return
-    repo, cut = (".", len(start.folder) + 1) if start.whole else (start.name, len(top) + 1)
-    pending = [top]
-    while pending:
-        for info in files.get_file_info(fs.FileSelector(pending.pop())):
-            if info.type == fs.FileType.Directory:
-                if info.base_name not in skipped:
-                    pending.append(info.path)
-            else:
-                yield repo, info.path[cut:], info.size, info.path, start.base
-
-
-def _read_texts(batches):
-    """Text of the wanted files: malformed bytes dropped, line ends unified."""
-    from pyarrow import fs
-
-    clients: dict = {}
-    for batch in batches:
-        texts = []
-        for row in batch.itertuples():
-            if not row.wanted:
-                texts.append(None)
-                continue
-            files = clients.setdefault(row.base, None) or fs.FileSystem.from_uri(row.base)[0]
-            clients[row.base] = files
-            try:
-                with files.open_input_stream(row.location) as stream:
-                    body = stream.read().decode("utf-8", errors="ignore")
-                texts.append(body.replace("\r\n", "\n").replace("\r", "\n"))
-            except OSError:
-                texts.append(None)
-        yield batch[["repo_id", "path", "size"]].assign(content=texts)
+    listing = f"{shared_directory(spark)}/corpuslens/listing-{uuid.uuid4().hex}"
+    listed = repositories.list_tree(spark, root, excluded)
+    names = repositories.write_listing(listed, listing, lambda name: readable_name(name, extensions))
+    wanted = F.col("readable") if max_file_bytes is None else F.col("readable") & (F.col("size") <= max_file_bytes)
+    columns = ["repo_id", "path", "size", "content", "error"]
+    texts = repositories.open_listing(spark, listing).where(wanted).select(columns)
+    others = names.where(~wanted).withColumn("content", F.lit(None).cast("string")).select(columns)
+    loaded = materialize(texts.unionByName(others), "corpus")
+    kept = from_table(loaded, excluded, max_file_bytes, exclude_patterns, extensions)
+    if not errors:
+        return kept
+    return kept.join(loaded.where("error is not null").select("repo_id", "path", "error"), ["repo_id", "path"], "left")
