@@ -832,6 +832,22 @@ def advice_lists(spark, sf_dir):
 
 # Result store.
 
+
+@check("result_store_appends", """
+SELECT doc_id, any_value(found) AS result FROM (
+  SELECT doc_id, CASE WHEN bool_or(lang = 'en') OVER k THEN 'first ' || length(text) ELSE 'second ' || length(text) END AS found
+  FROM documents WINDOW k AS (PARTITION BY text)) GROUP BY doc_id""")
+def result_store_appends(spark, sf_dir):
+    """Append the results of one language, then those of all, of which only new keys are stored; then look all up."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "lang", "text", store.content_key(F.col("text")).alias("key"))
+    results = store.ResultStore(spark, f"{shared_directory(spark)}/corpuslens/store-{uuid.uuid4().hex}", prefix=1)
+    of_run = lambda rows, name: rows.select("key", F.concat(F.lit(name), F.length("text").cast("string")).alias("result"))
+    results.append(of_run(documents.where("lang = 'en'"), "first "))
+    results.append(of_run(documents, "second "))
+    results.append(of_run(documents, "third "))
+    return results.with_results(documents.select("doc_id", "key")).select("doc_id", "result")
+
+
 _KEY = "md5(text || 'analysis' || 'gpt-4o')"
 
 
