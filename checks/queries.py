@@ -16,7 +16,7 @@ from corpuslens.functions import numbers, paths, text
 from corpuslens.operators import answers, content_facts, facts, landscape, prompts, recommend, report, sampling, scan, scores, validation
 from corpuslens.plans import analysis
 from corpuslens.rules import sampling as sampling_rules
-from corpuslens.rules import eligibility, frameworks
+from corpuslens.rules import conditions, eligibility, frameworks
 from corpuslens.rules import recommendations as advice
 from corpuslens.rules.ruleset import default_rules
 from corpuslens.sources import corpus as corpora
@@ -498,6 +498,27 @@ def recommendations(spark, sf_dir):
     return rows.select("repo_id", "text", "severity", "reason", "source", "nth")
 
 
+_OWN_FLAGS = (*conditions.FLAGS, conditions.Flag("styled", "category = 'frontend' and confidence >= 50"), conditions.Flag("much", "matches > 20 and sub_category is null"))
+_OWN_ADVICE = (
+    conditions.Advice("style", "conflict", "styled and not testing", "Test the pages", "Pages break", "high"),
+    conditions.Advice("size", "practice", "much and (has_ci or not docker)", "Split the project", "It is large", "low"),
+)
+
+
+@check("caller_advice", with_(_STACK, _advice_sql((), ("no_git",), _COMPANIONS), """own AS (
+  SELECT r.repo_id, any_value(has_ci) AS has_ci, bool_or(category = 'frontend' AND confidence >= 50) AS styled,
+    coalesce(bool_or(matches > 20 AND category NOT IN ('frontend', 'devops', 'testing')), false) AS much,
+    coalesce(bool_or(category = 'testing'), false) AS testing, coalesce(bool_or(category = 'devops' AND tech = 'Docker'), false) AS docker
+  FROM repo_facts r LEFT JOIN stack s ON s.repo_id = r.repo_id GROUP BY r.repo_id)""", select="""
+SELECT repo_id, 'Test the pages' AS text, 'high' AS severity, 'Pages break' AS reason, 'compatibility_analysis' AS source FROM own WHERE styled AND NOT testing
+UNION ALL SELECT repo_id, 'Split the project', 'low', 'It is large', 'best_practices' FROM own WHERE much AND (has_ci OR NOT docker)"""))
+def caller_advice(spark, sf_dir):
+    """Flags and advice that a caller wrote: the conditions are text."""
+    found = analysed(spark, sf_dir)
+    rows = recommend.recommendations(found.scored, found.primary, facts.repository_facts(found.files), flags=_OWN_FLAGS, advice=_OWN_ADVICE)
+    return rows.where("source <> 'stack_analysis'").select("repo_id", "text", "severity", "reason", "source")
+
+
 _REVIEW_COMPANIONS = q.table("companion_table", "tech, companion, nth", [
     (t, n, i) for t, ns in advice.FRAMEWORK_COMPANIONS.items() for i, n in enumerate(ns)]) + """,
 companions AS (

@@ -7,12 +7,14 @@ detector.  The order of the steps matters: later ones read the results of earlie
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.numbers import exact_round
+from corpuslens.operators.conditions import checked
 from corpuslens.operators.scores import (
     add_all,
     divide_unless,
@@ -23,6 +25,7 @@ from corpuslens.operators.scores import (
     with_score,
 )
 from corpuslens.rules import architecture, build, databases, frameworks, frontend, devops, testing
+from corpuslens.rules.conditions import CORRECTIONS, Correction
 
 THRESHOLDS = {
     "frameworks": ({"SQLAlchemy": 20}, 35),
@@ -48,21 +51,39 @@ def _text_map(table: dict[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def corrected(row: DataFrame, detectors: list[str]) -> DataFrame:
+def corrected(row: DataFrame, detectors: list[str], corrections: Sequence[Correction] = CORRECTIONS) -> DataFrame:
     """Replace the raw maps of detectors by their corrected ones.
 
     A step names the columns it replaces; steps of different detectors touch different columns, so
-    the nth steps of all detectors share one projection.
+    the nth steps of all detectors share one projection.  Where a list of steps has a number, the
+    corrections of that stage follow each other.
     """
-    for nth in range(max(len(STEPS[d]) for d in detectors)):
+    wanted = [c for c in corrections if c.detector in detectors]
+    held = checked(row, [(f"{i} {c.detector} {c.tech}", c.condition) for i, c in enumerate(wanted)])
+    rules = [(c, held[f"{i} {c.detector} {c.tech}"]) for i, c in enumerate(wanted)]
+    steps = {
+        d: [s for entry in STEPS[d] for s in (_correction_steps(rules, d, entry) if isinstance(entry, int) else [entry])] for d in detectors
+    }
+    for nth in range(max(map(len, steps.values()))):
         changes: dict[str, Column] = {}
         for detector in detectors:
-            if nth < len(STEPS[detector]):
-                changes.update(STEPS[detector][nth]())
+            if nth < len(steps[detector]):
+                changes.update(steps[detector][nth]())
         row = row.withColumns(changes)
     return row
 
 
+def _correction_steps(rules: list[tuple[Correction, Column]], detector: str, stage: int) -> list:
+    """A step per correction of a stage."""
+
+    def change(rule: Correction, holds: Column):
+        if rule.divisor:
+            return lambda m: divide_unless(m, rule.tech, holds, rule.divisor)
+        return lambda m: F.transform_values(m, lambda k, v: F.when((k == rule.tech) & ~holds, F.lit(0.0)).otherwise(v))
+
+    return [_update(detector, change(c, holds)) for c, holds in rules if c.detector == detector and c.stage == stage]
+
+
 def _update(column: str, change):
     return lambda: {column: change(F.col(column))}
 
@@ -101,8 +122,7 @@ def _sqlalchemy_with_flask(scores: Column) -> Column:
 FRAMEWORK_STEPS = [
     _foreign_language,
     _unproven,
-    _update("frameworks", lambda m: divide_unless(m, "Django", F.col("django_files"), 2)),
-    _update("frameworks", lambda m: divide_unless(m, "React", flagged("react_code") | F.col("jsx_files"), 2)),
+    1,
     _update("frameworks", _sqlalchemy_with_flask),
 ]
 
@@ -132,6 +152,7 @@ DATABASE_STEPS = [
     _update("databases", _without_connection),
     lambda: {"databases": add_all(F.col("databases"), F.col("`databases+extra`"))},
     _update("databases", _generic_sql),
+    1,
 ]
 
 
@@ -175,15 +196,9 @@ def _npm_floor(scores: Column) -> Column:
     return F.when(low, with_score(scores, "npm", F.lit(10.0))).otherwise(scores)
 
 
-def _halve_invalid(column: str, tech: str, flag: str):
-    return _update(column, lambda m: divide_unless(m, tech, F.col(flag), 2))
-
-
 BUILD_STEPS = [
     _update("build_systems", _used),
-    _halve_invalid("build_systems", "Maven", "valid_pom"),
-    _halve_invalid("build_systems", "Gradle", "valid_gradle"),
-    _halve_invalid("build_systems", "Webpack", "valid_webpack"),
+    1,
 ]
 PACKAGE_STEPS = [
     _update("package_managers", _split_repository),
@@ -192,8 +207,7 @@ PACKAGE_STEPS = [
     _update("package_managers", lambda m: _plus(m, "npm", F.col("package_json") & F.col("first_manifest_declares"), 10)),
     _update("package_managers", lambda m: _plus(m, "pip", F.col("pip_declarations") > 0, F.col("pip_declarations") * 10)),
     _update("package_managers", lambda m: _plus(m, "pip", F.col("pip_file"), 20)),
-    _halve_invalid("package_managers", "Maven", "valid_pom"),
-    _halve_invalid("package_managers", "Gradle", "valid_gradle"),
+    1,
     _update("package_managers", _npm_floor),
 ]
 
@@ -220,16 +234,7 @@ def cross_listed(row: DataFrame) -> DataFrame:
 
 # Frontend.
 
-FRONTEND_STEPS = [
-    _update(
-        "frontend",
-        lambda m: divide_unless(m, "Angular", ~flagged("django_template") | flagged("angular_specific"), 5),
-    ),
-    _update(
-        "frontend",
-        lambda m: divide_unless(m, "Tailwind CSS", flagged("tailwind_specific") | F.col("tailwind_file"), 5),
-    ),
-]
+FRONTEND_STEPS = [1]
 
 
 # DevOps.
@@ -262,13 +267,7 @@ DEVOPS_STEPS = [
     _implies("Docker Compose", "Docker"),
     _implies("Helm", "Kubernetes"),
     _cdk_is_aws,
-    _update(
-        "devops",
-        lambda m: divide_unless(
-            m, "Helm", flagged("helm_chart") | (flagged("helm_templates") & flagged("helm_values")), 10
-        ),
-    ),
-    _update("devops", lambda m: divide_unless(m, "Packer", flagged("packer_specific"), 10)),
+    1,
 ]
 
 
@@ -332,10 +331,6 @@ def _module_points(scores: Column) -> Column:
     return _plus(scores, "Feature-based architecture", F.col("modules").isNotNull(), 25)
 
 
-def _several(*components: str) -> Column:
-    return reduce(Column.__and__, [F.col(c) >= 2 for c in components])
-
-
 def _rest_boost(scores: Column) -> Column:
     return _plus(scores, "REST API", scored(scores, "REST API") & flagged("rest"), 10)
 
@@ -354,34 +349,16 @@ ARCHITECTURE_STEPS = [
     _file_points,
     _convention_points,
     _update("architecture", _module_points),
-    _update("architecture", lambda m: divide_unless(m, "MVC", _several("models", "views", "controllers"), 2)),
-    _update("architecture", lambda m: divide_unless(m, "MVVM", _several("models", "views", "viewmodels"), 2)),
-    _update(
-        "architecture",
-        lambda m: divide_unless(m, "Clean Architecture", _several("entities", "usecases", "adapters"), 2),
-    ),
-    _update("architecture", lambda m: divide_unless(m, "Microservices", flagged("micro") | (F.col("services") >= 3), 2)),
-    _update("architecture", lambda m: divide_unless(m, "Event-Driven Architecture", flagged("event"), 2)),
+    1,
     _update("architecture", _rest_boost),
     _update("architecture", _exclusive),
-    _update(
-        "architecture",
-        lambda m: divide_unless(m, "Feature-based architecture", F.col("feature_files") >= 5, 2),
-    ),
+    2,
 ]
 
 
 # Testing.
 
 
-def _zero_unless(tech: str, holds):
-    def change(m):
-        supported = holds()
-        return F.transform_values(m, lambda k, v: F.when((k == tech) & ~supported, F.lit(0.0)).otherwise(v))
-
-    return _update("testing", change)
-
-
 def _coverage() -> dict[str, Column]:
     name = "High Test Coverage"
     covered = F.col("covered_extensions") > 0
@@ -392,13 +369,9 @@ def _coverage() -> dict[str, Column]:
     }
 
 
-TESTING_STEPS = [
-    _zero_unless("React Testing Library", lambda: F.col("javascript_files") & flagged("react_testing_library")),
-    _zero_unless("Enzyme", lambda: F.col("javascript_files") & flagged("enzyme")),
-    _zero_unless("RSpec", lambda: F.col("ruby_files") & flagged("rspec")),
-    _coverage,
-]
+TESTING_STEPS = [1, _coverage]
 
+# Functions of the score row, and stages at which the corrections of ``rules.conditions`` follow.
 STEPS = {
     "frameworks": FRAMEWORK_STEPS,
     "databases": DATABASE_STEPS,
@@ -411,9 +384,9 @@ STEPS = {
 }
 
 
-def detected(row: DataFrame, detectors: list[str]) -> DataFrame:
+def detected(row: DataFrame, detectors: list[str], corrections: Sequence[Correction] = CORRECTIONS) -> DataFrame:
     """Corrected, normalised and thresholded maps: tech -> (matches, confidence)."""
-    row = corrected(row, detectors)
+    row = corrected(row, detectors, corrections)
     row = row.withColumns({d: normalised(F.col(d), *THRESHOLDS[d]) for d in detectors})
     if "build_systems" in detectors and "package_managers" in detectors:
         row = cross_listed(row)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens.functions.text import severity_rank
+from corpuslens.operators.conditions import checked
 from corpuslens.operators.facts import lookup_table
 from corpuslens.operators.validation import CATEGORIES
 from corpuslens.rules import recommendations as r
+from corpuslens.rules.conditions import ADVICE, FLAGS, Advice, Flag
 
 COMPANION_CATEGORIES = ["frameworks", "frontend", "testing", "build_systems", "package_managers"]
 _COLUMNS = ["repo_id", "text", "severity", "reason", "source", "part", "section_no", "place"]
@@ -17,57 +21,30 @@ _COLUMNS = ["repo_id", "text", "severity", "reason", "source", "part", "section_
 _LED, _COMPANIONS, _CONFLICTS, _PRACTICES, _AI = range(5)
 
 
-def _has(category: str, tech: str) -> Column:
-    return F.coalesce(F.bool_or((F.col("category") == category) & (F.col("tech") == tech)), F.lit(False))
-
+def rule_flags(stack: DataFrame, facts: DataFrame, flags: Sequence[Flag] = FLAGS) -> DataFrame:
+    """One row per repository with everything the conditions of advice ask about."""
+    held = checked(stack, [(f.name, f.condition) for f in flags])
+    found = stack.groupBy("repo_id").agg(*[F.bool_or(c).alias(n) for n, c in held.items()]) if held else stack.select("repo_id").distinct()
+    joined = facts.join(found, "repo_id", "left")
+    return joined.select("repo_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in (*held, "has_git", "has_docs", "has_ci")])
 
-def rule_flags(stack: DataFrame, facts: DataFrame) -> DataFrame:
-    """One row per repository with everything the rule conditions ask about."""
-    category, tech = F.col("category"), F.col("tech")
-    flags = stack.groupBy("repo_id").agg(
-        *[_has("frameworks", t).alias(t.lower()) for t in ("jQuery", "React", "Django", "Express", "Flask", "Mongoose", "SQLAlchemy")],
-        _has("databases", "SQLite").alias("sqlite"),
-        _has("databases", "MongoDB").alias("mongodb"),
-        _has("devops", "Docker").alias("docker"),
-        F.bool_or(category == "testing").alias("testing"),
-        F.bool_or((category == "build_systems") & F.contains(F.lower(tech), F.lit("webpack"))).alias("webpack"),
-        F.bool_or((category == "architecture") & (tech == "Microservices") & (F.col("confidence") > 70)).alias("microservices"),
-    )
-    joined = facts.join(flags, "repo_id", "left")
-    return joined.select(
-        "repo_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in joined.columns if c in (*flags.columns[1:], "has_git", "has_docs", "has_ci")]
-    )
 
-
-def _conditions() -> dict[str, Column]:
-    c = F.col
-    return {
-        "jquery_react": c("jquery") & c("react"),
-        "sqlite_microservices": c("sqlite") & c("microservices"),
-        "django_react": c("django") & c("react") & ~c("webpack"),
-        "mongo_express": c("mongodb") & c("express") & ~c("mongoose"),
-        "flask_sqlalchemy": c("flask") & ~c("sqlalchemy"),
-        "no_git": ~c("has_git"),
-        "no_tests": ~c("testing"),
-        "no_docker": ~c("docker"),
-        "no_docs": ~c("has_docs"),
-        "no_ci": ~c("has_ci"),
-    }
-
-
-def _rule_rows(flags: DataFrame, rules: dict, source: str, part: int, only=None) -> DataFrame:
-    conditions = _conditions()
+def _rule_rows(flags: DataFrame, rules: Sequence[Advice]) -> DataFrame:
+    """The advice whose condition holds, by kind and in the order of the rules."""
+    held = checked(flags, [(a.name, a.condition) for a in rules])
+    sources = {"conflict": ("compatibility_analysis", _CONFLICTS), "practice": ("best_practices", _PRACTICES)}
     entries = [
         F.when(
-            conditions[key],
+            held[a.name],
             F.struct(
-                F.lit(text).alias("text"), F.lit(severity).alias("severity"), F.lit(reason).alias("reason"),
-                F.lit(source).alias("source"), F.lit(part).alias("part"), F.lit(0).alias("section_no"), F.lit(i).cast("bigint").alias("place"),
+                F.lit(a.text).alias("text"), F.lit(a.severity).alias("severity"), F.lit(a.reason).alias("reason"),
+                F.lit(sources[a.kind][0]).alias("source"), F.lit(sources[a.kind][1]).alias("part"), F.lit(0).alias("section_no"), F.lit(i).cast("bigint").alias("place"),
             ),
         )
-        for i, (key, (text, reason, severity)) in enumerate(rules.items())
-        if only is None or key in only
+        for i, a in enumerate(rules)
     ]
+    if not entries:
+        return flags.sparkSession.createDataFrame([], "repo_id string, text string, severity string, reason string, source string, part int, section_no int, place bigint")
     return flags.select("repo_id", F.inline(F.array_compact(F.array(*entries))))
 
 
@@ -101,15 +78,12 @@ def _ordered(rows: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.row_number().over(order).alias("nth"), "text", "severity", "reason", "source")
 
 
-def recommendations(stack: DataFrame, primary: DataFrame, facts: DataFrame, ai: DataFrame | None = None) -> DataFrame:
+def recommendations(
+    stack: DataFrame, primary: DataFrame, facts: DataFrame, ai: DataFrame | None = None, flags: Sequence[Flag] = FLAGS, advice: Sequence[Advice] = ADVICE,
+) -> DataFrame:
     """Companions, conflicts and best practices; ``ai`` rows (repo_id, ord, text, severity, reason)
-    join them unless their text, in any case, is already there."""
-    flags = rule_flags(stack, facts)
-    rows = (
-        companions(primary, stack).select(_COLUMNS)
-        .unionByName(_rule_rows(flags, r.CONFLICTS, "compatibility_analysis", _CONFLICTS))
-        .unionByName(_rule_rows(flags, r.BEST_PRACTICES, "best_practices", _PRACTICES))
-    )
+    join them unless their text, in any case, is already there.  ``flags`` and ``advice`` are rows with conditions."""
+    rows = companions(primary, stack).select(_COLUMNS).unionByName(_rule_rows(rule_flags(stack, facts, flags), advice))
     if ai is not None:
         fresh = ai.withColumn("key", F.lower("text")).join(
             rows.select("repo_id", F.lower("text").alias("key")), ["repo_id", "key"], "left_anti"
@@ -124,7 +98,9 @@ def recommendations(stack: DataFrame, primary: DataFrame, facts: DataFrame, ai:
     return _ordered(rows)
 
 
-def review_recommendations(suggestions: DataFrame, stack: DataFrame, primary: DataFrame, facts: DataFrame) -> DataFrame:
+def review_recommendations(
+    suggestions: DataFrame, stack: DataFrame, primary: DataFrame, facts: DataFrame, flags: Sequence[Flag] = FLAGS, advice: Sequence[Advice] = ADVICE,
+) -> DataFrame:
     """Variant led by review suggestions (repo_id, section, ord, text, severity, reason).
 
     Suggestions with the same text count once; rule texts follow, all companions as medium.
@@ -152,9 +128,5 @@ def review_recommendations(suggestions: DataFrame, stack: DataFrame, primary: Da
             F.lit(_COMPANIONS).alias("part"), F.lit(0).alias("section_no"), F.col("nth").cast("bigint").alias("place"),
         )
     )
-    flags = rule_flags(stack, facts)
-    conflicts = _rule_rows(
-        flags, r.CONFLICTS, "compatibility_analysis", _CONFLICTS, ("jquery_react", "sqlite_microservices", "django_react")
-    )
-    practices = _rule_rows(flags, r.BEST_PRACTICES, "best_practices", _PRACTICES, ("no_git", "no_tests"))
-    return _ordered(led.unionByName(missing).unionByName(conflicts).unionByName(practices))
+    rules = _rule_rows(rule_flags(stack, facts, flags), [a for a in advice if a.in_review])
+    return _ordered(led.unionByName(missing).unionByName(rules))

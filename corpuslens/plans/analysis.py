@@ -95,7 +95,7 @@ def detect(files: DataFrame, wanted: list[str], rules: RuleSet | None = None, hi
     rules = (rules or default_rules()).for_detectors(needed)
     if hits is None:
         hits = detector_hits(files, rules, needed)
-    return d.detected(score_state(files, hits, needed), needed)
+    return d.detected(score_state(files, hits, needed), needed, rules.corrections)
 
 
 def _entries(category: str, *more) -> Column:
@@ -202,7 +202,7 @@ def analyze(files: DataFrame, rules: RuleSet | None = None, min_confidence: floa
     rules = rules or default_rules()
     hits = materialize(detector_hits(files, rules, DETECTORS), "hits")
     state = score_state(files, hits, DETECTORS).join(_language_rows(files), "repo_id", "left")
-    row = d.detected(_without_nulls(materialize(state, "scores")), DETECTORS)
+    row = d.detected(_without_nulls(materialize(state, "scores")), DETECTORS, rules.corrections)
     row = row.withColumn("languages", d.languages_from_counts(F.col("languages")))
     connection_rules: dict[str, tuple[int, str]] = {}
     for rule in rules.content_rules:

@@ -101,7 +101,7 @@ FRAMEWORK_COMPANIONS = {
 }
 
 # (text, reason, severity) of the conflict and best-practice rules; their conditions are in
-# ``operators.recommend`` under the same keys.
+# ``rules.conditions`` under the same keys.
 CONFLICTS = {
     "jquery_react": (
         "Consider migrating from jQuery to use React's built-in DOM manipulation capabilities",

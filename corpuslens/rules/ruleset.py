@@ -12,6 +12,7 @@ from functools import lru_cache
 
 from corpuslens.functions.regex import anchors, to_java
 from corpuslens.rules import architecture, build, databases, devops, frameworks, frontend, testing
+from corpuslens.rules.conditions import CORRECTIONS, Correction
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,7 @@ class RuleSet:
     path_rules: tuple[PathRule, ...]
     content_rules: tuple[ContentRule, ...]
     test_directories: tuple[str, ...] = field(default=tuple(testing.TEST_DIRECTORIES))
+    corrections: tuple[Correction, ...] = CORRECTIONS
 
     def with_literal_directories(self) -> "RuleSet":
         """Directory sets compared without their trailing slash rule, so that only prefixes such as
