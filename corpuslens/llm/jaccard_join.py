@@ -3,9 +3,9 @@
 Equal texts form a class and are joined once, by one of them.  Words are what white space separates, in
 lower case; a shingle is five words in a row (a text of fewer words is one shingle), held as a 64-bit hash.
 
-1. Every class has ``TREES`` labels of ``DEPTH`` MinHash values.  Sorted labels form prefix tries; two
-   classes meet in a tree if their labels share a prefix.  Prefixes are shortened from the full depth until
-   two sets at the least similarity meet in some tree with probability ``RECALL`` (``prefix_length``).
+1. Every class has ``TREES`` labels of ``DEPTH`` MinHash values, the leaves of prefix tries; two classes meet in a
+   tree if their labels share a prefix.  All prefixes have the same length, the longest at which two sets at
+   the least similarity meet in some tree with probability ``RECALL`` (``prefix_length``): banding, in effect.
 2. Classes under one trie node may be very many (a third of all rows may be near copies), so that a
    node's members are not paired: they are compared with a few *leaders*, by an estimate from their
    MinHash values, and leaders only with members that are not connected to them yet: a node gives fewer
@@ -13,9 +13,10 @@ lower case; a shingle is five words in a row (a text of fewer words is one shing
    is close to one, and the parts' leaders meet once more.  Jaccard distance obeys the triangle
    inequality, so that two similar members have leaders that are linked, with slack for the estimate's
    error.
-3. Connected members form a candidate group.  Groups are cut into blocks, and every pair of blocks is
-   compared exactly, as a product of membership matrices in one task: each pair of a group once, without
-   a row per pair.  Results are counts of links and a spanning forest of them.
+3. Connected members form a candidate group.  Groups are cut into blocks.  Each block is compared exactly, as
+   a product of membership matrices in one task, which gives counts of links and the block's connected parts;
+   then every pair of blocks of a group, which gives counts and edges between parts: each pair of a group is
+   compared once, without a row per pair, and edges stay fewer than texts.
 
 Expected recall of links at the least similarity: ``RECALL`` or more; above it, higher.
 """
@@ -199,49 +200,95 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, simila
     return linked
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric matrix."""
-    unseen, edges = np.ones(len(linked), bool), []
+def _labels(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first one that links connect it with."""
+    label, unseen = np.arange(len(linked)), np.ones(len(linked), bool)
     for root in range(len(linked)):
         if not unseen[root]:
             continue
         unseen[root], stack = False, [root]
         while stack:
-            at = stack.pop()
-            found = np.flatnonzero(linked[at] & unseen)
+            found = np.flatnonzero(linked[stack.pop()] & unseen)
             unseen[found] = False
-            edges += [(at, int(f)) for f in found]
+            label[found] = root
             stack += found.tolist()
-    return edges
+    return label
 
 
-def _verified(similarity: float, size: int) -> Callable:
+def _spanning(pairs: set[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs that connect the same names as all of them do, at most one less than names."""
+    top: dict[bytes, bytes] = {}
+
+    def find(name: bytes) -> bytes:
+        while top.setdefault(name, name) != name:
+            top[name] = top[top[name]]
+            name = top[name]
+        return name
+
+    for a, b in sorted(pairs):
+        x, y = find(a), find(b)
+        if x != y:
+            top[x] = y
+            yield a, b
+
+
+def _within(similarity: float, size: int) -> Callable:
+    """(key, links, other) of blocks: how many others of its block a text is linked to, and the block's first text it is connected with."""
     schema = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("other", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), rows in _sorted_groups(batches, 3):
-            left = [r for r in rows if r[0] == low]
-            right = [r for r in rows if r[0] == high] if high != low else None
-            if not left or right is not None and not right or len(rows) < 2:
-                continue
-            members = left + (right or [])
-            sets = [shingles(text, size) for _, _, text in members]
-            linked = links_between(sets[: len(left)], sets[len(left) :] if right is not None else None, similarity)
-            if not linked.any():
+        for _, rows in _sorted_groups(batches, 2):
+            linked = links_between([shingles(text, size) for _, text in rows], None, similarity) if len(rows) > 1 else np.zeros((1, 1), bool)
+            counts, labels = linked.sum(axis=1), _labels(linked)
+            out = [(rows[i][0], int(counts[i]), rows[labels[i]][0]) for i in np.flatnonzero(counts)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _across(similarity: float, size: int) -> Callable:
+    """(key, links, other) of pairs of blocks: links between them, and edges between their connected parts.
+
+    Parts of a block are known by their first text: however many links there are, parts are joined by fewer edges
+    than there are parts.
+    """
+    schema = pa.schema([("key", pa.binary()), ("links", pa.int64()), ("other", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, low, _), rows in _sorted_groups(batches, 3):
+            left, right = [r for r in rows if r[0] == low], [r for r in rows if r[0] != low]
+            if not left or not right:
                 continue
-            if right is not None:
-                n = len(left)
-                square = np.zeros((len(members), len(members)), bool)
-                square[:n, n:], square[n:, :n] = linked, linked.T
-                linked = square
-            counts = linked.sum(axis=1)
-            keys = [m[1] for m in members]
-            out = [(keys[i], int(counts[i]), None) for i in np.flatnonzero(counts)] + [(keys[a], 0, keys[b]) for a, b in _forest(linked)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            linked = links_between([shingles(r[2], size) for r in left], [shingles(r[2], size) for r in right], similarity)
+            out = [(side[i][1], int(counts[i]), None) for side, counts in ((left, linked.sum(axis=1)), (right, linked.sum(axis=0))) for i in np.flatnonzero(counts)]
+            pairs = {(left[i][3], right[j][3]) for i, j in np.argwhere(linked)}
+            out += [(a, 0, b) for a, b in _spanning(pairs)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+def verified_links(texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(key, links, other) of candidate groups: counts of links to sum up, and edges that connect what links connect.
+
+    ``texts``: (component, blocks, key, text), a row per text.  First each block by itself, then every pair
+    of blocks of groups that have several.  Edges are fewer than texts and, for pairs, than the blocks' connected parts.
+    """
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    held = texts.select("component", "blocks", own.alias("own"), "key", "text")
+    schema = "key binary, links long, other binary"
+    single = held.select("component", "own", "key", "text").repartition("component", "own").sortWithinPartitions("component", "own")
+    within = written(single.mapInArrow(_within(similarity, size), schema), "within")
+
+    several = held.where("blocks > 1").join(within.select("key", F.col("other").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    met = several.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != own")
+    pairs = met.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "text", "label")
+    pairs = pairs.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
+    return within.unionByName(written(pairs.mapInArrow(_across(similarity, size), schema), "across"))
+
+
 def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS, recall: float = RECALL, node_part: int = NODE_PART, block: int = BLOCK) -> DataFrame:
     """(key, class_id, n_copies, n_links, group_id), a row per different text of ``docs`` (doc_id, text).
 
@@ -280,11 +327,7 @@ def classes_and_links(docs: DataFrame, similarity: float = SIMILARITY, size: int
     placed = placed.select(F.col("node").alias("key"), "component", "blocks", "class_id")
     texts = _keyed(docs.select(F.col("doc_id").alias("own_id"), "text"))
     texts = texts.join(placed, "key").where(F.col("own_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["key"])
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    texts = texts.select("component", own.alias("own"), "key", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = texts.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "text")
-    pairs = pairs.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-    found = written(pairs.mapInArrow(_verified(similarity, size), "key binary, links long, other binary"), "links")
+    found = verified_links(texts, similarity, size)
 
     linked = found.groupBy("key").agg(F.sum("links").alias("n_links"))
     joined = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))

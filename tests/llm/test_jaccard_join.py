@@ -59,6 +59,23 @@ def test_near_copies_against_brute_force(spark):
     check(docs, rows, node_part=3, block=4)  # large nodes and groups, split
 
 
+def test_edges_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """Edits of one template, all linked: edges for the second components are at most two per member at three sizes."""
+    counted = []
+    plain = jj.components
+
+    def counting(edges):
+        counted.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(jj, "components", counting)
+    for n in (100, 200, 400):
+        words = [f"w{i}" for i in range(120)]
+        rows = [(i, " ".join([*words[:60], f"own{i}", *words[61:]])) for i in range(n)]
+        got = jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), block=16)
+        assert {tuple(r)[1:] for r in got.collect()} == {(i, 1, n - 1, 0) for i in range(n)} and counted[-1] <= 2 * n
+
+
 def test_edge_rows(edge_docs, edge_rows, no_docs):
     check(edge_docs, edge_rows)
     kept = jj.keep_one_per_group(edge_docs)
