@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checked(rows: DataFrame, conditions: Iterable[tuple[str, str]], needed: str = "") -> dict[str, Column]:
+def checked(rows: DataFrame, conditions: Iterable[tuple[str, str]]) -> dict[str, Column]:
     """Name -> condition over a row of ``rows``, false where the text gives null.
 
     A text must be a boolean expression of the row's columns: no aggregate, window, subquery or function that may
@@ -36,7 +36,7 @@ def _problem(empty: DataFrame, texts: list[str]) -> str | None:
     try:
         plan = reduce(lambda df, text: df.where(F.expr(f"({text})")), texts, empty)._jdf.queryExecution().analyzed()
     except PySparkException as problem:
-        return str(problem).split("\n")[0]
+        return str(problem).strip().split("\n")[0] or type(problem).__name__
     if not plan.deterministic():
         return "its value may change"
     return None if plan.subqueriesAll().isEmpty() else "it holds a subquery"

@@ -42,7 +42,7 @@ def test_a_rule_of_each_kind(spark, files):
 
 
 @pytest.mark.parametrize(("text", "said"), [
-    ("nowhere", "UNRESOLVED"), ("n + 1", "BOOLEAN"), ("flag and (", "PARSE"), ("max(n) > 1", ""), ("rand() > 0.5", "may change"),
+    ("nowhere", "UNRESOLVED"), ("n + 1", "BOOLEAN"), ("flag and", "PARSE"), ("flag and (", "PARSE"), ("max(n) > 1", ""), ("rand() > 0.5", "may change"),
     ("n in (select 1)", "subquery"), ("row_number() over (order by n) = 1", ""),
 ])
 def test_conditions_are_checked(spark, text, said):
