@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.llm.bpe import _byte_letters
 from corpuslens.llm.common import documents_of, once_per_process
 from corpuslens.session import shared_directory
 
@@ -71,10 +72,10 @@ class WordEncoder:
     WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\\sa-z0-9{LETTERS}]+")
     SPACE = re.compile("[ \t\n\r]+")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, verified: bool = False) -> None:
         import json
 
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
@@ -87,24 +88,56 @@ class WordEncoder:
             pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and kinds == ["NFC", "Replace", "Lowercase"]
             and described["model"].get("end_of_word_suffix") == "</w>"
         )
-        # Simple words are normal already and stand between spaces: no pattern has to find them.
-        self.of_words = Tokenizer.from_file(path)
-        self.of_words.no_padding()
-        self.of_words.no_truncation()
-        self.of_words.normalizer = normalizers.Sequence([])
-        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.marks = [t["content"] for t in described.get("added_tokens", [])]
+        self.of_words = self._word_codec(described["model"], verified) if self.by_word else None
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith("</w>")
-        self.marks = [t["content"] for t in described.get("added_tokens", [])]
         self.known: dict[str, bytes] = {}
 
+    def _word_codec(self, model: dict, verified: bool):
+        """A ``tiktoken`` codec for simple words that each end in a space, which stands for the mark of a word's end.
+
+        It merges neighbours whose concatenation is the lowest token, the library those that are the lowest
+        merge.  Both do the same if merging each token's own string gives that token: within the letters of
+        a token, merges run as they do in the token alone, so that the last two parts are those of its merge.
+        This and the order of the ids are checked here, unless the file is ``verified`` already; where they do
+        not hold, the library encodes all words.
+        """
+        import tiktoken
+
+        letters, end = _byte_letters(), "</w>"
+        marks = set(self.marks)
+        ranks: dict[bytes, int] = {}
+        for token, i in model["vocab"].items():
+            if token not in marks:
+                ranks[bytes(letters[c] for c in token.removesuffix(end)) + b" " * token.endswith(end)] = i
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"].get(a + b, -1) for a, b in merges]
+        ordered = all(a < b for a, b in zip([511, *made], made, strict=False)) and sorted(ranks.values()) == list(range(len(ranks))) and len(ranks) == 512 + len(made)
+        if not ordered or any(model["vocab"].get(c + end, 512) > 511 or model["vocab"].get(c, 512) > 511 for c in letters):
+            return None
+        rank = {(a, b): n for n, (a, b) in enumerate(merges)}
+        for a, b in [] if verified else merges:
+            whole = a + b
+            parts = [*whole.removesuffix(end)]
+            parts[-1] += end * whole.endswith(end)
+            while len(parts) > 1:  # the lowest merge, the first of equal ones
+                at = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+                if (parts[at], parts[at + 1]) not in rank:
+                    return None
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
     def _by_library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in one call; a word ends where a token does that ends words."""
-        ids = np.array(self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        if self.of_words is None:
+            self.known.update((w, self._by_library(w)) for w in words)
+            return
+        ids = self.of_words.encode_to_numpy(" ".join(words) + " ", disallowed_special=()).astype("<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(words):
             self.known.update((w, self._by_library(w)) for w in words)
@@ -239,9 +272,10 @@ def write_tokens(docs: DataFrame, target: str, vocabulary: str | None = None, en
     written by many tasks; each task encodes, packs and writes one segment at a time.
     """
     vocabulary = vocabulary or default_vocabulary()
+    verified = WordEncoder(vocabulary).of_words is not None  # once, on the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = once_per_process(("word-encoder", vocabulary), lambda: WordEncoder(vocabulary))
+        coder = once_per_process(("word-encoder", vocabulary), lambda: WordEncoder(vocabulary, verified))
         end, shard = int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         number = start = held = 0
         doc_ids: list[int | None] = []

@@ -64,6 +64,14 @@ def test_word_encoder_equals_the_library(library):
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == library(text), repr(text)
 
 
+def test_simple_words_use_the_verified_codec(library):
+    coder = tf.WordEncoder(tf.default_vocabulary())
+    assert coder.of_words is not None
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéüß") for _ in range(rnd.randint(1, 14))) for _ in range(20_000)] + ["aaaaaaa", "mmmmmmmmm", "ingingin", "!?!?...", "--"]
+    assert np.frombuffer(coder.encode(" ".join(words)), "<u4").tolist() == library(" ".join(words))
+
+
 def test_a_full_cache_is_cleared(library, monkeypatch):
     monkeypatch.setattr(tf, "CACHED_WORDS", 5)
     coder = tf.WordEncoder(tf.default_vocabulary())
