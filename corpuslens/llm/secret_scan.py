@@ -7,6 +7,9 @@ decoded, and reported only if the bytes parse as what they claim to be:
   fits its parent exactly;
 - ``pem``: a private-key block whose body decodes to such a key, to an OpenSSH key, or is marked encrypted;
 - ``openssh``: an OpenSSH private key blob with consistent length-prefixed fields;
+- ``nested``: base64 or hex, in one run or in lines of equal length, that decodes to any of these (a PEM file in
+  base64, as in cluster manifests, hex of an OpenSSH key, a key wrapped in lines without its header), through
+  at most ``LEVELS`` encodings; a run whose bytes are a key themselves keeps the key's kind;
 - ``jwt``: a signed token whose header is a JSON object with a signature algorithm and whose signature
   has the length that the algorithm asks for.
 
@@ -24,16 +27,22 @@ from pyspark.sql import DataFrame
 
 from corpuslens.llm.common import add_columns, documents_of
 
-KINDS = ["assign", "access", "hex", "der", "jwt", "openssh", "pem"]
+KINDS = ["assign", "access", "hex", "der", "jwt", "nested", "openssh", "pem"]
+LEVELS = 4
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # shorter runs hold no longer match
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+# Lines of at least 40 characters and a last one of any length; the end of a line may be written out.
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:(?:\r?\n|\\n)[\x20\t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_HEX_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{40,}+(?:(?:\r?\n|\\n)[\x20\t]*+[0-9A-Fa-f]++)++(?![A-Za-z0-9+/_-])")
+_LINE_END = re.compile(r"(?:\r?\n|\\n)[\x20\t]*")
 _HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{24}")
 _SIGNATURE_BYTES = {"HS256": {32}, "HS384": {48}, "HS512": {64}, "ES256": {64}, "ES384": {96}, "ES512": {132}, "EdDSA": {64, 114}}
 
 
@@ -137,8 +146,8 @@ def is_signed_token(token: str) -> bool:
     return size in _SIGNATURE_BYTES[algorithm] if algorithm in _SIGNATURE_BYTES else size >= 64 and bool(re.fullmatch("[RP]S(256|384|512)", algorithm))
 
 
-def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
-    spans = [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+def _armoured(text: str) -> list[tuple[str, int, int]]:
+    spans = []
     begins = list(_BEGIN.finditer(text))
     for begin, limit in zip(begins, [*(b.start() for b in begins[1:]), len(text)], strict=False):
         footer = f"-----END {begin[1]}-----"
@@ -149,20 +158,67 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         data = decoded("".join(body.replace("\\n", "\n").split()))
         if is_private_key(data) or is_openssh_key(data) or "Proc-Type: 4,ENCRYPTED" in body:
             spans.append(("pem", begin.start(), end + len(footer)))
-    inside = [(s, e) for kind, s, e in spans if kind == "pem"]
-    for match in _BASE64.finditer(text):
-        # "MC", "MD", ... "Mj": DER sequences; "b3BlbnNzaC1r": the OpenSSH mark
-        if match[0][0] == "M" or match[0].startswith("b3BlbnNz"):
-            data = decoded(match[0])
-            kind = "der" if is_private_key(data) else "openssh" if is_openssh_key(data) else None
-            if kind and not any(s <= match.start() < e for s, e in inside):
-                spans.append((kind, *match.span()))
-    for match in _HEX_BYTES.finditer(text):
-        if match[0].startswith("30") and is_private_key(bytes.fromhex(match[0])):
-            spans.append(("der", *match.span()))
     return spans
 
 
+def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
+    spans = [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])] + _armoured(text)
+    taken = [(s, e) for kind, s, e in spans]
+    # Wrapped bodies before single runs, so that a line of a body is not looked at alone; hex before base64.
+    for pattern, wrapped in ((_HEX_LINES, True), (_LINES, True), (_HEX_BYTES, False), (_BASE64, False)):
+        for match in pattern.finditer(text):
+            for start, end in _bodies(match) if wrapped else [match.span()]:
+                kind = _kind(text[start:end], pattern in (_HEX_LINES, _HEX_BYTES), LEVELS)
+                if kind and not any(s < end and start < e for s, e in taken):
+                    spans.append((kind, start, end))
+                    taken.append((start, end))
+    return spans
+
+
+def _bodies(match: re.Match) -> list[tuple[int, int]]:
+    """Wrapped bodies of adjoining lines: each is lines of one length and then one that is not longer."""
+    lines, at = [], match.start()
+    for stop in [*_LINE_END.finditer(match.string, match.start(), match.end()), None]:
+        lines.append((at, match.end() if stop is None else stop.start()))
+        at = match.end() if stop is None else stop.end()
+    bodies, first = [], 0
+    size = lambda i: lines[i][1] - lines[i][0]
+    while first < len(lines):
+        last = first
+        while last + 1 < len(lines) and size(last) == size(first) and size(last + 1) <= size(first):
+            last += 1
+        if last > first:
+            bodies.append((lines[first][0], lines[last][1]))
+        first = last + 1
+    return bodies
+
+
+def _kind(candidate: str, hexadecimal: bool, levels: int) -> str | None:
+    """What an encoded run holds: a key, something encoded that holds one (``nested``), or nothing."""
+    body = _LINE_END.sub("", candidate)
+    data = (bytes.fromhex(body) if len(body) % 2 == 0 else b"") if hexadecimal else decoded(body)
+    if data[:1] == b"0" and is_private_key(data):
+        return "der"
+    if is_openssh_key(data):
+        return "openssh"
+    # What is encoded once more is text; the first bytes tell it from the rest at once.
+    if levels > 1 and len(data) >= 24 and _PLAIN.match(data) and data.isascii() and confirmed_in(data.decode("ascii"), levels - 1):
+        return "nested"
+    return None
+
+
+def confirmed_in(text: str, levels: int) -> bool:
+    """Whether decoded text holds a key, a signed token or a further encoding of one."""
+    if _armoured(text) or any(is_signed_token(m[0]) for m in _TOKEN.finditer(text)):
+        return True
+    for pattern in (_HEX_LINES, _LINES, _HEX_BYTES, _BASE64):
+        for match in pattern.finditer(text):
+            parts = _bodies(match) if pattern in (_HEX_LINES, _LINES) else [match.span()]
+            if any(_kind(text[s:e], pattern in (_HEX_LINES, _HEX_BYTES), levels) for s, e in parts):
+                return True
+    return False
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], _ORDER[x[0]], x[2])))
 

@@ -44,6 +44,63 @@ def test_spans():
     assert {text[a:b] for k, a, b in s.confirmed_spans(text) if k == "der"} == {b64(EC), RSA.hex()}
 
 
+def openssh():
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"pub" * 9) + field(b"priv" * 9)
+
+
+def wrapped(run, size=64, end="\n"):
+    return end.join(run[i : i + size] for i in range(0, len(run), size))
+
+
+def holds_key(data, levels=5):
+    """Brute force: data is a key, or some stretch of its text between other characters decodes to what holds one."""
+    if s.is_private_key(data) or s.is_openssh_key(data):
+        return True
+    text = "".join(data.decode("latin-1").split())
+    runs = re.findall("[A-Za-z0-9+/=]{24,}", text) + re.findall("-----BEGIN[A-Z]+PRIVATEKEY-----([A-Za-z0-9+/=]+)-----END", text)
+    for run in runs if levels else []:
+        for decode in (lambda x: base64.b64decode(x, validate=True), bytes.fromhex):
+            try:
+                if holds_key(decode(run), levels - 1):
+                    return True
+            except ValueError:
+                pass
+    return False
+
+
+def test_nested_encodings_against_brute_force():
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrapped(b64(PKCS8))}\n-----END PRIVATE KEY-----\n".encode()
+    made = {
+        b64(pem): "nested", pem.hex(): "nested", b64(b64(pem).encode()): "nested", b64(pem.hex().encode()): "nested",
+        wrapped(b64(pem), 76): "nested", wrapped(b64(RSA)): "der", wrapped(RSA.hex(), 80): "der", wrapped(b64(EC), 40, "\\n"): "der",
+        openssh().hex(): "openssh", openssh().hex().upper(): "openssh", b64(openssh()): "openssh", b64(b64(openssh()).encode()): "nested",
+        b64(token("HS256", 32).encode()): "nested",
+        b64(PUBLIC): None, wrapped(b64(PUBLIC)): None, b64(b"only text " * 20): None, (b"only text " * 20).hex(): None, b64(pem[:200]): None, b64(b"\xff" * 90): None,
+    }
+    for run, kind in made.items():
+        text = f"ünïque: {run} ."
+        found = s.confirmed_spans(text)
+        assert found == ([(kind, 8, 8 + len(run))] if kind else []), (run, kind, found)
+        if kind and "\\" not in run and run != b64(token("HS256", 32).encode()):
+            assert holds_key(run.encode())
+        elif not kind:
+            assert not holds_key(run.encode())
+    alone = f"{wrapped(b64(RSA))}\n\nand {wrapped(b64(PUBLIC))}\nafterwards"
+    assert [k for k, _, _ in s.confirmed_spans(alone)] == ["der"]
+    deep = RSA
+    for _ in range(s.LEVELS):
+        deep = b64(deep).encode()
+    assert s.confirmed_spans(deep.decode()) == [("nested", 0, len(deep))] and s.confirmed_spans(b64(deep)) == []
+
+
+def test_following_text_and_long_runs():
+    body = wrapped(b64(RSA)) + "\nThe next line of prose"
+    assert [body[a:b] for _, a, b in s.confirmed_spans(body)] in ([wrapped(b64(RSA))], [])
+    assert s.confirmed_spans("A" * 1_000_000) == [] and s.confirmed_spans("0" * 1_000_001) == []
+    assert s.confirmed_spans("") == [] and s.decoded("") == b"" and s.decoded("é") == b"" and s.decoded("A") == b""
+
+
 def brute_base(text):
     spans = [("assign", *m.span()) for m in re.finditer(r"""((?a:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
     spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
