@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from checks import stack_sql as q
 from corpuslens.functions import numbers, paths, text
-from corpuslens.operators import answers, content_facts, facts, landscape, prompts, recommend, report, sampling, scan, scores, validation
+from corpuslens.operators import answers, content_facts, facts, landscape, landscape_state, prompts, recommend, report, sampling, scan, scores, validation
 from corpuslens.plans import analysis
 from corpuslens.rules import sampling as sampling_rules
 from corpuslens.rules import conditions, eligibility, frameworks
 from corpuslens.rules import recommendations as advice
 from corpuslens.rules.ruleset import default_rules
 from corpuslens.sources import corpus as corpora
-from corpuslens.session import shared_directory
+from corpuslens.session import materialize, shared_directory
 from corpuslens.sources import repositories, store, trees
 from corpuslens.sources.derived import derived_corpus, spread
 
@@ -429,6 +429,21 @@ def landscape_counts(spark, sf_dir):
     return landscape.landscape_counts(found.scored, found.primary)
 
 
+@check("landscape_maintained", with_(_STACK, _COUNTS, select="SELECT category, tech, n_repos FROM counts"))
+def landscape_maintained(spark, sf_dir):
+    """Counts after two changes equal those over all: outdated repositories are replaced, copies withdrawn."""
+    found = analysed(spark, sf_dir)
+    rows = materialize(landscape.contributions(found.scored, found.primary), "landscape-check")
+    state = landscape_state.LandscapeState(spark, f"{shared_directory(spark)}/corpuslens/landscape-{uuid.uuid4().hex}", 16)
+    outdated = F.pmod(F.xxhash64("repo_id"), F.lit(3)) == 0
+    copies = rows.withColumn("repo_id", F.concat(F.lit("copy_"), "repo_id"))
+    before = rows.withColumn("tech", F.when(outdated, F.concat(F.lit("old "), "tech")).otherwise(F.col("tech"))).unionByName(copies)
+    state.apply(before, before.select("repo_id"))
+    changed = rows.where(outdated)
+    state.apply(changed, changed.select("repo_id").unionByName(copies.select("repo_id")))
+    return state.counts()
+
+
 @check("landscape_top10", with_(_STACK, _COUNTS, select="""
 SELECT category, tech, n_repos, CAST(row_number() OVER (PARTITION BY category ORDER BY n_repos DESC, tech) AS INT) AS rank FROM counts QUALIFY rank <= 10"""))
 def landscape_top10(spark, sf_dir):

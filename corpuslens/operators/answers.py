@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens.functions.text import severity_rank
+from corpuslens.operators.running import running
 
 SUGGESTIONS = "array<struct<text:string,severity:string,reason:string>>"
 FINDING = "struct<name:string,{kind}:string,confidence:double,evidence:array<string>>"
@@ -186,8 +187,17 @@ def merge_suggestions(answers: DataFrame, limit: int | None = None) -> DataFrame
 
 
 def _most_severe(rows: DataFrame, limit: int | None, *then: str) -> DataFrame:
-    order = W.partitionBy("repo_id").orderBy(severity_rank(F.col("severity")), *then)
-    return rows.withColumn("nth", F.row_number().over(order)).where(_up_to("nth", limit))
+    """Rows with their rank ``nth`` in their repository.
+
+    All rows of a repository are ranked over ranges of rows, so that no task holds a large repository;
+    with a limit Spark cuts the window's input in every task before rows meet.
+    """
+    severity = severity_rank(F.col("severity"))
+    if limit is None:
+        others = [c for c in rows.columns if c not in ("repo_id", *then)]
+        return running(rows, ["repo_id"], [severity, *then, *others], position="nth").withColumn("nth", F.col("nth").cast("int"))
+    order = W.partitionBy("repo_id").orderBy(severity, *then)
+    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 
 
 def merge_issues(answers: DataFrame, limit: int | None = None) -> DataFrame:

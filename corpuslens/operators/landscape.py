@@ -10,19 +10,16 @@ from pyspark.sql import Window as W
 COUNTED = ["languages", "frameworks", "databases", "frontend", "build_systems", "package_managers", "devops", "testing"]
 
 
+def contributions(stack: DataFrame, primary: DataFrame, above: float = 50.0) -> DataFrame:
+    """(repo_id, category, tech): what each repository counts for; a row counts once more for every time it occurs."""
+    confident = stack.where((F.col("confidence") > above) & F.col("category").isin(COUNTED)).select("repo_id", "category", "tech")
+    leading = primary.where(F.col("category").isin("languages", "frameworks"))
+    return confident.unionByName(leading.select("repo_id", F.concat(F.lit("primary_"), "category").alias("category"), "tech"))
+
+
 def landscape_counts(stack: DataFrame, primary: DataFrame, above: float = 50.0) -> DataFrame:
     """Repositories per technology detected with high confidence, and per primary language/framework."""
-    confident = (
-        stack.where((F.col("confidence") > above) & F.col("category").isin(COUNTED))
-        .groupBy("category", "tech")
-        .agg(F.count("*").alias("n_repos"))
-    )
-    leading = (
-        primary.where(F.col("category").isin("languages", "frameworks"))
-        .groupBy(F.concat(F.lit("primary_"), "category").alias("category"), "tech")
-        .agg(F.count("*").alias("n_repos"))
-    )
-    return confident.unionByName(leading)
+    return contributions(stack, primary, above).groupBy("category", "tech").agg(F.count("*").alias("n_repos"))
 
 
 def landscape_top(counts: DataFrame, n: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from corpuslens.functions.text import severity_rank
 from corpuslens.operators.conditions import checked
 from corpuslens.operators.facts import lookup_table
+from corpuslens.operators.running import running
 from corpuslens.operators.validation import CATEGORIES
 from corpuslens.rules import recommendations as r
 from corpuslens.rules.conditions import ADVICE, FLAGS, Advice, Flag
@@ -72,10 +73,17 @@ def companions(primary: DataFrame, stack: DataFrame) -> DataFrame:
     )
 
 
-def _ordered(rows: DataFrame) -> DataFrame:
-    """Most severe first, then in rule order; ``nth`` is the position within the repository."""
-    order = W.partitionBy("repo_id").orderBy(severity_rank(F.col("severity")), "part", "section_no", "place", "text")
-    return rows.select("repo_id", F.row_number().over(order).alias("nth"), "text", "severity", "reason", "source")
+def _ordered(rows: DataFrame, bounded: bool) -> DataFrame:
+    """Most severe first, then in rule order; ``nth`` is the position within the repository.
+
+    Rule rows are few per repository and ranked in a window; rows of answers (not ``bounded``) over ranges of rows.
+    """
+    columns = ["repo_id", "nth", "text", "severity", "reason", "source"]
+    order = [severity_rank(F.col("severity")), "part", "section_no", "place", "text"]
+    if bounded:
+        return rows.withColumn("nth", F.row_number().over(W.partitionBy("repo_id").orderBy(*order))).select(columns)
+    ranked = running(rows, ["repo_id"], [*order, "reason", "source"], position="nth")
+    return ranked.withColumn("nth", F.col("nth").cast("int")).select(columns)
 
 
 def recommendations(
@@ -95,7 +103,7 @@ def recommendations(
                 F.lit(_AI).alias("part"), F.lit(0).alias("section_no"), F.col("f.ord").cast("bigint").alias("place"),
             )
         )
-    return _ordered(rows)
+    return _ordered(rows, bounded=ai is None)
 
 
 def review_recommendations(
@@ -129,4 +137,4 @@ def review_recommendations(
         )
     )
     rules = _rule_rows(rule_flags(stack, facts, flags), [a for a in advice if a.in_review])
-    return _ordered(led.unionByName(missing).unionByName(rules))
+    return _ordered(led.unionByName(missing).unionByName(rules), bounded=False)

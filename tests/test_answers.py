@@ -44,3 +44,29 @@ def test_store_appends_only_new_keys(spark, tmp_path):
     assert sorted(map(tuple, store.stored_results(spark, target).collect())) == [("k1", "a"), ("k2", "b"), ("k3", "c")]
     keyed = spark.createDataFrame([(1, "k1"), (2, "k9")], "i int, key string")
     assert [r.i for r in store.misses(keyed, store.stored_results(spark, target)).collect()] == [2]
+
+
+def test_hot_repository_is_ranked_by_many_tasks(spark):
+    """A third of all issues and suggestions belongs to one repository, with ties and repeated rows."""
+    levels = ["high", "medium", "low", None]
+    rows = [("hot" if i % 3 == 0 else f"r{i % 50}", f"f{i % 700:04}", [(f"text {i % 211}", levels[i * 7 % 4], "why")]) for i in range(3000)]
+    item = "array<struct<text:string,severity:string,reason:string>>"
+    df = spark.createDataFrame(rows, f"repo_id string, path string, issues {item}").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart, as large ones do
+    try:
+        got = answers.merge_issues(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = got.where("repo_id = 'hot'").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 1000 and max(r["count"] for r in files) < 1000
+    rank = {"high": 0, "medium": 1, "low": 2}
+    for repo in ("hot", "r1", "r49"):
+        own = sorted(((rank.get(x[0][1], 3), path, x[0][0]) for r, path, x in rows if r == repo))
+        placed = sorted((r["nth"], rank.get(r["severity"], 3), r["file"], r["text"]) for r in got.where(F.col("repo_id") == repo).collect())
+        assert [p[0] for p in placed] == list(range(1, len(own) + 1)) and sorted(p[1:] for p in placed) == own
+        assert [p[1:3] for p in placed] == [o[:2] for o in own]
+    few = answers.merge_issues(df, 3)
+    assert few.where("repo_id = 'hot'").count() == 3 and few.agg(F.max("nth")).first()[0] == 3
+    same = answers.merge_suggestions(df.withColumnRenamed("issues", "suggestions"))
+    assert same.groupBy("repo_id").agg((F.max("nth") == F.count("*")).alias("ok"), F.countDistinct("text").alias("n"), F.count("*").alias("m")).where("NOT ok OR n <> m").count() == 0
+    assert answers.merge_issues(df.limit(0)).count() == 0
