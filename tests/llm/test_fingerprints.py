@@ -55,9 +55,76 @@ def test_documents(spark, sf001):
     assert result(spark.createDataFrame(spread, "doc_id long, text string")) == sorted(expected(spread), key=key)
 
 
+def least_edits(left, right):
+    """Paragraphs to take out of both texts at least, by dynamic programming."""
+    a, b = left.split("\n"), right.split("\n")
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last if x == y else 1 + min(row[j], row[j + 1])
+    return row[-1]
+
+
+def located(spark, pairs):
+    docs = spark.createDataFrame([(i, *p, "extra") for i, p in enumerate(pairs)], "id long, one string, two string, key string")
+    return {r["id"]: (r["removed"], r["inserted"]) for r in fp.locate_edits(docs, "id", "one", "two").collect()}
+
+
+def without(text, places):
+    return [p for i, p in enumerate((text or "").split("\n")) if i not in set(places)]
+
+
 def test_edits_are_located(spark):
-    one = "\n".join(f"paragraph {i} with words" for i in range(40))
-    two = one.replace("paragraph 7 with", "paragraph 7 has").replace("paragraph 31 with", "paragraph 31 has")
-    row = spark.createDataFrame([(one, two)], "a string, b string").select(fp.tree(F.col("a")).alias("a"), fp.tree(F.col("b")).alias("b"))
-    found = row.select(fp.locate_edits(F.col("a"), F.col("b")), fp.locate_edits(F.col("a"), F.col("a")), (F.col("a.root") == F.col("b.root"))).first()
-    assert list(found) == [[7, 31], [], False]
+    paragraphs = [f"paragraph {i} with words" for i in range(60)]
+    text = "\n".join
+    edited = lambda *changes: text([dict(changes).get(i, p) for i, p in enumerate(paragraphs)])
+    moved = [*paragraphs[:5], *paragraphs[6:50], paragraphs[5], *paragraphs[50:]]
+    twice = [*paragraphs[:40], paragraphs[3], *paragraphs[40:]]
+    cases = [
+        (text(paragraphs), edited((7, "x"), (31, "y")), [7, 31], [7, 31]),
+        (text(paragraphs), text([*paragraphs[:20], "new", *paragraphs[20:]]), [], [20]),
+        (text(paragraphs), text([*paragraphs, "last"]), [], [60]),
+        (text(paragraphs), text(paragraphs[:33] + paragraphs[34:]), [33], []),
+        (text(paragraphs), text(moved), [5], [49]),
+        (text(twice), text(paragraphs), [40], []),
+        (text(twice), text(twice[:3] + twice[4:]), [3], []),
+        (text(paragraphs), text(paragraphs), [], []),
+        (None, "", [], []),
+        (None, "one", [0], [0]),
+    ]
+    found = located(spark, [c[:2] for c in cases])
+    assert [found[i] for i in range(len(cases))] == [(removed, inserted) for _, _, removed, inserted in cases]
+
+
+def test_located_edits_leave_the_same_paragraphs(spark):
+    import random
+
+    draw = random.Random(5)
+    pairs = []
+    for _ in range(60):
+        left = [f"p{draw.randrange(30)}" for _ in range(draw.randrange(1, 80))]
+        right = list(left)
+        for _ in range(draw.randrange(1, 5)):
+            at, to = draw.randrange(len(right)), draw.randrange(len(right))
+            change = draw.randrange(4)
+            if change == 0:
+                right.insert(at, f"q{to}")
+            elif change == 1 and len(right) > 1:
+                del right[at]
+            elif change == 2:
+                right.insert(to, right.pop(at))
+            else:
+                right.insert(to, right[at])
+        pairs.append(("\n".join(left), "\n".join(right)))
+    found = located(spark, pairs)
+    named = fewest = 0
+    for i, (left, right) in enumerate(pairs):
+        removed, inserted = found[i]
+        assert without(left, removed) == without(right, inserted)
+        named, fewest = named + len(removed) + len(inserted), fewest + least_edits(left, right)
+    assert fewest <= named <= 2 * fewest
+
+
+def test_edits_of_no_pairs(spark):
+    assert located(spark, []) == {}
