@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +27,24 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def once_per_process(key: tuple, make: Callable):
     """An object that all tasks of a Python worker share; functions sent by value have no other place for it."""
+    held = _worker_objects()
+    if key not in held["objects"]:
+        held["objects"][key] = make()
+    held["asked"].add(key)
+    return held["objects"][key]
+
+
+def _worker_objects() -> dict:
+    """The objects of this process; what the stage that it worked for before did not ask for is let go at a new stage."""
     held = sys.modules.setdefault("corpuslens_worker_objects", ModuleType("corpuslens_worker_objects")).__dict__
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if "objects" not in held:
+        held.update(objects={}, asked=set(), stage=stage)
+    if held["stage"] != stage:
+        held.update(objects={k: v for k, v in held["objects"].items() if k in held["asked"]}, asked=set(), stage=stage)
+        pa.default_memory_pool().release_unused()
+    return held
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -83,6 +98,7 @@ def add_columns(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _worker_objects()
         compute = start()
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_AT_ONCE):
