@@ -21,7 +21,7 @@ from corpuslens.rules import recommendations as advice
 from corpuslens.rules.ruleset import default_rules
 from corpuslens.sources import corpus as corpora
 from corpuslens.session import materialize, shared_directory
-from corpuslens.sources import repositories, store, trees
+from corpuslens.sources import repositories, sinks, store, trees
 from corpuslens.sources.derived import derived_corpus, spread
 
 
@@ -936,6 +936,21 @@ def report_markdown(spark, sf_dir):
     return report.markdown_report(found.stack, found.primary, found.meta.withColumn("analyzed_at", F.lit("now")))
 
 
+@check("document_folder", """
+SELECT CAST(o_orderkey AS VARCHAR) AS repo_id, md5('order ' || o_orderkey || ' ' || o_orderpriority) AS document_md5, 'kept' AS part FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), md5('order ' || o_orderkey || ' ' || o_orderpriority), 'first' FROM orders""")
+def document_folder(spark, sf_dir):
+    """Documents written, replaced by those of open orders, and both versions read back."""
+    folder = sinks.DocumentFolder(spark, f"{shared_directory(spark)}/corpuslens/documents-{uuid.uuid4().hex}", 1 << 20)
+    key = F.col("o_orderkey").cast("string")
+    orders = read(spark, sf_dir, "orders")
+    made = orders.select(key.alias("repo_id"), F.concat(F.lit("order "), key, F.lit(" "), "o_orderpriority").alias("document"), "o_orderstatus")
+    first = folder.write(made)
+    folder.write(made.where("o_orderstatus = 'O'"))
+    digest = ["repo_id", F.md5("document").alias("document_md5")]
+    return folder.documents().select(*digest, F.lit("kept").alias("part")).unionByName(folder.documents(first).select(*digest, F.lit("first").alias("part")))
+
+
 @check("stack_json", with_(_STACK, select="""
 SELECT f.repo_id, any_value(f.n) AS file_count, count(s.tech) AS techs, max(p.tech) FILTER (p.category = 'languages') AS language
 FROM (SELECT repo_id, count(*) AS n FROM files GROUP BY repo_id) f LEFT JOIN stack s ON s.repo_id = f.repo_id
