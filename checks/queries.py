@@ -983,6 +983,33 @@ def findings_text(spark, sf_dir):
     return prompts.findings_text(merged, "category", "No technologies detected.")
 
 
+_POINTS = "chr(10) || aspect || ' {0}:' || chr(10) || array_to_string(list_transform({0}[1:3], lambda p: '- ' || p), chr(10))"
+
+
+@check("quality_text", f"""
+WITH q AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS repo_id, o_orderkey % 3 AS no, ['Readability', 'Maintainability', 'Performance'][o_orderkey % 3 + 1] AS aspect,
+    CAST(count(*) * 7.25 AS DOUBLE) AS score, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS strengths,
+    coalesce(list(DISTINCT o_orderstatus ORDER BY o_orderstatus) FILTER (o_orderstatus <> 'O'), []) AS weaknesses
+  FROM orders GROUP BY ALL)
+SELECT repo_id, string_agg(aspect || ': ' || format('{{:.1f}}', score) || '/100', chr(10) ORDER BY no) || chr(10) || string_agg(
+  {_POINTS.format('strengths')} || CASE WHEN len(weaknesses) > 0 THEN chr(10) || {_POINTS.format('weaknesses')} ELSE '' END, chr(10) ORDER BY no) AS text
+FROM q GROUP BY repo_id""")
+def quality_text(spark, sf_dir):
+    """Customers stand for repositories, their orders for findings; up to five strengths, at times no weakness."""
+    aspect = F.element_at(F.array(*[F.lit(a) for a in answers.ASPECTS]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("repo_id"), aspect.alias("aspect"))
+    return prompts.quality_text(rows.agg(
+        (F.count("*") * 7.25).alias("score"), F.array_sort(F.collect_set("o_orderpriority")).alias("strengths"),
+        F.array_sort(F.collect_set(F.nullif(F.col("o_orderstatus"), F.lit("O")))).alias("weaknesses")))
+
+
+@check("repository_text", with_(q.base_sql(), select="""
+SELECT repo_id, 'Repository path: ' || repo_id || chr(10) || 'File count: ' || count(*) AS text FROM files GROUP BY repo_id"""))
+def repository_text(spark, sf_dir):
+    return prompts.repository_text(analysed(spark, sf_dir).meta)
+
+
 @check("review_report")
 def review_report(spark, sf_dir):
     technologies = answers.parse_answers(raw_answers(spark, sf_dir), "technologies").where("success")
