@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators import detectors as d
@@ -100,7 +102,7 @@ def _row_remarks(rows: DataFrame) -> DataFrame:
     ))
 
     def imbalance(tech, *parts):
-        low = ~d._several(*[c for _, c in parts])
+        low = ~reduce(Column.__and__, [F.col(c) >= 2 for _, c in parts])
         listed = F.concat_ws(", ", *[F.concat(F.lit(f"{label} ("), number(c), F.lit(")")) for label, c in parts])
         entries.append((tech, 6, 0, low, F.concat(F.lit(f"Imbalance in {tech} components: "), listed)))
 

@@ -150,3 +150,16 @@ def test_skewed_repository_keeps_every_hit(spark):
     rules = default_rules().for_detectors(["devops"])
     sums = {r.repo_id: r.p for r in detector_hits(big, rules, ["devops"]).where("tech = 'Docker'").groupBy("repo_id").agg(F.sum("points").alias("p")).collect()}
     assert sums["big"] == 250 * sums["r1"]
+
+
+def test_imbalances_are_evidence(spark):
+    """Two of each component or a remark; the counts are those the correction looked at."""
+    def files(repo, views):
+        parts = ["models/a.py", "models/b.py", "controllers/a.py", "controllers/b.py", *[f"views/v{i}.py" for i in range(views)]]
+        return [(repo, f"app/{p}", "x = 1\n") for p in parts]
+
+    table = from_table(spark.createDataFrame(files("lopsided", 1) + files("balanced", 2), "repo_id string, path string, content string"))
+    analysis = analyze(table)
+    assert analysis.stack.where("category = 'architecture' and tech = 'MVC'").count() == 2
+    remarks = analysis._evidence_hits().where("tech = 'MVC' and evidence like 'Imbalance%'").select("repo_id", "evidence").collect()
+    assert [tuple(r) for r in remarks] == [("lopsided", "Imbalance in MVC components: Models (2), Views (1), Controllers (2)")]
