@@ -15,8 +15,10 @@ def decode_lossy(data: Column) -> Column:
 
 def is_binary_text(content: Column) -> Column:
     """More than a tenth of all characters are control characters."""
-    controls = F.regexp_replace(content, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    return (F.length(content) > 0) & (F.length(controls) / F.length(content) > CONTROL_SHARE)
+    # Texts are read once for a first control character; only those with one are counted, by whole runs of others.
+    some = F.rlike(content, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
+    controls = F.regexp_replace(content, r"[^\x00-\x08\x0B\x0C\x0E-\x1F]++", "")
+    return some & (F.length(controls) / F.length(content) > CONTROL_SHARE)
 
 
 def is_blank(content: Column) -> Column:

@@ -12,7 +12,7 @@ import json
 import re
 import zlib
 from dataclasses import asdict
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,7 +123,26 @@ def _content_index(rules: RuleSet):
     ])
 
 
-def _path_tier(rule: Column, path: Column, name: Column, folders: Column) -> Column:
+def _patterns_met(rules: RuleSet, path: Column, name: Column) -> Column:
+    """Regular expressions of path rules that a path meets, each a constant that is compiled once.
+
+    Inside a lambda they would be compiled again for every candidate of every path.
+    """
+    subjects = {"match": name, "search": path}
+    gates: dict[tuple[str, str], set[str]] = {}
+    for rule in rules.path_rules:
+        if rule.kind in subjects:
+            gates.setdefault((rule.kind, path_regex(rule)), set()).update(path_gate(rule))
+    met = []
+    for (kind, java), gate in gates.items():
+        holds = F.rlike(subjects[kind], F.lit(java))
+        if gate and "" not in gate:
+            holds = reduce(Column.__or__, [F.contains(path, F.lit(a)) for a in sorted(gate)]) & holds
+        met.append(F.when(holds, F.lit(f"{kind} {java}")))
+    return F.array_compact(F.array(*met)) if met else F.array().cast("array<string>")
+
+
+def _path_tier(rule: Column, path: Column, name: Column, folders: Column, met: Column) -> Column:
     """1 exact name, 2 part of the name, 3 part of the path, 0 no match."""
     patterns = rule["patterns"]
     exact = F.array_contains(patterns, name)
@@ -144,8 +163,7 @@ def _path_tier(rule: Column, path: Column, name: Column, folders: Column) -> Col
         .when(kind == "name", exact.cast("int"))
         .when(kind == "config", (exact | ends_name).cast("int"))
         .when(kind == "glob", ends_name.cast("int"))
-        .when(kind == "match", F.rlike(name, rule["java"]).cast("int"))
-        .when(kind == "search", F.rlike(path, rule["java"]).cast("int"))
+        .when(kind.isin("match", "search"), F.array_contains(met, F.concat_ws(" ", kind, rule["java"])).cast("int"))
         .when(kind == "sign", in_path.cast("int"))
         .when(kind == "sign_lower", F.exists(patterns, lambda p: F.contains(F.lower(path), p)).cast("int"))
         .when(kind == "directory", (visible & in_folders).cast("int"))
@@ -164,8 +182,7 @@ def _matched_folder(path: Column, pattern: Column) -> Column:
 
 def test_directory(path: Column, directories) -> Column:
     """First test directory a path is in, NULL when in none."""
-    listed = F.array(*[F.lit(d) for d in directories])
-    return F.get(F.filter(listed, lambda d: F.contains(path, d)), F.lit(0))
+    return F.coalesce(*[F.when(F.contains(path, F.lit(d)), F.lit(d)) for d in directories], F.lit(None).cast("string"))
 
 
 def _test_category(word_in: Column) -> Column:
@@ -190,9 +207,10 @@ def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
     searched, short, table = _path_index(rules)
     base = base.withColumn("found", found_literals(F.col("folded"), searched, short))
     path, name, folders = F.col("path"), F.col("name"), F.col("folders")
+    base = base.withColumn("met", _patterns_met(rules, path, name))
     scored = F.transform(
         _candidates(_table(table, _PATH_RULE), F.col("found")),
-        lambda r: F.struct(r.alias("rule"), _path_tier(r, path, name, folders).alias("tier")),
+        lambda r: F.struct(r.alias("rule"), _path_tier(r, path, name, folders, F.col("met")).alias("tier")),
     )
     rows = base.select("repo_id", "path", "name", F.inline(F.filter(scored, lambda s: s["tier"] > 0)))
     rule, tier = F.col("rule"), F.col("tier")
