@@ -145,10 +145,12 @@ def files_by_extension(spark, sf_dir):
 @check("loaded_tree", with_(q.corpus(), select="""
 SELECT repo_id, path, size, CASE WHEN content IS NOT NULL THEN md5(content) END AS content_md5, CAST(NULL AS VARCHAR) AS error FROM files"""))
 def loaded_tree(spark, sf_dir):
-    """Every derived file written into a tree of repositories, listed and read again."""
-    target = trees.write_tree(derived_corpus(spark, sf_dir), f"{shared_directory(spark)}/corpuslens/tree-{uuid.uuid4().hex}")
-    loaded = corpora.load_corpus(spark, target, errors=True)
-    return loaded.select("repo_id", "path", "size", F.md5("content").alias("content_md5"), "error")
+    """Every derived file written into trees of repositories, listed and read again."""
+    def loaded(target):
+        found = corpora.load_corpus(spark, target, errors=True)
+        return found.select("repo_id", "path", "size", F.md5("content").alias("content_md5"), "error")
+
+    return trees.through_trees(derived_corpus(spark, sf_dir), loaded)
 
 
 @check("loaded_manifests", with_(q.derived_corpus_sql(), select="""
@@ -156,11 +158,14 @@ SELECT repo_id, path, size, md5(content) AS content_md5 FROM files
 WHERE regexp_extract(path, '[^/]*$') IN ('package.json', 'requirements.txt') AND size > 60 AND starts_with(repo_id, 'repo_1')"""))
 def loaded_manifests(spark, sf_dir):
     """The data source by itself: filters on name, size and repository decide which files are opened."""
-    target = trees.write_tree(derived_corpus(spark, sf_dir), f"{shared_directory(spark)}/corpuslens/tree-{uuid.uuid4().hex}")
-    listing = f"{shared_directory(spark)}/corpuslens/listing-{uuid.uuid4().hex}"
-    repositories.write_listing(repositories.list_tree(spark, target), listing, corpora.readable_name)
     wanted = F.col("name").isin("package.json", "requirements.txt") & (F.col("size") > 60) & F.startswith("repo_id", F.lit("repo_1"))
-    return repositories.open_listing(spark, listing).where(wanted).select("repo_id", "path", "size", F.md5("content").alias("content_md5"))
+
+    def manifests(target):
+        listing = f"{shared_directory(spark)}/corpuslens/listing-{uuid.uuid4().hex}"
+        repositories.write_listing(repositories.list_tree(spark, target), listing, corpora.readable_name)
+        return repositories.open_listing(spark, listing).where(wanted).select("repo_id", "path", "size", F.md5("content").alias("content_md5"))
+
+    return trees.through_trees(derived_corpus(spark, sf_dir), manifests)
 
 
 # Rule hits.

@@ -1,9 +1,18 @@
-"""Writing a table of files as a tree of repositories."""
+"""Writing a table of files as a tree of repositories, at once or in portions that are read and removed again."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpuslens.operators.running import running
+from corpuslens.session import shared_directory
+
+FILES_AT_ONCE = 250_000  # each takes a block or two of a disk, however short it is
 
 
 def write_tree(files: DataFrame, target: str) -> str:
@@ -16,7 +25,7 @@ def write_tree(files: DataFrame, target: str) -> str:
     def write(batches):
         from pyarrow import fs
 
-        client, top = fs.FileSystem.from_uri(target)
+        client, top = fs.FileSystem.from_uri(_uri(target))
         made: set[str] = set()
         for batch in batches:
             for repo_id, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -29,5 +38,55 @@ def write_tree(files: DataFrame, target: str) -> str:
                     stream.write((content or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
+    from pyarrow import fs
+
+    root, top = fs.FileSystem.from_uri(_uri(target))
+    root.create_dir(top, recursive=True)
     columns.mapInArrow(write, "n long").agg({"n": "sum"}).collect()
     return target
+
+
+def _uri(location: str) -> str:
+    return location if "://" in location or location.startswith("file:") else f"file://{location}"
+
+
+def remove_tree(repositories: DataFrame, target: str) -> None:
+    """Delete what ``write_tree`` wrote for the rows' ``repo_id``, each task its own repositories, then the root."""
+    from pyarrow import fs
+
+    def remove(batches):
+        client, top = fs.FileSystem.from_uri(_uri(target))
+        for batch in batches:
+            for repo_id in batch.column(0).to_pylist():
+                client.delete_dir_contents(f"{top}/{repo_id}", missing_dir_ok=True)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    tasks = 4 * repositories.sparkSession.sparkContext.defaultParallelism
+    repositories.select("repo_id").distinct().repartition(tasks).mapInArrow(remove, "n long").agg({"n": "sum"}).collect()
+    client, top = fs.FileSystem.from_uri(_uri(target))
+    client.delete_dir(top)
+
+
+def through_trees(files: DataFrame, read: Callable[[str], DataFrame], files_at_once: int = FILES_AT_ONCE) -> DataFrame:
+    """What ``read`` finds in the tree of all files, a written table; only ``files_at_once`` files lie in a tree at a time.
+
+    The tree of a portion is removed before the next is written; the last stays, as other written tables do.
+
+    Files are taken in the order of repositories and paths.  A repository may lie in several portions, each a tree
+    with its own ``.git``, so ``read`` must look at files one by one.
+    """
+    spark = files.sparkSession
+    folder = f"{shared_directory(spark)}/corpuslens/trees-{uuid.uuid4().hex}"
+    placed = running(files.select("repo_id", "path", "content"), [], ["repo_id", "path"])
+    placed.withColumn("portion", F.floor((F.col("position") - 1) / files_at_once)).drop("position").write.partitionBy("portion").parquet(f"{folder}/files")
+    dealt = spark.read.schema("repo_id string, path string, content string, portion bigint").parquet(f"{folder}/files")
+    # Of an empty table the empty tree is read, for its columns.
+    before, target = None, f"{folder}/tree"
+    for portion in sorted(r["portion"] for r in dealt.select("portion").distinct().collect()) or [0]:
+        if before is not None:
+            remove_tree(before, target)
+        before = rows = dealt.where(F.col("portion") == portion)
+        write_tree(rows.repartition(4 * spark.sparkContext.defaultParallelism, "repo_id", "path"), target)
+        found = read(target)
+        found.write.mode("append").parquet(f"{folder}/found")
+    return spark.read.schema(found.schema).parquet(f"{folder}/found")

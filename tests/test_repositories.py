@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpuslens.sources import corpus, repositories
+from corpuslens.sources import corpus, repositories, trees
 
 
 def listing_of(spark, root, folder, **settings):
@@ -74,3 +74,18 @@ def test_empty_roots_and_all_extensions(spark, tmp_path):
     assert content() == {"main.tf": None, "x.png": None, "Dockerfile": "FROM x"}
     assert content(extensions=corpus.ALL) == {"main.tf": "resource", "x.png": None, "Dockerfile": "FROM x"}
     assert content(extensions=[]) == content() and content(max_file_bytes=3)["Dockerfile"] is None
+
+
+def test_trees_of_portions_hold_few_files_at_once_and_lose_none(spark, tmp_path):
+    """A portion is read and removed before the next is written; a large repository lies in several."""
+    rows = [("big" if i < 50 else f"r{i % 7}", f"d{i}/m{i}.py", f"x = {i}\n") for i in range(90)]
+    files, seen = spark.createDataFrame(rows, "repo_id string, path string, content string"), []
+
+    def read(target):
+        location = target.removeprefix("file:")
+        seen.append(sum(len(names) for _, _, names in os.walk(location)))
+        return corpus.load_corpus(spark, target).select("repo_id", "path", "content")
+
+    got = trees.through_trees(files, read, files_at_once=20).collect()
+    assert sorted(map(tuple, got)) == sorted(rows) and seen == [20, 20, 20, 20, 10]
+    assert trees.through_trees(files.where("false"), read).count() == 0
