@@ -20,12 +20,12 @@ def write_tree(files: DataFrame, target: str) -> str:
 
     Tasks write their own rows; a task that runs again writes the same files.  Null contents become empty files.
     """
-    columns = files.select("repo_id", "path", "content")
+    columns, uri = files.select("repo_id", "path", "content"), _uri(target)
 
     def write(batches):
         from pyarrow import fs
 
-        client, top = fs.FileSystem.from_uri(_uri(target))
+        client, top = fs.FileSystem.from_uri(uri)
         made: set[str] = set()
         for batch in batches:
             for repo_id, path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -40,7 +40,7 @@ def write_tree(files: DataFrame, target: str) -> str:
 
     from pyarrow import fs
 
-    root, top = fs.FileSystem.from_uri(_uri(target))
+    root, top = fs.FileSystem.from_uri(uri)
     root.create_dir(top, recursive=True)
     columns.mapInArrow(write, "n long").agg({"n": "sum"}).collect()
     return target
@@ -54,8 +54,10 @@ def remove_tree(repositories: DataFrame, target: str) -> None:
     """Delete what ``write_tree`` wrote for the rows' ``repo_id``, each task its own repositories, then the root."""
     from pyarrow import fs
 
+    uri = _uri(target)
+
     def remove(batches):
-        client, top = fs.FileSystem.from_uri(_uri(target))
+        client, top = fs.FileSystem.from_uri(uri)
         for batch in batches:
             for repo_id in batch.column(0).to_pylist():
                 client.delete_dir_contents(f"{top}/{repo_id}", missing_dir_ok=True)
@@ -63,7 +65,7 @@ def remove_tree(repositories: DataFrame, target: str) -> None:
 
     tasks = 4 * repositories.sparkSession.sparkContext.defaultParallelism
     repositories.select("repo_id").distinct().repartition(tasks).mapInArrow(remove, "n long").agg({"n": "sum"}).collect()
-    client, top = fs.FileSystem.from_uri(_uri(target))
+    client, top = fs.FileSystem.from_uri(uri)
     client.delete_dir(top)
 
 
