@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,9 @@ def first_level_directory(path: Column) -> Column:
 
 def in_excluded_directory(path: Column, excluded: list[str]) -> Column:
     """True when a directory component (never the file name) is excluded."""
-    return F.arrays_overlap(directory_parts(path), F.array(*[F.lit(d) for d in excluded]))
+    # One pattern, so that the path is worked out once, however many directories are excluded.
+    names = "|".join(re.sub(r"([^\w])", r"\\\1", d) for d in excluded if "/" not in d)
+    return F.rlike(path, F.lit(rf"(?:\A|/)(?:{names})/")) if names else F.lit(False)
 
 
 def matches_any(path: Column, patterns: list[str]) -> Column:

@@ -12,6 +12,7 @@ from corpuslens.functions import paths
 from corpuslens.functions.text import manifest_sections
 from corpuslens.operators.scan import test_directory
 from corpuslens.rules import architecture, frameworks, languages, testing
+from corpuslens.session import materialize
 
 
 def lookup_table(df: DataFrame, rows: list[tuple], schema: str, limit: int = 50_000) -> DataFrame:
@@ -20,19 +21,28 @@ def lookup_table(df: DataFrame, rows: list[tuple], schema: str, limit: int = 50_
     return F.broadcast(table) if len(rows) <= limit else table
 
 
+def _files(rows: DataFrame) -> Column:
+    """How many files a row stands for: one, or what ``scan.file_groups`` counted."""
+    return F.col("files") if "files" in rows.columns else F.lit(1)
+
+
+def _counted(rows: DataFrame, condition: Column) -> Column:
+    return F.sum(F.when(condition, _files(rows)).otherwise(0))
+
+
 def language_counts(files: DataFrame) -> DataFrame:
     """Weighted files per language: three for a telling file name, else one for the extension."""
     names = lookup_table(files, list(languages.SPECIAL_FILES.items()), "name string, special string")
     endings = lookup_table(files, list(languages.EXTENSIONS.items()), "ext string, usual string")
     name = paths.base_name(F.col("path"))
     return (
-        files.select("repo_id", name.alias("name"), F.lower(paths.extension(name)).alias("ext"))
+        files.select("repo_id", name.alias("name"), F.lower(paths.extension(name)).alias("ext"), _files(files).alias("n"))
         .join(names, "name", "left")
         .join(endings, "ext", "left")
         .select(
             "repo_id",
             F.coalesce("special", "usual").alias("tech"),
-            F.when(F.col("special").isNotNull(), 3).otherwise(1).alias("weight"),
+            (F.when(F.col("special").isNotNull(), 3).otherwise(1) * F.col("n")).alias("weight"),
         )
         .where("tech is not null")
         .groupBy("repo_id", "tech")
@@ -69,10 +79,13 @@ def test_source_ratio(files: DataFrame, minimum: float = 0.5) -> DataFrame:
     in_tests = test_directory(F.col("path"), testing.TEST_DIRECTORIES).isNotNull()
     ext = paths.extension(paths.base_name(F.col("path")))
     counts = (
-        files.select("repo_id", ext.alias("ext"), in_tests.alias("in_tests"))
+        files.select("repo_id", ext.alias("ext"), in_tests.alias("in_tests"), _files(files).alias("files"))
         .where("ext <> ''")
         .groupBy("repo_id", "ext")
-        .agg(F.count_if("in_tests").alias("tests"), F.count_if(~F.col("in_tests")).alias("sources"))
+        .agg(
+            F.sum(F.when(F.col("in_tests"), F.col("files")).otherwise(0)).alias("tests"),
+            F.sum(F.when(F.col("in_tests"), 0).otherwise(F.col("files"))).alias("sources"),
+        )
     )
     return counts.where((F.col("tests") > 0) & (F.col("sources") > 0) & (F.col("tests") >= minimum * F.col("sources")))
 
@@ -81,11 +94,11 @@ def component_counts(files: DataFrame) -> DataFrame:
     """Files per repository that look like a component of a layered architecture."""
     lower = F.lower("path")
     counts = [
-        F.count_if(reduce(Column.__or__, [F.contains(lower, F.lit(w)) for w in words])).alias(name)
+        _counted(files, reduce(Column.__or__, [F.contains(lower, F.lit(w)) for w in words])).alias(name)
         for name, words in architecture.COMPONENTS.items()
     ]
     in_features = F.contains("path", F.lit("/features/")) | F.contains("path", F.lit("/modules/"))
-    return files.groupBy("repo_id").agg(*counts, F.count_if(in_features).alias("feature_files"))
+    return files.groupBy("repo_id").agg(*counts, _counted(files, in_features).alias("feature_files"))
 
 
 def service_directories(files: DataFrame) -> DataFrame:
@@ -121,6 +134,7 @@ def feature_modules(files: DataFrame) -> DataFrame:
     busy = directory_frequency(files).where(
         (F.col("n") > 5) & ~F.col("name").isin(architecture.GENERIC_DIRECTORIES)
     )
+    busy = materialize(busy, "busy-directories")  # few rows that are read several times
     per_repo = busy.groupBy("repo_id").agg(F.count("*").alias("modules"), F.min("name").alias("first_name"))
     several = per_repo.where("modules >= 3")
     path = F.col("path")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import paths, text
 from corpuslens.functions.literals import literals_found, minimal_literals
 from corpuslens.operators import content_facts
-from corpuslens.rules import testing
+from corpuslens.rules import architecture, languages, testing
 from corpuslens.rules.ruleset import (
     NAME_RANK,
     ContentRule,
@@ -195,11 +195,12 @@ def _test_category(word_in: Column) -> Column:
     )
 
 
-def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
-    """Hits of the path rules; reads only ``repo_id`` and ``path``."""
+def path_hits(files: DataFrame, rules: RuleSet, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Hits of the path rules beside the ``carried`` columns; reads only these, ``repo_id`` and ``path``."""
     base = files.select(
         "repo_id",
         "path",
+        *carried,
         paths.base_name(F.col("path")).alias("name"),
         fold(F.concat(F.lit("/"), F.col("path"))).alias("folded"),
         F.concat(F.lit("/"), F.regexp_replace("path", "[^/]*$", "")).alias("folders"),
@@ -212,7 +213,7 @@ def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
         _candidates(_table(table, _PATH_RULE), F.col("found")),
         lambda r: F.struct(r.alias("rule"), _path_tier(r, path, name, folders, F.col("met")).alias("tier")),
     )
-    rows = base.select("repo_id", "path", "name", F.inline(F.filter(scored, lambda s: s["tier"] > 0)))
+    rows = base.select("repo_id", "path", *carried, "name", F.inline(F.filter(scored, lambda s: s["tier"] > 0)))
     rule, tier = F.col("rule"), F.col("tier")
     evidence = (
         F.when(rule["kind"] == "match", F.concat(F.lit("Found test file: "), name))
@@ -228,6 +229,7 @@ def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
     hits = rows.select(
         "repo_id",
         "path",
+        *carried,
         rule["detector"].alias("detector"),
         rule["tech"].alias("tech"),
         F.get(rule["weights"], tier - 1).alias("points"),
@@ -242,11 +244,12 @@ def path_hits(files: DataFrame, rules: RuleSet) -> DataFrame:
         return hits
     directory = test_directory(path, rules.test_directories)
     tests = (
-        files.select("repo_id", "path", directory.alias("directory"))
+        files.select("repo_id", "path", *carried, directory.alias("directory"))
         .where("directory is not null")
         .select(
             "repo_id",
             "path",
+            *carried,
             F.lit("testing").alias("detector"),
             F.lit("Tests").alias("tech"),
             F.lit(2.0).alias("points"),
@@ -378,6 +381,86 @@ def distinct_content_hits(files: DataFrame, rules: RuleSet, facts: list[Column]
     return joined.select(*[evidence if c == "evidence" else c for c in HIT_COLUMNS])
 
 
+def _plain_text(regex: str) -> str | None:
+    """The literal text of a pattern whose wildcards take any number of digits, whichever they are; else None."""
+    rest = re.sub(r"\[(?:\\p\{\w+\}|\\n|[^\]\\\d])*\][*+]|\.[*+]", "/", regex)
+    rest = re.sub(r"\\A|\(\?:|[$^]", "/", rest)
+    rest = re.sub(r"\\([^\w])", r"\1", rest.replace(".", "\x00").replace("\\\x00", "."))
+    return None if re.search(r"[\\\x00\[{]|[0-9][()|*+]|[()|][0-9]", rest) else rest.replace("?", "")
+
+
+@lru_cache(maxsize=64)
+def _digit_runs(rules: RuleSet) -> tuple[str, str] | None:
+    """Pattern and replacement of the runs of digits in a path that no rule and no path fact can tell apart.
+
+    Such a run is longer than every run in a literal or pattern of the rules, no literal can end or start inside it,
+    and it is not part of the extension.  None if the rules may depend on single digits.
+    """
+    texts = [*rules.test_directories, *(w for words in architecture.COMPONENTS.values() for w in words), *languages.SPECIAL_FILES]
+    texts += [a for r in rules.path_rules for a in (*path_gate(r), *(() if r.kind in ("match", "search") else r.patterns))]
+    patterns = [path_regex(r) for r in rules.path_rules if r.kind in ("match", "search")]
+    patterns += [content_regex(r) for r in rules.content_rules if r.kind == "name"]
+    texts += [_plain_text(a) for a in patterns]
+    if any(t is None or re.fullmatch("[0-9]+", t) for t in texts):
+        return None
+    longest = max((len(run) for t in texts for run in re.findall("[0-9]+", t)), default=0)
+    before = {m[1] for t in texts if (m := re.search("(.)[0-9]+$", t, re.S))}
+    after = {m[1] for t in texts if (m := re.match("[0-9]+(.)", t, re.S))}
+    guard = lambda chars: "".join("\\" + c if not c.isalnum() else c for c in sorted({d for c in chars for d in (c.lower(), c.upper())}))
+    return f"(?s)(?<![0-9{guard(before)}])[0-9]{{{longest + 1},}}+(?![{guard(after)}0-9])(?=.*\\.)", "0" * (longest + 1)
+
+
+def path_shape(path: Column, rules: RuleSet) -> Column:
+    """The path with its long numbers alike: paths of equal shape meet the same rules and path facts."""
+    runs = _digit_runs(rules)
+    return path if runs is None else F.regexp_replace(path, F.lit(runs[0]), F.lit(runs[1]))
+
+
+def _content_digest() -> Column:
+    return F.unhex(F.md5("content"))
+
+
+def file_groups(files: DataFrame, rules: RuleSet) -> DataFrame:
+    """(repo_id, path, digest, files, pick): files of one repository with equal content and shape of the path, counted.
+
+    ``path`` is that shape and ``pick`` names one of the files by the hash of its key.
+    """
+    keyed = files.select("repo_id", path_shape(F.col("path"), rules).alias("path"), _content_digest().alias("digest"), _file_hash().alias("pick"))
+    return keyed.groupBy("repo_id", "path", "digest").agg(F.count("*").alias("files"), F.min("pick").alias("pick"))
+
+
+def _file_hash() -> Column:
+    return F.xxhash64("repo_id", "path")
+
+
+def groups_pay(groups: DataFrame, share: float = 0.7, most: int = 500_000) -> bool:
+    """Whether clearly fewer contents than files are different, and few enough to name a file of each in every task."""
+    row = groups.where("digest is not null").agg(F.sum("files").alias("n"), F.approx_count_distinct("digest").alias("different")).first()
+    return row["n"] is not None and row["different"] < min(share * row["n"], most)
+
+
+def grouped_hits(files: DataFrame, groups: DataFrame, rules: RuleSet, facts: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sums of hits over the files of a group, and the manifest hits of single files; neither has evidence.
+
+    The first has the points of all files of a group and is for sums and maxima over a repository.
+    """
+    columns = ["repo_id", "detector", "tech", (F.col("points") * F.col("files")).alias("points"), "category"]
+    keyed = groups.where("digest is not null").withColumn("name", paths.base_name(F.col("path")))
+    keyed = materialize(keyed.withColumn("key", F.unhex(F.md5(F.concat_ws("\x01", F.hex("digest"), _traits(rules))))), "keys")
+    first = keyed.groupBy("key").agg(F.min("pick").alias("pick"))
+    picked = F.broadcast(keyed.join(first, ["key", "pick"]).select("key", "pick", "path", "name"))  # at most one row per content and traits
+    texts = files.select(_file_hash().alias("pick"), "content").join(F.broadcast(first.select("pick")), "pick", "left_semi")
+    base = texts.where("content is not null").join(picked, "pick").dropDuplicates(["key"]).withColumn("shown", F.col("name"))
+    hits = materialize(_scanned(base, ["key"], rules, facts), "content-hits")
+    sums = keyed.groupBy("repo_id", "key").agg(F.sum("files").alias("files")).join(hits, "key").select(*columns)
+    if rules.path_rules:
+        sums = path_hits(groups, rules, ("files",)).select(*columns).unionByName(sums)
+    tech = hits.where("detector = 'manifest'").select("key", "detector", "tech").join(keyed.select("key", "digest").distinct(), "key")
+    manifests = files.where(F.endswith("path", F.lit("package.json"))).select("repo_id", "path", _content_digest().alias("digest"))
+    manifests = manifests.groupBy("repo_id", "digest").agg(F.min("path").alias("path")).join(tech.drop("key").distinct(), "digest").drop("digest")
+    return sums, manifests
+
+
 def _scanned(base: DataFrame, carried: list[str], rules: RuleSet, facts: list[Column] | None) -> DataFrame:
     """The hits of each row's content beside the ``carried`` columns."""
     content, path, name = F.col("content"), F.col("path"), F.col("name")

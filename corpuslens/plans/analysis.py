@@ -22,12 +22,12 @@ _PAIRED = {"build_systems": "package_managers", "package_managers": "build_syste
 _PARTS = {"databases": ["databases+extra"], "architecture": ["architecture+directory", "architecture+file"]}
 
 
-def detector_hits(files: DataFrame, rules: RuleSet, wanted: list[str]) -> DataFrame:
+def detector_hits(files: DataFrame, rules: RuleSet, wanted: list[str], copies: bool | None = None) -> DataFrame:
     """All hits of the wanted detectors as narrow rows."""
     parts = []
     if rules.path_rules:
         parts.append(scan.path_hits(files, rules))
-    parts.append(scan.content_hits(files, rules, content_facts.wanted_facts(wanted)))
+    parts.append(scan.content_hits(files, rules, content_facts.wanted_facts(wanted), copies))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -38,22 +38,39 @@ def _language_rows(files: DataFrame) -> DataFrame:
     )
 
 
-def score_state(files: DataFrame, hits: DataFrame, wanted: list[str]) -> DataFrame:
-    """One row per repository with raw score maps, flags and everything corrections look at."""
+def _evaluated(files: DataFrame, rules: RuleSet, wanted: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """What scores come from: hits to sum, manifest hits, files or their groups, and all hits if they were written.
+
+    Where contents repeat, rules are evaluated per group of equal files (``scan.file_groups``), else per file.
+    """
+    groups = materialize(scan.file_groups(files, rules), "groups")
+    if scan.groups_pay(groups):
+        sums, manifests = scan.grouped_hits(files, groups, rules, content_facts.wanted_facts(wanted))
+        return sums, manifests, groups, None
+    hits = materialize(detector_hits(files, rules, wanted, copies=False), "hits")
+    return hits, hits, files, hits
+
+
+def score_state(files: DataFrame, hits: DataFrame, wanted: list[str], manifests: DataFrame | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """One row per repository with raw score maps, flags and everything corrections look at.
+
+    ``groups`` may stand for the files where only counts matter, ``manifests`` holds the manifest hits if ``hits`` are sums.
+    """
+    groups, manifests = files if groups is None else groups, hits if manifests is None else manifests
     columns = [c for w in wanted for c in [w, *_PARTS.get(w, [])]] + ["source_language", "count"]
     state = scores.score_rows(scores.tallies(hits), columns)
-    base = files.groupBy("repo_id").agg(F.lit(1).alias("known")).drop("known")
+    base = groups.groupBy("repo_id").agg(F.lit(1).alias("known")).drop("known")
     state = base.join(state, "repo_id", "left")
     if "package_managers" in wanted:
-        state = state.join(facts.first_manifests(hits), "repo_id", "left")
+        state = state.join(facts.first_manifests(manifests), "repo_id", "left")
     if "architecture" in wanted:
         state = (
-            state.join(facts.component_counts(files), "repo_id", "left")
+            state.join(facts.component_counts(groups), "repo_id", "left")
             .join(facts.service_directories(files), "repo_id", "left")
             .join(facts.feature_modules(files), "repo_id", "left")
         )
     if "testing" in wanted:
-        covered = facts.test_source_ratio(files).groupBy("repo_id").agg(F.count("*").alias("covered_extensions"))
+        covered = facts.test_source_ratio(groups).groupBy("repo_id").agg(F.count("*").alias("covered_extensions"))
         state = state.join(covered, "repo_id", "left")
     return _with_shapes(_without_nulls(state))
 
@@ -93,9 +110,10 @@ def detect(files: DataFrame, wanted: list[str], rules: RuleSet | None = None, hi
     """Detected technologies per repository row, before cross-validation."""
     needed = list(dict.fromkeys([*wanted, *(_PAIRED[w] for w in wanted if w in _PAIRED)]))
     rules = (rules or default_rules()).for_detectors(needed)
-    if hits is None:
-        hits = detector_hits(files, rules, needed)
-    return d.detected(score_state(files, hits, needed), needed, rules.corrections)
+    if hits is not None:
+        return d.detected(score_state(files, hits, needed), needed, rules.corrections)
+    hits, manifests, groups, _ = _evaluated(files, rules, needed)
+    return d.detected(score_state(files, hits, needed, manifests, groups), needed, rules.corrections)
 
 
 def _entries(category: str, *more) -> Column:
@@ -148,9 +166,15 @@ class Analysis:
     """Results of one analysis; every attribute is a lazy DataFrame."""
 
     files: DataFrame
-    hits: DataFrame
+    rules: RuleSet
     rows: DataFrame
     connection_rules: dict[str, tuple[int, str]]
+    written_hits: DataFrame | None = None
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        """All hits of all files with their evidence."""
+        return materialize(detector_hits(self.files, self.rules, DETECTORS), "hits") if self.written_hits is None else self.written_hits
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -195,17 +219,17 @@ class Analysis:
 def analyze(files: DataFrame, rules: RuleSet | None = None, min_confidence: float = validation.MIN_CONFIDENCE) -> Analysis:
     """Analyse a corpus of ``(repo_id, path, size, content)`` rows.
 
-    File contents are read once: the hits go to the shared folder as a narrow table.  From them and
-    from the paths come the score rows, one per repository, which are written there too; the stack,
-    the primary technologies and all that follows read these and never the contents again.
+    Files are grouped or scanned once, which gives the score rows, one per repository; these are written to
+    the shared folder.  The scores, the primary technologies and all that follows read them and never the
+    contents again.  Only the evidence of ``stack`` needs the hits of every file.
     """
     rules = rules or default_rules()
-    hits = materialize(detector_hits(files, rules, DETECTORS), "hits")
-    state = score_state(files, hits, DETECTORS).join(_language_rows(files), "repo_id", "left")
+    sums, manifests, groups, hits = _evaluated(files, rules, DETECTORS)
+    state = score_state(files, sums, DETECTORS, manifests, groups).join(_language_rows(groups), "repo_id", "left")
     row = d.detected(_without_nulls(materialize(state, "scores")), DETECTORS, rules.corrections)
     row = row.withColumn("languages", d.languages_from_counts(F.col("languages")))
     connection_rules: dict[str, tuple[int, str]] = {}
     for rule in rules.content_rules:
         if rule.tech.startswith("connection:"):
             connection_rules.setdefault(rule.tech, (rule.ordinal, rule.pattern))
-    return Analysis(files, hits, validation.cross_validated(row, min_confidence), connection_rules)
+    return Analysis(files, rules, validation.cross_validated(row, min_confidence), connection_rules, hits)
