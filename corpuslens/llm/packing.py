@@ -149,6 +149,37 @@ class Index:
         other = int(np.argmax(scores))
         return (other, float(scores[other])) if scores[other] > 0 else (document, 0.0)
 
+    def every_best(self, cells: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """``best`` of every document, block by block: a matrix product over frequent terms, posting lists of the others.
+
+        Of scores that differ by rounding alone the first counts.  ``cells`` bounds the matrix and the scores of a block.
+        """
+        sizes, n = np.diff(self.first), max(self.n, 1)
+        frequent = np.argsort(-sizes, kind="stable")[: cells // n]
+        frequent = frequent[sizes[frequent] > n // 32]
+        column, weights = np.full(len(sizes), -1), np.zeros((n, len(frequent)))
+        column[frequent] = np.arange(len(frequent))
+        asks = np.zeros(weights.shape, bool)
+        for c, t in enumerate(frequent):
+            own = slice(self.first[t], self.first[t + 1])
+            weights[self.owners[own], c], asks[self.owners[own], c] = self.weights[own], True
+        best, score, step = np.arange(self.n), np.zeros(self.n), min(256, max(1, cells // 4 // n))
+        for low in range(0, self.n, step):
+            high = min(low + step, self.n)
+            scores = asks[low:high].astype(float) @ weights.T
+            for d in range(low, high):
+                terms = self.queries[d]
+                terms = terms[column[terms] < 0]
+                count = sizes[terms]
+                at = np.arange(count.sum()) + np.repeat(self.first[terms] - np.cumsum(count) + count, count)
+                own = scores[d - low]
+                own += np.bincount(self.owners[at], self.weights[at], n)
+                own[d] = 0
+                top = own.max()
+                if top > 0:
+                    best[d], score[d] = np.argmax(own >= top * (1 - 1e-12)), top
+        return best, score
+
     def neighbours(self, document: int, unused: np.ndarray) -> Iterator[int]:
         """Unused documents that share a term, the best first."""
         scores = self.scores(document)
@@ -234,7 +265,7 @@ def _best_links(rows: DataFrame, shards: int, size: int, frequency: np.ndarray,
         if not row:
             return
         index = Index(tokens, frequency, n_documents, mean)
-        best, score = zip(*(index.best(d) for d in range(len(row))), strict=True)
+        best, score = index.every_best()
         yield pa.RecordBatch.from_arrays(
             [pa.array(row, pa.int64()), pa.array(place, pa.int64()), pa.array([row[b] for b in best], pa.int64()), pa.array(score, pa.float64())],
             names=["row", "place", "best", "score"])

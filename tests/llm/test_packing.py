@@ -103,3 +103,17 @@ def test_a_seed_asks_with_all_its_terms():
     frequency = np.bincount(np.concatenate(documents), minlength=400).astype(float)
     index = packing.Index(documents, frequency, 3, 50.0)
     assert list(index.neighbours(0, np.array([False, True, True]))) == [1]
+
+
+def test_blocks_find_the_best_of_every_document():
+    rng = np.random.default_rng(2)
+    documents = [np.minimum(rng.geometric(0.05, rng.integers(0, 60)), 199) for _ in range(300)]
+    documents += [documents[0], np.array([250]), np.array([251]), documents[0]]
+    frequency = np.bincount(np.concatenate([np.unique(d) for d in documents]), minlength=300).astype(float)
+    index = packing.Index(documents, frequency, len(documents), np.mean([len(d) for d in documents]))
+    one = [index.best(d) for d in range(len(documents))]
+    for cells in (1 << 22, 5_000, 1):
+        best, score = index.every_best(cells)
+        assert np.allclose(score, [s for _, s in one]) and best[-2] == len(documents) - 2 and best[0] == len(documents) - 4
+        for d, b in enumerate(best):
+            assert b == one[d][0] or np.isclose(index.scores(d)[b], one[d][1])
