@@ -5,16 +5,19 @@
    of groups, their phone-shaped parts and their unbroken runs).
 2. A candidate has features of its format (digits, groups, separators, marks, checksum, ...) and of its
    context (neighbouring characters and words).
-3. ``fit`` trains gradient-boosted trees on a bounded sample (``SAMPLE_CANDIDATES`` candidates with the
-   smallest hashes of the whole table).  No row marks personal data, so the base patterns are the teachers.
+3. ``fit`` trains gradient-boosted trees on the candidates of all texts.  Features are put into bins at exact
+   quantiles and equal rows become one *cell* with a count.  A level of all trees needs sums per node, feature
+   and bin: of cells that the driver holds, if they are at most ``CELLS_AT_ONCE``, else by one job over the
+   written cells.  The sums are whole numbers, so that both ways and every order of the rows grow the same
+   trees.  No row marks personal data, so the base patterns are the teachers.
    Each base match teaches as it stands and with its decisive mark masked: an address with "at" and "dot"
    written out or in brackets, an address of numbers with its dots written out, a phone number without its
    country code.  Contrasts of the same shapes are negative: words of the same text joined by "at" and
    "dot", numbers above 255, dates.  Candidates that a base pattern looks at and drops are negative;
    candidates that none of them can judge (written-out forms, parts of chains that are too long) teach
    nothing, because what the generators exist to find must not be taught as wrong.
-4. Base matches in three are set apart with all their forms: the threshold of each kind is the lowest score,
-   at least one half, above which at least ``PRECISION`` of that part's rows are positive.
+4. Base matches in three are set apart with all their forms: the threshold of each kind is the lowest score, in
+   steps of 1/``STEPS`` and at least one half, above which at least ``PRECISION`` of all that part's rows are positive.
 5. Spans are all base matches, and the candidates above their threshold that overlap none of these, the
    best first, the longer of equals.
 """
@@ -23,21 +26,27 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import add_columns, documents_of, materialize, smallest_hashes
+from corpuslens.llm.common import add_columns, documents_of, materialize, written
 
-SAMPLE_CANDIDATES = 20000
+CELLS_AT_ONCE = 1 << 18  # different binned rows that the driver holds at most
 TREES = 60
 DEPTH = 3
 RATE = 0.2
 PRECISION = 0.995
 LEAST_CONFIRMED = 12  # positives set apart above a threshold, at least
+BINS = 32
+UNIT = 1 << 24  # slopes are whole multiples of its inverse
+STEPS = 1 << 16
+TREES_AT_ONCE = 10  # trees whose leaves a job adds up before the margins are written
 
 KINDS = ["email", "ip", "card", "phone", "mail_like", "dotted_like", "digits_like"]
 GENERATED = KINDS[4:]
@@ -208,37 +217,157 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def boosted_trees(rows: np.ndarray, labels: np.ndarray, bins: int = 32) -> Trees:
-    """Second-order boosting of the logistic loss, splits at quantiles."""
-    mean = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    start, inner = float(np.log(mean / (1 - mean))), 2**DEPTH - 1
-    edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, bins + 1)[:-1])) for f in range(rows.shape[1])]
-    binned = np.column_stack([np.searchsorted(e, rows[:, f], side="left") for f, e in enumerate(edges)])
-    margin, all_nodes, all_leaves = np.full(len(rows), start), [], []
+@dataclass
+class Growing:
+    """Trees of one kind over bins; ``splits`` has the feature and the last bin of the left side of every node."""
+
+    edges: list[np.ndarray]
+    start: float
+    splits: list[np.ndarray]
+    leaves: list[np.ndarray]
+
+    def trees(self) -> Trees:
+        value = lambda f, b: self.edges[f][b] if b < BINS else np.inf
+        nodes = np.array([[(f, value(f, b)) for f, b in tree] for tree in self.splits], float)
+        return Trees(nodes, np.array(self.leaves), self.start)
+
+
+def _growing(edges: list[np.ndarray], positive: int, total: int) -> Growing:
+    mean = np.clip(positive / total, 1e-3, 1 - 1e-3)
+    return Growing(edges, float(np.log(mean / (1 - mean))), [], [])
+
+
+def _binned(rows: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.column_stack([np.searchsorted(e, rows[:, f], side="left") for f, e in enumerate(edges)]).astype(np.uint8)
+
+
+def _nodes(columns: np.ndarray, splits: np.ndarray, levels: int) -> np.ndarray:
+    """The node that every binned row reaches after some levels."""
+    at, each = np.zeros(len(columns), int), np.arange(len(columns))
+    for _ in range(levels):
+        at = 2 * at + 1 + (columns[each, splits[at, 0]] > splits[at, 1])
+    return at
+
+
+def _add_trees(margin: np.ndarray, columns: np.ndarray, model: Growing, first: int) -> None:
+    """Adds the leaves of the trees from ``first`` on, one after another."""
+    for splits, leaves in zip(model.splits[first:], model.leaves[first:], strict=True):
+        margin += leaves[_nodes(columns, splits, DEPTH) - (2**DEPTH - 1)]
+
+
+def _sums(columns: np.ndarray, labels: np.ndarray, counts: np.ndarray, margin: np.ndarray, splits: np.ndarray, level: int) -> np.ndarray:
+    """Slopes and curvatures in units by node of the level, feature and bin."""
+    p = 1 / (1 + np.exp(-margin))
+    weights = counts * np.rint(UNIT * (labels - p)), counts * np.rint(UNIT * np.maximum(p * (1 - p), 1e-6))
+    nodes, node = 2**level, _nodes(columns, splits, level) - (2**level - 1)
+    out = np.zeros((2, nodes, columns.shape[1], BINS + 1))
+    for f in range(columns.shape[1]):
+        at = node * (BINS + 1) + columns[:, f]
+        for part, weight in zip(out, weights, strict=True):
+            part[:, f] = np.bincount(at, weight, nodes * (BINS + 1)).reshape(nodes, BINS + 1)
+    return out
+
+
+def _split(slope: np.ndarray, curve: np.ndarray, edges: list[np.ndarray]) -> tuple[tuple[int, int], list[float]]:
+    """The best split of a node, second order, and the leaves on either side."""
+    left_g, left_h = np.cumsum(slope, axis=1) / UNIT, np.cumsum(curve, axis=1) / UNIT
+    g, h = left_g[0, -1], left_h[0, -1]
+    gain = left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g**2 / (h + 1)
+    gain[np.arange(BINS + 1) >= np.array([[len(e)] for e in edges])] = 0
+    f, b = (int(x) for x in np.unravel_index(gain.argmax(), gain.shape))
+    if gain[f, b] <= 1e-6:
+        f, b = 0, BINS  # all rows go left
+    sides = (left_g[f, b], left_h[f, b]), (g - left_g[f, b], h - left_h[f, b])
+    return (f, b), [RATE * x / (y + 1) for x, y in sides]
+
+
+def _boost(models: dict[str, Growing], sums: Callable[[dict[str, Growing], dict[str, np.ndarray], int], dict[str, np.ndarray]]) -> None:
+    """Second-order boosting of the logistic loss, level by level, all kinds at once."""
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-margin))
-        slope, curve = labels - p, np.maximum(p * (1 - p), 1e-6)
-        nodes, at = np.zeros((inner, 2)), np.zeros(len(rows), int)
-        nodes[:, 1] = np.inf
-        for node in range(inner):
-            here = np.flatnonzero(at == node)
-            if len(here) > 1:
-                g, h = slope[here], curve[here]
-                best = 1e-6
-                for f in range(rows.shape[1]):
-                    size = len(edges[f]) + 1
-                    left_g, left_h = np.cumsum(np.bincount(binned[here, f], g, size))[:-1], np.cumsum(np.bincount(binned[here, f], h, size))[:-1]
-                    gain = left_g**2 / (left_h + 1) + (g.sum() - left_g) ** 2 / (h.sum() - left_h + 1) - g.sum() ** 2 / (h.sum() + 1)
-                    if len(gain) and gain.max() > best:
-                        best, nodes[node] = gain.max(), (f, edges[f][gain.argmax()])
-            at[here] = 2 * node + 1 + (rows[here, int(nodes[node, 0])] > nodes[node, 1])
-        leaf = at - inner
-        total_g, total_h = np.bincount(leaf, slope, inner + 1), np.bincount(leaf, curve, inner + 1)
-        leaves = RATE * total_g / (total_h + 1)
-        margin += leaves[leaf]
-        all_nodes.append(nodes)
-        all_leaves.append(leaves)
-    return Trees(np.array(all_nodes), np.array(all_leaves), start)
+        splits = {kind: np.zeros((2**DEPTH - 1, 2), int) for kind in models}
+        leaves = {kind: [] for kind in models}
+        for level in range(DEPTH):
+            for kind, (slope, curve) in sums(models, splits, level).items():
+                found = [_split(g, h, models[kind].edges) for g, h in zip(slope, curve, strict=True)]
+                splits[kind][2**level - 1 : 2 ** (level + 1) - 1] = [x for x, _ in found]
+                leaves[kind] = [x for _, sides in found for x in sides]
+        for kind, model in models.items():
+            model.splits.append(splits[kind])
+            model.leaves.append(np.array(leaves[kind]))
+
+
+def _held(cells: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """Sums over cells (binned rows, labels, counts) in memory."""
+    margins: dict[str, np.ndarray] = {}
+
+    def sums(models: dict[str, Growing], splits: dict[str, np.ndarray], level: int) -> dict[str, np.ndarray]:
+        for kind, model in models.items():
+            if kind not in margins:
+                margins[kind] = np.full(len(cells[kind][0]), model.start)
+            elif level == 0:
+                _add_trees(margins[kind], cells[kind][0], model, len(model.splits) - 1)
+        return {kind: _sums(*cells[kind], margins[kind], splits[kind], level) for kind in models}
+
+    return sums
+
+
+def _by_kind(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray]]:
+    """The rows of each kind and their bins."""
+    for kind in batch.column("kind").unique().to_pylist():
+        own = batch.filter(pa.compute.equal(batch.column("kind"), kind))
+        yield kind, own, np.frombuffer(b"".join(own.column("bins").to_pylist()), np.uint8).reshape(own.num_rows, -1)
+
+
+def _spread(cells: DataFrame):
+    """Sums over cells (kind, label, bins, n) by a job each; margins are written from time to time."""
+    state = {"cells": cells.withColumn("margin", F.lit(None).cast("double")), "trees": 0}
+
+    def margins(own: pa.RecordBatch, columns: np.ndarray, model: Growing, first: int) -> np.ndarray:
+        margin = np.full(own.num_rows, model.start) if first == 0 else own.column("margin").to_numpy(zero_copy_only=False).copy()
+        _add_trees(margin, columns, model, first)
+        return margin
+
+    def sums(models: dict[str, Growing], splits: dict[str, np.ndarray], level: int) -> dict[str, np.ndarray]:
+        first, grown = state["trees"], len(next(iter(models.values())).splits)
+
+        def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for kind, own, columns in _by_kind(batch):
+                    yield own.set_column(own.schema.get_field_index("margin"), "margin", pa.array(margins(own, columns, models[kind], first), pa.float64()))
+
+        if grown - first == TREES_AT_ONCE:
+            state.update(cells=written(state["cells"].mapInArrow(advance, state["cells"].schema), "pii-margins"), trees=grown)
+            first = grown
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for kind, own, columns in _by_kind(batch):
+                    labels, counts = (own.column(c).to_numpy().astype(float) for c in ("label", "n"))
+                    total[kind] = total.get(kind, 0) + _sums(columns, labels, counts, margins(own, columns, models[kind], first), splits[kind], level)
+            for kind, (slope, curve) in total.items():
+                some = np.flatnonzero(curve)
+                columns = [pa.array([kind] * len(some), pa.string()), pa.array(some, pa.int32()), *(pa.array(x.ravel()[some].astype(np.int64)) for x in (slope, curve))]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "at", "slope", "curve"])
+
+        found = state["cells"].mapInArrow(run, "kind string, at int, slope long, curve long")
+        found = found.groupBy("kind", "at").agg(F.sum("slope").alias("slope"), F.sum("curve").alias("curve")).toPandas()  # bounded by nodes, features and bins
+        out = {}
+        for kind in models:
+            own, out[kind] = found[found.kind == kind], np.zeros((2, 2**level, len(models[kind].edges), BINS + 1))
+            for part, name in zip(out[kind], ("slope", "curve"), strict=True):
+                part.ravel()[own["at"].to_numpy()] = own[name].to_numpy()
+        return out
+
+    return sums
+
+
+def boosted_trees(rows: np.ndarray, labels: np.ndarray) -> Trees:
+    """Boosted trees of rows in memory, splits at quantiles."""
+    edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, BINS + 1)[:-1])) for f in range(rows.shape[1])]
+    models = {"": _growing(edges, int(labels.sum()), len(labels))}
+    _boost(models, _held({"": (_binned(rows, edges), labels, np.ones(len(rows)))}))
+    return models[""].trees()
 
 
 @dataclass(frozen=True)
@@ -259,37 +388,69 @@ class Model:
         return chosen
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray) -> float | None:
+def threshold(scores: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> float | None:
     """The lowest score above which the candidates are positive often enough, if enough are confirmed."""
+    counts = np.ones(len(scores)) if counts is None else counts
     order = np.argsort(-scores, kind="stable")
-    right = np.cumsum(labels[order])
+    right, every = np.cumsum((labels * counts)[order]), np.cumsum(counts[order])
     last = np.append(scores[order][1:] != scores[order][:-1], True)  # of equal scores
-    good = np.flatnonzero(last & (right >= PRECISION * np.arange(1, len(order) + 1)) & (right >= LEAST_CONFIRMED))
+    good = np.flatnonzero(last & (right >= PRECISION * every) & (right >= LEAST_CONFIRMED))
     return float(scores[order][good[-1]]) if len(good) else None
 
 
-def fit(docs: DataFrame) -> Model:
-    """Trees and thresholds from a bounded sample of the candidates of all texts."""
+def _edges(rows: DataFrame) -> dict[str, list[np.ndarray]]:
+    """Exact quantiles of every feature over all rows that teach; its values are whole numbers up to 10**6 or lengths."""
+    shares = F.array(*[F.lit(float(x)) for x in np.linspace(0, 1, BINS + 1)[:-1]])
+    found = rows.groupBy("kind").agg(F.array(*[F.percentile(F.get("features", F.lit(i)), shares) for i in range(len(FEATURES))]).alias("edges"))
+    return {r["kind"]: [np.unique(e) for e in r["edges"]] for r in found.collect()}
+
+
+def fit(docs: DataFrame, cells_at_once: int = CELLS_AT_ONCE) -> Model:
+    """Trees and thresholds from the candidates of all texts."""
 
     def start():
         return lambda texts: [[teaching_rows(t) for t in texts]]
 
     rows = add_columns(documents_of(docs), "rows array<struct<kind:string,label:int,apart:int,features:array<double>>>", start, ["doc_id"])
     rows = materialize(rows.where(F.size("rows") > 0).select(F.inline("rows")), "pii-candidates")
-    names = ["kind", "label", "apart", "features"]
-    draw = F.xxhash64(*names)
-    drawn = smallest_hashes(rows.withColumn("draw", draw), F.col("draw"), SAMPLE_CANDIDATES, *names).toPandas()
-    drawn = drawn.assign(features=drawn.features.map(tuple)).sort_values(["draw", *names])
-    trees, thresholds = {}, {}
-    for kind in GENERATED:
-        own = drawn[drawn.kind == kind]
-        if own.empty:
-            continue
-        x, y, apart = np.array(own.features.tolist(), float), own.label.to_numpy(float), own.apart.to_numpy() == 1
-        if len(set(y[~apart])) < 2:
-            continue
-        trees[kind] = boosted_trees(x[~apart], y[~apart])
-        limit = threshold(trees[kind].scores(x[apart]), y[apart])
+    edges = _edges(rows.where("apart = 0"))
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind in set(batch.column("kind").to_pylist()) & set(edges):
+                own = batch.filter(pa.compute.equal(batch.column("kind"), kind))
+                bins = _binned(own.column("features").flatten().to_numpy().reshape(own.num_rows, -1), edges[kind])
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("kind", "label", "apart")), pa.array([x.tobytes() for x in bins], pa.binary())], names=["kind", "label", "apart", "bins"])
+
+    cells = rows.mapInArrow(binned, "kind string, label int, apart int, bins binary")
+    cells = written(cells.groupBy("kind", "label", "apart", "bins").agg(F.count("*").alias("n")), "pii-cells")
+    found = {(r["kind"], r["apart"], r["label"]): r for r in cells.groupBy("kind", "apart", "label").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).collect()}
+    taught = [k for k in GENERATED if (k, 0, 0) in found and (k, 0, 1) in found]
+    models = {k: _growing(edges[k], found[k, 0, 1]["n"], found[k, 0, 0]["n"] + found[k, 0, 1]["n"]) for k in taught}
+    if not models:
+        return Model({}, {})
+    teaching = cells.where(F.col("kind").isin(taught) & (F.col("apart") == 0)).select("kind", "label", "bins", "n")
+    if sum(found[k, 0, y]["cells"] for k in taught for y in (0, 1)) <= cells_at_once:
+        held = {kind: (columns, *(own.column(c).to_numpy().astype(float) for c in ("label", "n"))) for kind, own, columns in _by_kind(teaching.toArrow().combine_chunks().to_batches()[0])}
+        _boost(models, _held(held))
+    else:
+        _boost(models, _spread(teaching))
+    trees = {kind: model.trees() for kind, model in models.items()}
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, own, columns in _by_kind(batch):
+                margin = np.full(own.num_rows, models[kind].start)
+                _add_trees(margin, columns, models[kind], 0)
+                step = np.floor(STEPS / (1 + np.exp(-margin))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([own.column("kind"), own.column("label"), pa.array(step), own.column("n")], names=["kind", "label", "step", "n"])
+
+    apart = cells.where(F.col("kind").isin(taught) & (F.col("apart") == 1)).mapInArrow(scored, "kind string, label int, step long, n long")
+    apart = apart.groupBy("kind", "step", "label").agg(F.sum("n").alias("n")).toPandas()  # at most two rows per kind and step
+    thresholds = {}
+    for kind in taught:
+        own = apart[apart.kind == kind]
+        limit = threshold(own.step.to_numpy(float) / STEPS, own.label.to_numpy(float), own.n.to_numpy(float)) if len(own) else None
         if limit is not None:
             thresholds[kind] = max(limit, 0.5)
     return Model(trees, thresholds)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpuslens.llm import pii
 
@@ -87,3 +88,22 @@ def test_small_tables_teach_little_and_crash_nothing(spark):
     model = pii.fit(docs)
     assert model.thresholds == {} and model.selected("jane at example dot com", []) == []
     assert len(pii.teaching_rows("see you now a@b.co")) == 25 and pii.teaching_rows("jane at example dot com") == []
+
+
+def test_every_candidate_teaches_and_counts(spark, monkeypatch):
+    """Rows beyond any sample decide: the few good ones among many copies of a text without personal data."""
+    texts = [f"call me at +{1 + i % 9} (0{i % 90 + 10}) 555-{1000 + 7 * i} or write to user{i}@host{i % 7}.example.com today" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many = docs.unionByName(spark.range(40_000).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("paid on 12.03.2021 for order 1234567 "), F.lit("in full")).alias("text")))
+    monkeypatch.setattr(pii, "TREES", pii.TREES_AT_ONCE + 2)
+    one, other = pii.fit(many), pii.fit(many, cells_at_once=0)
+    n = sum(len(pii.teaching_rows(t)) for t in texts)
+    assert len(pii.teaching_rows("paid on 12.03.2021 for order 1234567 in full")) > 0 and n < 40_000
+    own = [r for t in texts for r in pii.teaching_rows(t)] + 40_000 * pii.teaching_rows("paid on 12.03.2021 for order 1234567 in full")
+    for kind, trees in one.trees.items():
+        taught = [r for r in own if r[0] == kind and not r[2]]
+        x, y = np.array([r[3] for r in taught], float), np.array([r[1] for r in taught], float)
+        plain = pii.boosted_trees(x, y)
+        for found in (trees, other.trees[kind]):  # in memory and by jobs
+            assert found.start == plain.start and np.array_equal(found.nodes, plain.nodes) and np.array_equal(found.leaves, plain.leaves)
+    assert one.thresholds == other.thresholds and set(one.trees) == set(other.trees)
