@@ -163,18 +163,30 @@ def detect_languages(files: DataFrame) -> DataFrame:
 
 @dataclass
 class Analysis:
-    """Results of one analysis; every attribute is a lazy DataFrame."""
+    """Results of one analysis; what an attribute needs is computed when it is first asked for."""
 
     files: DataFrame
     rules: RuleSet
-    rows: DataFrame
-    connection_rules: dict[str, tuple[int, str]]
-    written_hits: DataFrame | None = None
+    min_confidence: float
+
+    @cached_property
+    def _evaluation(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+        return _evaluated(self.files, self.rules, DETECTORS)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """One row per repository with a map per detector, cross-validated."""
+        sums, manifests, groups, _ = self._evaluation
+        state = score_state(self.files, sums, DETECTORS, manifests, groups).join(_language_rows(groups), "repo_id", "left")
+        row = d.detected(_without_nulls(materialize(state, "scores")), DETECTORS, self.rules.corrections)
+        row = row.withColumn("languages", d.languages_from_counts(F.col("languages")))
+        return validation.cross_validated(row, self.min_confidence)
 
     @cached_property
     def hits(self) -> DataFrame:
         """All hits of all files with their evidence."""
-        return materialize(detector_hits(self.files, self.rules, DETECTORS), "hits") if self.written_hits is None else self.written_hits
+        written = self._evaluation[-1]
+        return materialize(detector_hits(self.files, self.rules, DETECTORS), "hits") if written is None else written
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -213,23 +225,19 @@ class Analysis:
         )
 
     def _evidence_hits(self) -> DataFrame:
-        return self.hits.unionByName(evidence.derived(self.files, self.hits, self.rows, self.connection_rules))
+        connection_rules: dict[str, tuple[int, str]] = {}
+        for rule in self.rules.content_rules:
+            if rule.tech.startswith("connection:"):
+                connection_rules.setdefault(rule.tech, (rule.ordinal, rule.pattern))
+        return self.hits.unionByName(evidence.derived(self.files, self.hits, self.rows, connection_rules))
 
 
 def analyze(files: DataFrame, rules: RuleSet | None = None, min_confidence: float = validation.MIN_CONFIDENCE) -> Analysis:
     """Analyse a corpus of ``(repo_id, path, size, content)`` rows.
 
-    Files are grouped or scanned once, which gives the score rows, one per repository; these are written to
-    the shared folder.  The scores, the primary technologies and all that follows read them and never the
-    contents again.  Only the evidence of ``stack`` needs the hits of every file.
+    Nothing is read before a result is asked for.  Then files are grouped or scanned once, which gives the score
+    rows, one per repository; these are written to the shared folder.  The scores, the primary technologies and
+    all that follows read them and never the contents again.  Only the evidence of ``stack`` needs the hits of
+    every file, and ``meta`` counts files alone.
     """
-    rules = rules or default_rules()
-    sums, manifests, groups, hits = _evaluated(files, rules, DETECTORS)
-    state = score_state(files, sums, DETECTORS, manifests, groups).join(_language_rows(groups), "repo_id", "left")
-    row = d.detected(_without_nulls(materialize(state, "scores")), DETECTORS, rules.corrections)
-    row = row.withColumn("languages", d.languages_from_counts(F.col("languages")))
-    connection_rules: dict[str, tuple[int, str]] = {}
-    for rule in rules.content_rules:
-        if rule.tech.startswith("connection:"):
-            connection_rules.setdefault(rule.tech, (rule.ordinal, rule.pattern))
-    return Analysis(files, rules, validation.cross_validated(row, min_confidence), connection_rules, hits)
+    return Analysis(files, rules or default_rules(), min_confidence)

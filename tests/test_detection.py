@@ -163,3 +163,12 @@ def test_imbalances_are_evidence(spark):
     assert analysis.stack.where("category = 'architecture' and tech = 'MVC'").count() == 2
     remarks = analysis._evidence_hits().where("tech = 'MVC' and evidence like 'Imbalance%'").select("repo_id", "evidence").collect()
     assert [tuple(r) for r in remarks] == [("lopsided", "Imbalance in MVC components: Models (2), Views (1), Controllers (2)")]
+
+
+def test_file_counts_need_no_scan(spark, monkeypatch):
+    def scanned(*_, **__):
+        raise AssertionError("contents were scanned")
+
+    monkeypatch.setattr("corpuslens.plans.analysis._evaluated", scanned)
+    files = from_table(spark.createDataFrame([("r", "a.py", "x"), ("r", "b.py", None), ("s", "c.go", "y")], "repo_id string, path string, content string"))
+    assert sorted((r.repo_id, r.file_count) for r in analyze(files).meta.collect()) == [("r", 2), ("s", 1)]
