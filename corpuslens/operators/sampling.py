@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpuslens.functions import paths
+from corpuslens.operators.running import running
 from corpuslens.rules import sampling as r
 
 MAX_CHARS, FILL_CHARS = 100_000, 50_000
@@ -91,22 +92,18 @@ def architecture_files(files: DataFrame, seed: int = 42) -> DataFrame:
 def quality_files(files: DataFrame) -> DataFrame:
     """A spread over the source extensions: first, last or evenly spaced files of each.
 
-    Files are numbered folder by folder; each folder's offset comes from the folder counts, so a
-    repository with most of the corpus is numbered by many tasks.
+    Files are numbered in ranges of (repository, extension, folder, path), so that a repository with most of the
+    corpus is numbered by many tasks and folders need no table of their own.
     """
     name = paths.base_name(F.col("path"))
     eligible = (
         files.where("content is not null")
         .select(*KEYS, F.lower(paths.extension(name)).alias("ext"), F.length("content").alias("chars"))
         .where(F.col("ext").isin(r.CODE_EXTENSIONS) & (F.col("chars") < MAX_CHARS))
-        .withColumn("folder", F.regexp_replace("path", "/?[^/]*$", ""))
+        .select(*KEYS, "ext")
     )
-    folders = eligible.groupBy("repo_id", "ext", "folder").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(
-        W.partitionBy("repo_id", "ext").orderBy("folder").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ) - F.col("n")
-    offsets = folders.withColumn("offset", before).drop("n")
-    by_ext = folders.groupBy("repo_id", "ext").agg(F.sum("n").alias("in_ext"))
+    placed = running(eligible, ["repo_id", "ext"], [F.regexp_replace("path", "/?[^/]*$", ""), "path"])
+    by_ext = placed.groupBy("repo_id", "ext").agg(F.max("position").alias("in_ext"))
     per_repo = by_ext.groupBy("repo_id").agg(F.sum("in_ext").alias("in_repo"), F.count("*").alias("exts"))
     plan = (
         by_ext.join(per_repo, "repo_id")
@@ -115,13 +112,7 @@ def quality_files(files: DataFrame) -> DataFrame:
         .withColumn("take", F.least("share", "in_ext"))
         .withColumn("step", F.greatest(F.lit(1), F.floor(F.col("in_ext") / F.col("take"))))
     )
-    local = F.row_number().over(W.partitionBy("repo_id", "ext", "folder").orderBy("path")) - 1
-    numbered = (
-        eligible.withColumn("local", local)
-        .join(offsets, ["repo_id", "ext", "folder"])
-        .withColumn("at", F.col("offset") + F.col("local"))
-        .join(plan, ["repo_id", "ext"])
-    )
+    numbered = placed.withColumn("at", F.col("position") - 1).join(plan, ["repo_id", "ext"])
     everything = F.col("in_repo") <= F.col("quota")
     wanted = (
         everything
