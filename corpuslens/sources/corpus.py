@@ -26,7 +26,8 @@ def readable_name(name: Column, extensions: list[str] | None = None) -> Column:
     if extensions is not None and "*" in extensions:
         return ~binary
     extensions = e.CONTENT_EXTENSIONS if extensions is None else extensions
-    return (ext.isin(extensions) | name.isin(extensions + e.CONTENT_NAMES)) & ~binary
+    # The extension decides most names by itself, so that it is worked out once for them.
+    return ext.isin([x for x in extensions if x not in e.BINARY_EXTENSIONS]) | (name.isin(extensions + e.CONTENT_NAMES) & ~binary)
 
 
 def _wanted(name: Column, extensions: list[str] | None, max_file_bytes: int | None) -> Column:
@@ -41,12 +42,11 @@ def eligible_content(
 ) -> DataFrame:
     """Keep every file but null the content of those that are not read.
 
-    Name and size are decided first, so the text checks run only on what is left.
+    Name and size are decided first, so the text checks run only on what is left.  The name stands once in the
+    expression: filters on the content repeat it, and inside them nothing is shared.
     """
-    name = paths.base_name(F.col("path"))
-    wanted = _wanted(name, extensions, max_file_bytes)
-    content = F.when(wanted, F.col("content"))
-    usable = ~text.is_binary_text(content) & ~text.is_blank(content)
+    name, content = paths.base_name(F.col("path")), F.col("content")
+    usable = _wanted(name, extensions, max_file_bytes) & ~text.is_binary_text(content) & ~text.is_blank(content)
     return files.select("repo_id", "path", "size", F.when(usable, content).alias("content"))
 
 
