@@ -89,3 +89,34 @@ def test_trees_of_portions_hold_few_files_at_once_and_lose_none(spark, tmp_path)
     got = trees.through_trees(files, read, files_at_once=20).collect()
     assert sorted(map(tuple, got)) == sorted(rows) and seen == [20, 20, 20, 20, 10]
     assert trees.through_trees(files.where("false"), read).count() == 0
+
+
+def test_equal_texts_of_a_tree_lie_on_disk_once_and_part_when_it_is_written_again(spark, tmp_path):
+    rows = [("r", f"d{i}/m{i}.py", f"x = {i % 2}\n") for i in range(100)]
+    files = lambda rows: spark.createDataFrame(rows, "repo_id string, path string, content string").coalesce(1)
+    target = str(tmp_path / "tree")
+    texts = lambda: sorted(tuple(r) for r in corpus.load_corpus(spark, target).select("repo_id", "path", "content").collect())
+    taken = trees.write_tree(files(rows), target, share_texts=True)
+    assert texts() == sorted(rows) and taken == (2 + 101) * trees.BLOCK
+    assert len({os.stat(tmp_path / "tree" / "r" / p).st_ino for _, p, _ in rows}) == 2
+    changed = [(r, p, "y = 1\n" if p == "d7/m7.py" else c) for r, p, c in rows]
+    for again in (changed[7:8], rows, changed):  # a name alone, then all
+        trees.write_tree(files(again), target, share_texts=len(again) > 1)
+        assert texts() == sorted(rows if again is rows else changed)
+
+
+def test_trees_stay_until_they_take_too_much_disk(spark, tmp_path, monkeypatch):
+    rows = [(f"r{i % 3}", f"m{i}.py", f"x = {i}\n") for i in range(50)]
+    files, removed, remove = spark.createDataFrame(rows, "repo_id string, path string, content string"), [], trees.remove_tree
+
+    def noted(repositories, target):
+        removed.append(int(target.rsplit("-", 1)[1]))
+        remove(repositories, target)
+        assert not os.path.exists(target.removeprefix("file:"))
+
+    monkeypatch.setattr(trees, "remove_tree", noted)
+    read = lambda target: corpus.load_corpus(spark, target).select("repo_id", "path", "content")
+    for bytes_kept, gone in ((1 << 30, []), (0, [0, 1, 2, 3])):
+        removed.clear()
+        got = trees.through_trees(files, read, files_at_once=10, bytes_kept=bytes_kept).collect()
+        assert sorted(map(tuple, got)) == sorted(rows) and removed == gone
